@@ -299,16 +299,17 @@ def safe_compose(*builders: FeatureBuilder) -> tuple[Features, list[str]]:
     return out, failed
 
 
-def numeric_projection(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """keep numeric and boolean columns as DOUBLE (null -> 0.0)."""
-    keep = []
+def numeric_projection(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep numeric and boolean columns as DOUBLE (null -> 0.0); ``keep``
+    columns (keys) pass through unchanged, everything else is dropped."""
+    cols = [F.col(k) for k in keep]
     for f in df.schema.fields:
-        if f.name in exclude:
+        if f.name in keep:
             continue
         tn = f.dataType.typeName()
         if tn in ("boolean", "byte", "short", "integer", "long", "float", "double") or tn.startswith("decimal"):
-            keep.append(F.coalesce(F.col(f.name).cast("double"), F.lit(0.0)).alias(f.name))
-    return df.select(*keep)
+            cols.append(F.coalesce(F.col(f.name).cast("double"), F.lit(0.0)).alias(f.name))
+    return df.select(*cols)
 
 
 def with_features(df: DataFrame, features: Features) -> DataFrame:

@@ -87,6 +87,23 @@ def ngrams(words_col: str | Column, min_n: int = 1, max_n: int = 3) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def ngrams_joined(joined: str | Column, min_n: int = 1, max_n: int = 3) -> Column:
+    """T6 over space-joined words, as compiled regex scans instead of lambdas.
+
+    For n >= 2 a zero-width look-ahead at every word start captures the next n
+    words, so each n-gram list is one ``regexp_extract_all`` pass.
+    """
+    j = _c(joined)
+    parts = []
+    for n in range(min_n, max_n + 1):
+        if n == 1:
+            parts.append(F.filter(F.split(j, " "), lambda x: x != ""))
+        else:
+            pat = r"(?:^| )(?=([^ ]+" + r"(?: [^ ]+)" * (n - 1) + r"))"
+            parts.append(F.regexp_extract_all(j, F.lit(pat), 1))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
 def fallback_tokens(text: str | Column) -> Column:
     """Whitespace words, whole text as one sentence, n-grams = words."""
     t = F.coalesce(_c(text), F.lit(""))

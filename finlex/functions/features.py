@@ -257,6 +257,58 @@ def impact_features(impact_text: str | Column) -> Features:
     return out
 
 
+def with_impact_features(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """F14-F22 in two projections: raw counts first, then every derived value
+    reads those columns (small generated methods, each count computed once)."""
+    t = F.col(text_col)
+    p = percentages(t)
+    stage1 = df.select(
+        *keep, p.alias("_pc"), F.size(whitespace_words(t)).alias("_nw"),
+        regexp_count(t, CURRENCY_RE).alias("currency_count"),
+        regexp_count(t, NUMERIC_RE).alias("numeric_value_count"),
+        *[count_terms(t, lst).alias(f"{lvl}_count") for lvl, lst in T.IMPACT_TERMS.items()],
+        *[count_terms(t, lst).alias(f"{k}_count") for k, lst in T.TIME_INDICATORS.items()])
+    f: Features = {}
+    f.update(numeric_features_from(F.col("_pc"), F.col("currency_count"), F.col("numeric_value_count"),
+                                   F.col("_nw")))
+    nw = F.col("_nw")
+    for lvl in T.IMPACT_TERMS:
+        f[f"{lvl}_count"] = F.col(f"{lvl}_count")
+        f[f"{lvl}_density"] = safe_div(F.col(f"{lvl}_count"), nw)
+    h, m, lo = F.col("high_impact_count"), F.col("medium_impact_count"), F.col("low_impact_count")
+    f["high_to_low_ratio"] = F.when(lo > 0, h / lo).otherwise(h.cast("double"))
+    f["high_to_medium_ratio"] = F.when(m > 0, h / m).otherwise(h.cast("double"))
+    s_, m_, l_ = F.col("short_term_count"), F.col("medium_term_count"), F.col("long_term_count")
+    top = F.greatest(s_, m_, l_)
+    f["short_term_count"], f["medium_term_count"], f["long_term_count"] = s_, m_, l_
+    f["predominant_timeframe"] = (F.when(top == 0, "none").when(s_ == top, "short").when(m_ == top, "medium")
+                                  .otherwise("long"))
+    f["timeframe_numeric"] = F.when(top == 0, 0).when(s_ == top, 1).when(m_ == top, 2).otherwise(3).cast("bigint")
+    stage2 = stage1.select(*keep, *[c.alias(k) for k, c in f.items()])
+    comp = composite_impact({k: F.col(k) for k in f})
+    return stage2.select(*keep, *[F.col(k) for k in f], *[c.alias(k) for k, c in comp.items()])
+
+
+def numeric_features_from(p: Column, currency: Column, numeric: Column, nw: Column,
+                          high: float = 15.0, medium: float = 5.0) -> Features:
+    n = F.size(p).cast("bigint")
+    s = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    out: Features = {
+        "percentage_count": n,
+        "max_percentage": F.coalesce(F.array_max(p), F.lit(0.0)),
+        "min_percentage": F.coalesce(F.array_min(p), F.lit(0.0)),
+        "avg_percentage": F.when(n > 0, s / n).otherwise(0.0),
+        "sum_percentage": s,
+        "high_percentage_count": F.size(F.filter(p, lambda x: x >= high)).cast("bigint"),
+        "medium_percentage_count": F.size(F.filter(p, lambda x: (x >= medium) & (x < high))).cast("bigint"),
+        "low_percentage_count": F.size(F.filter(p, lambda x: x < medium)).cast("bigint"),
+        "currency_count": currency,
+        "numeric_value_count": numeric,
+    }
+    out["numerical_density"] = safe_div(n + currency + numeric, nw)
+    return out
+
+
 def sentiment_features(sent_text: str | Column) -> Features:
     """F10-F13 together (the sentiment model's extra features)."""
     out: Features = {}

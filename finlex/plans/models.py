@@ -48,7 +48,8 @@ def type_pipeline(spark, sf) -> TypePipeline:
     """Bernoulli NB over binary word 1-2-grams of ``documents``, label = language."""
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
     docs = d.select("doc_id", F.col("lang").alias("label"), TX.normalize_variant("text", "type").alias("tt"))
-    terms = VO.doc_terms(docs, "tt", VO.TYPE_VOCAB, keep=("label",))
+    # reused by the vocabulary, the fit and the scoring: cut the lineage once
+    terms = VO.doc_terms(docs, "tt", VO.TYPE_VOCAB, keep=("label",)).checkpoint()
     train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
     vocab = VO.fit_vocabulary(train_terms, VO.TYPE_VOCAB)
@@ -73,7 +74,7 @@ def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipel
     a = FX.ann(spark, sf)
     docs = a.select("doc_id", F.col("sentiment_label").alias("label"),
                     TX.normalize_variant("text", "sentiment").alias("st"))
-    terms = VO.doc_terms(docs, "st", VO.SENTIMENT_VOCAB, keep=("label",))
+    terms = VO.doc_terms(docs, "st", VO.SENTIMENT_VOCAB, keep=("label",)).checkpoint()
     train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
     vocab = VO.fit_vocabulary(train_terms, VO.SENTIMENT_VOCAB)
@@ -97,13 +98,13 @@ class ImpactPipeline:
 def impact_features_wide(spark, sf) -> DataFrame:
     a = FX.ann(spark, sf)
     b = a.select("doc_id", F.col("impact_label").alias("label"), TX.normalize_variant("text", "impact").alias("it"))
-    f = FE.impact_features("it")
-    return b.select("doc_id", "label", *[f[k].cast("double").alias(k) for k in IMPACT_FEATURES])
+    f = FE.with_impact_features(b, "it", keep=("doc_id", "label"))
+    return f.select("doc_id", "label", *[F.col(k).cast("double").alias(k) for k in IMPACT_FEATURES])
 
 
 def impact_pipeline(spark, sf, var_smoothing: float = 1e-9) -> ImpactPipeline:
     """Gaussian NB over standardised numeric impact features of ``ann``."""
-    wide = impact_features_wide(spark, sf)
+    wide = impact_features_wide(spark, sf).checkpoint()  # read by scaler, fit, priors and scoring
     long = NB.unpivot_features(wide, IMPACT_FEATURES, keep=("doc_id", "label"))
     train_docs, _ = EV.train_validation_split(wide.select("doc_id", "label"), VALIDATION, SEED)
     train_long, _ = EV.train_validation_split(long, VALIDATION, SEED)

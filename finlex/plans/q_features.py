@@ -325,21 +325,21 @@ SELECT doc_id, round(pct, {R}) AS percentage_impact_score, round(terms, {R}) AS
 FROM c""")
 def f21_f22(spark, sf):
     b = ann_texts(spark, sf)
-    f = FE.impact_features("it")
+    f = FE.with_impact_features(b, "it")
     keep = ["percentage_impact_score", "terms_impact_score", "temporal_impact_score",
             "composite_impact_score", "volatility_index"]
-    return _round_doubles(b.select("doc_id", *[f[k].alias(k) for k in keep]))
+    return _round_doubles(f.select("doc_id", *keep))
 
 
 @register("F23_composed_features")
 def f23_composed(spark, sf):
     """All feature groups composed by name; a failing group is skipped (rows-only check)."""
     b = ann_texts(spark, sf)
-    feats, failed = FE.safe_compose(lambda: FE.type_indicators("tt"), lambda: FE.sentiment_features("st"),
-                                    lambda: FE.impact_features("it"))
+    feats, failed = FE.safe_compose(lambda: FE.type_indicators("tt"), lambda: FE.sentiment_features("st"))
     if failed:
         raise RuntimeError(f"feature groups failed: {failed}")
-    return b.select("doc_id", *rounded(feats))
+    typed = b.select("doc_id", "it", *rounded(feats))
+    return FE.with_impact_features(typed, "it", keep=tuple(["doc_id"] + list(feats)))
 
 
 @register("F24_numeric_projection", BASE_SQL + """

@@ -30,9 +30,10 @@ def _case(col: Column, mapping: list[tuple[str, str]], default: str) -> Column:
     return out.otherwise(default)
 
 
-def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-              "o_totalprice", "o_orderdate", "o_orderpriority")
+def ann(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """``orders`` may be a stream: the customer side is then a stream-static join."""
+    o = orders if orders is not None else table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+                                                "o_totalprice", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey)
     seg, key, cust = F.col("c_mktsegment"), F.col("o_orderkey"), F.col("o_custkey")

@@ -129,18 +129,17 @@ def assemble(df: DataFrame, vector_col: str | None, numeric_cols: list[str], out
 
 
 def sparse_vectors(vec: DataFrame, vocab_size: int, value: str = "n") -> DataFrame:
-    """Long ``(doc_id, idx, value)`` -> ``(doc_id, SparseVector)`` for ML estimators."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401 - availability check
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    grouped = vec.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", value))).alias("_e"))
-
-    @F.pandas_udf(VectorUDT())
-    def to_vec(entries):  # Arrow batches, one vector per document
-        import pandas as pd
-        return pd.Series([SparseVector(vocab_size, [int(e["idx"]) for e in es], [float(e[value]) for e in es])
-                          for es in entries])
-    return grouped.select("doc_id", to_vec("_e").alias("text_vector"))
+    """Long ``(doc_id, idx, value)`` -> ``(doc_id, Vector)`` for ML estimators.
+
+    Built JVM-side: entries grouped per document (bounded by the vocabulary),
+    expanded to the vocabulary width and converted with ``array_to_vector``.
+    """
+    from pyspark.ml.functions import array_to_vector
+    grouped = vec.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int"), F.col(value).cast("double")))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(vocab_size - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
+    return grouped.select("doc_id", array_to_vector(dense).alias("text_vector"))
 
 
 # ---------------------------------------------------------------- X8 registry

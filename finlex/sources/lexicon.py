@@ -5,8 +5,7 @@ literal arrays when the lexicon is small (checked) and an Aho-Corasick scan in
 a pandas UDF beyond that, with the exact non-overlapping per-term semantics.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +98,6 @@ def lexicon_counts(docs: DataFrame, text_col: str, lex: DataFrame, keep: tuple[s
 
 
 def _aho_corasick_counts(docs: DataFrame, text_col: str, lex: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    import pandas as pd
     spark = docs.sparkSession
     rows = lex.select("category", "term").collect()  # executors need the whole dictionary
     bc = spark.sparkContext.broadcast([(r["category"], r["term"].lower()) for r in rows])

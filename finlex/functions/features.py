@@ -260,14 +260,16 @@ def impact_features(impact_text: str | Column) -> Features:
 def with_impact_features(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """F14-F22 in two projections: raw counts first, then every derived value
     reads those columns (small generated methods, each count computed once)."""
+    from .scan import term_scan
     t = F.col(text_col)
     p = percentages(t)
-    stage1 = df.select(
+    scanned = term_scan(df.select(*keep, text_col), text_col, {**T.IMPACT_TERMS, **T.TIME_INDICATORS})
+    stage1 = scanned.select(
         *keep, p.alias("_pc"), F.size(whitespace_words(t)).alias("_nw"),
         regexp_count(t, CURRENCY_RE).alias("currency_count"),
         regexp_count(t, NUMERIC_RE).alias("numeric_value_count"),
-        *[count_terms(t, lst).alias(f"{lvl}_count") for lvl, lst in T.IMPACT_TERMS.items()],
-        *[count_terms(t, lst).alias(f"{k}_count") for k, lst in T.TIME_INDICATORS.items()])
+        *[F.col(f"_scan.{lvl}_count").alias(f"{lvl}_count") for lvl in T.IMPACT_TERMS],
+        *[F.col(f"_scan.{k}_count").alias(f"{k}_count") for k in T.TIME_INDICATORS])
     f: Features = {}
     f.update(numeric_features_from(F.col("_pc"), F.col("currency_count"), F.col("numeric_value_count"),
                                    F.col("_nw")))
@@ -309,6 +311,38 @@ def numeric_features_from(p: Column, currency: Column, numeric: Column, nw: Colu
     return out
 
 
+def with_scanned_text_features(df: DataFrame, type_col: str, sent_col: str,
+                               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """F4-F6 and F10-F13 from two one-pass term scans (same values as the
+    expression builders ``type_indicators`` / ``sentiment_features``)."""
+    from .scan import term_scan
+    sent_dicts = {**{f"lex_{k}": v for k, v in T.DEFAULT_LEXICON.items()}, "negation": T.NEGATION_TERMS,
+                  "intensifier": T.INTENSIFIERS, "diminisher": T.DIMINISHERS,
+                  "future": T.FUTURE_INDICATORS, "past": T.PAST_INDICATORS}
+    a = term_scan(df.select(*keep, type_col, sent_col), type_col, T.TYPE_INDICATORS, "_ts")
+    b = term_scan(a, sent_col, sent_dicts, "_ss")
+    tt, st = F.col(type_col), F.col(sent_col)
+    nw = F.size(whitespace_words(st))
+    out: Features = {}
+    for name in T.TYPE_INDICATORS:
+        cnt, first = F.col(f"_ts.{name}_count"), F.col(f"_ts.{name}_first")
+        out[f"is_{name}"] = cnt > 0
+        out[f"count_{name}"] = cnt
+        out[f"pos_{name}"] = F.when((F.length(tt) > 0) & (first >= 0), first / F.length(tt))
+    for cat in T.DEFAULT_LEXICON:
+        cnt = F.col(f"_ss.lex_{cat}_count")
+        out[f"{cat}_terms_count"] = cnt
+        out[f"{cat}_terms_density"] = safe_div(cnt, nw)
+    for k in ("negation", "intensifier", "diminisher"):
+        out[f"{k}_count"] = F.col(f"_ss.{k}_count")
+    out.update(negation_patterns(st))
+    fut, past = F.col("_ss.future_count"), F.col("_ss.past_count")
+    out["future_orientation_count"] = fut
+    out["past_orientation_count"] = past
+    out["temporal_ratio"] = F.when(past > 0, fut / past).when(fut > 0, F.lit(float("inf"))).otherwise(1.0)
+    return b.select(*keep, *[c.alias(k) for k, c in out.items()])
+
+
 def sentiment_features(sent_text: str | Column) -> Features:
     """F10-F13 together (the sentiment model's extra features)."""
     out: Features = {}

@@ -335,11 +335,10 @@ def f21_f22(spark, sf):
 def f23_composed(spark, sf):
     """All feature groups composed by name; a failing group is skipped (rows-only check)."""
     b = ann_texts(spark, sf)
-    feats, failed = FE.safe_compose(lambda: FE.type_indicators("tt"), lambda: FE.sentiment_features("st"))
-    if failed:
-        raise RuntimeError(f"feature groups failed: {failed}")
-    typed = b.select("doc_id", "it", *rounded(feats))
-    return FE.with_impact_features(typed, "it", keep=tuple(["doc_id"] + list(feats)))
+    text_feats = FE.with_scanned_text_features(b.select("doc_id", "tt", "st", "it"), "tt", "st",
+                                               keep=("doc_id", "it"))
+    keep = tuple(c for c in text_feats.columns if c != "it")
+    return FE.with_impact_features(text_feats, "it", keep=keep)
 
 
 @register("F24_numeric_projection", BASE_SQL + """

@@ -53,3 +53,15 @@ def test_sentences_and_derived_metadata(spark):
     r = df.select(TX.sentences("t").alias("s"), TX.derived_metadata(n, TX.words(n), TX.sentences("t")).alias("m")).first()
     assert r.s == ["Primeira frase.", "Segunda frase!", "Terceira?"]
     assert r.m.word_count == 5 and r.m.sentence_count == 3 and r.m.complexity_level == "baixa"
+
+
+def test_scanned_features_equal_expression_features(spark):
+    from finlex.functions import features as FE
+    from finlex.plans.q_features import ann_texts
+    b = ann_texts(spark, "/root/testdata/sf0.001")
+    scanned = FE.with_scanned_text_features(b, "tt", "st")
+    expr = b.select("doc_id", *[c.alias(k) for k, c in FE.compose(FE.type_indicators("tt"),
+                                                                     FE.sentiment_features("st")).items()])
+    cols = [c for c in expr.columns]
+    assert scanned.select(*cols).exceptAll(expr).count() == 0
+    assert expr.exceptAll(scanned.select(*cols)).count() == 0

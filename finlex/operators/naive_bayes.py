@@ -57,10 +57,18 @@ def probabilities_long(pred: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     return pred.select(*keep, F.explode("probabilities").alias("class", "prob"))
 
 
-def _per_class_sum(rows: DataFrame, docs: DataFrame, classes: list[str], value: str) -> DataFrame:
+def _per_class_sum(rows: DataFrame, docs: DataFrame, classes: list[str], value: str,
+                   base: DataFrame | None = None) -> DataFrame:
     """Sum ``value`` per (doc, class) as one column per class; documents with no
-    rows get 0.  Union-then-aggregate: one shuffle keyed by doc_id."""
-    zero = docs.select("doc_id", *[F.lit(0.0).alias(f"_s{i}") for i in range(len(classes))])
+    rows get the class ``base`` (or 0).  Union-then-aggregate: one shuffle keyed
+    by doc_id; ``base`` (label, base) has one row per class and is broadcast."""
+    if base is None:
+        zero = docs.select("doc_id", *[F.lit(0.0).alias(f"_s{i}") for i in range(len(classes))])
+    else:
+        per_doc = docs.select("doc_id", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label")) \
+            .join(F.broadcast(base.select("label", F.col("base").alias("_b"))), "label")
+        zero = per_doc.select("doc_id", *[F.when(F.col("label") == c, F.col("_b")).otherwise(0.0).alias(f"_s{i}")
+                                          for i, c in enumerate(classes)])
     contrib = rows.select("doc_id", *[F.when(F.col("label") == c, F.col(value)).otherwise(0.0).alias(f"_s{i}")
                                       for i, c in enumerate(classes)])
     return zero.unionByName(contrib).groupBy("doc_id").agg(
@@ -106,14 +114,11 @@ def bernoulli_score(model: BernoulliModel, doc_terms_present: DataFrame, docs: D
     """
     base = (model.theta.groupBy("label").agg(F.sum("log_1mp").alias("b"))
             .join(model.prior, "label").select("label", (F.col("b") + F.col("log_prior")).alias("base")))
-    base_vals = {r["label"]: r["base"] for r in base.collect()}  # k rows
     delta = (doc_terms_present.select("doc_id", "term").distinct()
              .join(F.broadcast(model.theta.select("label", "term", (F.col("log_p") - F.col("log_1mp")).alias("d"))),
                    "term"))
-    wide = _per_class_sum(delta, docs, model.classes, "d")
-    jll = wide.select("doc_id", *[(F.col(f"_s{i}") + F.lit(base_vals[c])).alias(f"_j{i}")
-                                  for i, c in enumerate(model.classes)])
-    return softmax_columns(jll, model.classes, [f"_j{i}" for i in range(len(model.classes))], ["doc_id"])
+    wide = _per_class_sum(delta, docs, model.classes, "d", base)
+    return softmax_columns(wide, model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
 
 
 # ---------------------------------------------------------------- Complement
@@ -214,15 +219,12 @@ def gaussian_fit(long_train: DataFrame, train_docs: DataFrame, var_smoothing: fl
 def gaussian_score(model: GaussianModel, long_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """Log prior - ½Σ ln(2πσ²) - ½Σ (x-μ)²/σ², softmax, argmax."""
     lt = scale(long_docs, model.scaler) if model.scaler is not None else long_docs
-    prior_vals = {r["label"]: r["log_prior"] for r in model.prior.collect()}  # k rows
     rows = lt.select("doc_id", "feature", "x").join(F.broadcast(model.stats), "feature").select(
         "doc_id", "label",
         (-0.5 * F.log(2 * math.pi * F.col("var")) - 0.5 * F.pow(F.col("x") - F.col("mean"), 2) / F.col("var"))
         .alias("v"))
-    wide = _per_class_sum(rows, docs, model.classes, "v")
-    jll = wide.select("doc_id", *[(F.col(f"_s{i}") + F.lit(prior_vals[c])).alias(f"_j{i}")
-                                  for i, c in enumerate(model.classes)])
-    return softmax_columns(jll, model.classes, [f"_j{i}" for i in range(len(model.classes))], ["doc_id"])
+    wide = _per_class_sum(rows, docs, model.classes, "v", model.prior.select("label", F.col("log_prior").alias("base")))
+    return softmax_columns(wide, model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
 
 
 def feature_importance(model: GaussianModel) -> DataFrame:

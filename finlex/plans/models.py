@@ -44,6 +44,14 @@ class TypePipeline:
     pred: DataFrame
 
 
+def type_vocabulary(spark, sf):
+    """X1 alone: the type model's vocabulary from the training split."""
+    d = S.table(spark, sf, "documents", "doc_id", "text")
+    docs = d.select("doc_id", TX.normalize_variant("text", "type").alias("tt"))
+    train_terms, _ = EV.train_validation_split(VO.doc_terms(docs, "tt", VO.TYPE_VOCAB), VALIDATION, SEED)
+    return VO.fit_vocabulary(train_terms, VO.TYPE_VOCAB)
+
+
 def type_pipeline(spark, sf) -> TypePipeline:
     """Bernoulli NB over binary word 1-2-grams of ``documents``, label = language."""
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")

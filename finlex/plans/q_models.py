@@ -143,7 +143,7 @@ pred AS (SELECT doc_id, label AS predicted_class, p AS confidence FROM pr WHERE
 
 @register("X1_vocabulary", TYPE_CTE + "SELECT term, idx, df, tf FROM vocab")
 def x1_vocab(spark, sf):
-    return M.type_pipeline(spark, sf).vocab
+    return M.type_vocabulary(spark, sf)
 
 
 @register("X2_binary_incidence", TYPE_CTE + """

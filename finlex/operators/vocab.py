@@ -125,7 +125,7 @@ def assemble(df: DataFrame, vector_col: str | None, numeric_cols: list[str], out
     """Text vector + numeric feature columns into one ML vector."""
     from pyspark.ml.feature import VectorAssembler
     inputs = ([vector_col] if vector_col else []) + numeric_cols
-    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error").transform(df)
 
 
 def sparse_vectors(vec: DataFrame, vocab_size: int, value: str = "n") -> DataFrame:

@@ -90,7 +90,7 @@ def with_step_errors(df: DataFrame, checks: dict[str, Column], stop_on_error: bo
     warns = F.array_compact(F.array(*[F.when(~c, F.lit(f"STEP_ERROR_{k.upper()}")) for k, c in checks.items()]))
     out = df.withColumn("warnings", warns)
     if stop_on_error:
-        out = out.withColumn("error_code", F.element_at("warnings", 1))
+        out = out.withColumn("error_code", F.try_element_at("warnings", F.lit(1)))
     return out
 
 

@@ -325,3 +325,31 @@ def l23_lda(spark, sf):
 
 
 _ = uuid  # work directories are unique per call
+
+
+@register("T11_step_error_policy", f"""
+SELECT doc_id, CASE WHEN length(text) >= 300 AND len({_SENT_SQL}) <= 1 THEN 'STEP_ERROR_TOKENIZER' END AS error_code
+FROM documents""")
+def t11_policy(spark, sf):
+    """stop_on_error: the first failed step check becomes the document's error code."""
+    d = S.table(spark, sf, "documents", "doc_id", "text")
+    v = V.validate_documents(d, min_length=300)
+    ok = v.filter(F.col("error_code").isNull()).drop("error_code").withColumn("text", F.col("clean_text"))
+    out = PL.with_step_errors(PL.default_pipeline().process(ok), {"tokenizer": F.size("sentences") > 1},
+                              stop_on_error=True)
+    bad = v.filter(F.col("error_code").isNotNull()).select("doc_id", F.lit(None).cast("string").alias("error_code"))
+    return out.select("doc_id", "error_code").unionByName(bad)
+
+
+@register("X6_X8_feature_union")
+def x6_x8_union(spark, sf):
+    """X8 registry -> X7 align by name -> X6 assemble text vector + numeric features (rows-only)."""
+    from ..operators import vocab as VO
+    VO.register_extractor("impact", lambda df: FE.with_impact_features(df, "it", keep=("doc_id",)))
+    p = M.sentiment_pipeline(spark, sf)
+    vec = VO.sparse_vectors(p.weights, int(p.vocab.count()), "w")
+    a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "impact").alias("it"))
+    num = VO.EXTRACTORS["impact"](a)
+    aligned = VO.align_features(num, M.IMPACT_FEATURES + ["feature_missing_at_serving"])
+    j = vec.join(aligned, "doc_id")
+    return VO.assemble(j, "text_vector", M.IMPACT_FEATURES).select("doc_id", "features")

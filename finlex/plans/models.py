@@ -55,7 +55,8 @@ def type_vocabulary(spark, sf):
 def type_pipeline(spark, sf) -> TypePipeline:
     """Bernoulli NB over binary word 1-2-grams of ``documents``, label = language."""
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
-    docs = d.select("doc_id", F.col("lang").alias("label"), TX.normalize_variant("text", "type").alias("tt"))
+    docs = d.select("doc_id", F.col("lang").alias("label"),
+                    TX.normalize_variant("text", "type").alias("tt")).repartition("doc_id")
     # reused by the vocabulary, the fit and the scoring: cut the lineage once
     terms = VO.doc_terms(docs, "tt", VO.TYPE_VOCAB, keep=("label",)).checkpoint()
     train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
@@ -80,8 +81,10 @@ class SentimentPipeline:
 def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipeline:
     """Complement NB over TF-IDF word 1-3-grams of ``ann``, label = sentiment."""
     a = FX.ann(spark, sf)
+    # one shuffle of the (short) text rows by doc_id: the (doc_id, term) counts, the
+    # TF-IDF norm window and the per-document scoring aggregation then reuse it
     docs = a.select("doc_id", F.col("sentiment_label").alias("label"),
-                    TX.normalize_variant("text", "sentiment").alias("st"))
+                    TX.normalize_variant("text", "sentiment").alias("st")).repartition("doc_id")
     terms = VO.doc_terms(docs, "st", VO.SENTIMENT_VOCAB, keep=("label",)).checkpoint()
     train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)

@@ -7,6 +7,7 @@ same aliases on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QueryFn = Callable
@@ -18,7 +19,14 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            # lineage cuts and stream state need the session's checkpoint folder
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -96,17 +96,25 @@ def threshold_sweep(probs_long: DataFrame, thresholds: list[float] = THRESHOLDS)
         F.col("f1").alias("best_f1"))
 
 
-def one_vs_rest_auc(probs_long: DataFrame) -> DataFrame:
+def one_vs_rest_auc(probs_long: DataFrame, buckets: int = 1024) -> DataFrame:
     """ROC AUC per class by the rank-sum formula (ties get average ranks).
 
-    Ranks come from counts per distinct probability value, so the only window
-    is over the (small) table of distinct values per class.
+    Exact ranks without one window per class: distinct probability values are
+    split into ``buckets`` ranges; bucket offsets come from a window over the
+    (class, bucket) totals (<= ``buckets`` rows per class), ranks inside a bucket
+    from a window keyed by (class, bucket), so a dominant class spreads over
+    many tasks.
     """
     x = probs_long.select("class", "prob", (F.col("true_class") == F.col("class")).cast("long").alias("pos"))
-    v = x.groupBy("class", "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("cp"))
-    w = Window.partitionBy("class").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    v = v.withColumn("avg_rank", F.col("below") + (F.col("c") + 1) / 2.0)
+    v = x.groupBy("class", "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("cp")) \
+        .withColumn("bucket", F.least(F.floor(F.col("prob") * buckets), F.lit(buckets - 1)).cast("int"))
+    tot = v.groupBy("class", "bucket").agg(F.sum("c").alias("bc"))
+    tot = tot.withColumn("offset", F.coalesce(F.sum("bc").over(
+        Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("class", "bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("within", F.coalesce(F.sum("c").over(w), F.lit(0))) \
+        .join(tot.select("class", "bucket", "offset"), ["class", "bucket"])
+    v = v.withColumn("avg_rank", F.col("offset") + F.col("within") + (F.col("c") + 1) / 2.0)
     s = v.groupBy("class").agg(F.sum(F.col("avg_rank") * F.col("cp")).alias("rs"),
                                F.sum("cp").alias("npos"), F.sum("c").alias("n"))
     nneg = F.col("n") - F.col("npos")

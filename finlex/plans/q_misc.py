@@ -39,7 +39,12 @@ def corpus_terms(spark, sf):
                                                   lambda x: F.length(x) >= 4)).alias("term")) \
         .filter(F.col("term").isNotNull())
     c = w.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "term"))
+    # two-stage exact top-3: per (lang, salt) first, so no task ranks a language's whole vocabulary
+    order = [F.col("n").desc(), F.col("term")]
+    c = c.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(64)))
+    c = c.withColumn("r0", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))) \
+        .filter("r0 <= 3")
+    rn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     cat = F.coalesce(F.create_map(*[x for kv in LANG_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[
         F.col("lang")], F.lit("mixed"))
     return c.withColumn("rn", rn).filter("rn <= 3").select(cat.alias("category"), "term",

@@ -8,7 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import simhash_pigeonring, wu_manber
+from . import (
+    html_render,
+    line_dedup,
+    packing,
+    pii_crf,
+    robust_outliers,
+    simhash_pigeonring,
+    warc,
+    wavelet,
+    wordpiece_count,
+    wu_manber,
+)
 from .common import prepare
 
 QUERIES: dict = {}
@@ -27,6 +38,57 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS hx FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hx, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest
+      FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@register("op1_warc_chunks", OP1_SQL)
+def op1(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+@register("op2_skip_chain_crf")
+def op2(spark, sf_dir):
+    return pii_crf.report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_wavelet_matrix")
+def op3(spark, sf_dir):
+    return wavelet.report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@register("op4_conflict_best_fit")
+def op4(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+@register("op5_robust_outliers")
+def op5(spark, sf_dir):
+    return robust_outliers.report(table(spark, sf_dir, "documents"))
+
+
+@register("op6_html_render")
+def op6(spark, sf_dir):
+    return html_render.report(table(spark, sf_dir, "pages"))
+
+
 @register("op7_simhash_pigeonring")
 def op7(spark, sf_dir):
     return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,3 +120,27 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 @register("op8_wu_manber", OP8_SQL)
 def op8(spark, sf_dir):
     return wu_manber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_wordpiece_count")
+def op9(spark, sf_dir):
+    return wordpiece_count.counted(table(spark, sf_dir, "documents"),
+                                   wordpiece_count.vocabulary(tokenizer_file("piece_bpe_32k.model")))
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
+u AS (SELECT doc_id, ls[k] AS line, coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)), 0)::BIGINT AS "start" FROM k),
+w AS (SELECT doc_id, "start", "start" + length(line) AS "end",
+             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM u),
+n AS (SELECT doc_id, "start", "end", array_to_string(ws, ' ') AS unit FROM w WHERE len(ws) >= 10),
+f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value("start") OVER o AS kept_start
+      FROM n WINDOW o AS (PARTITION BY unit ORDER BY doc_id, "start"))
+SELECT doc_id, "start", "end", kept_doc_id, kept_start FROM f WHERE (doc_id, "start") <> (kept_doc_id, kept_start)
+"""
+
+
+@register("op10_line_dedup", OP10_SQL)
+def op10(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))

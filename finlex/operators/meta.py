@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 DEFAULT_WEIGHT = 1.0
 STRENGTH_CAP = 10
 HISTORY_SIZE = 200
-TRAINING_ROWS = 1000
 MIN_STACKING_ROWS = 50
 
 
@@ -67,13 +66,13 @@ def weighted_vote(probs_long: DataFrame, weights: DataFrame) -> DataFrame:
     """M6: per class Σ p·w / Σ w over the models reporting it; argmax (ties by class).
 
     ``probs_long``: (doc_id, model, class, prob).  Documents without usable
-    probabilities get ``unknown`` / 0.
+    probabilities (all null) stay and get ``unknown`` / 0.
     """
-    j = probs_long.filter(F.col("prob").isNotNull()).join(F.broadcast(weights), "model", "left") \
-        .withColumn("w", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)))
+    j = probs_long.join(F.broadcast(weights), "model", "left") \
+        .withColumn("w", F.when(F.col("prob").isNotNull(), F.coalesce("weight", F.lit(DEFAULT_WEIGHT))))
     per = j.groupBy("doc_id", "class").agg((F.sum(F.col("prob") * F.col("w")) / F.sum("w")).alias("p"))
-    best = per.groupBy("doc_id").agg(F.min_by("class", F.struct(-F.col("p"), F.col("class"))).alias("c"),
-                                     F.max("p").alias("p"))
+    rank = F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("class")))
+    best = per.groupBy("doc_id").agg(F.min_by("class", rank).alias("c"), F.max("p").alias("p"))
     return best.select("doc_id", F.coalesce(F.col("c"), F.lit("unknown")).alias("predicted_class"),
                        F.coalesce(F.col("p"), F.lit(0.0)).alias("confidence"))
 

@@ -36,40 +36,39 @@ def contract_report(df: DataFrame, contract: dict) -> DataFrame:
     """Dataset contract in one aggregate pass.
 
     ``contract = {column: {"type": "bigint", "required": True, "allowed": [...]}}``;
-    output ``(column, check, violations)``.
+    output ``(column, check, violations)``; an empty contract gives no rows.
     """
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    aggs, meta = [], []
+    spark = df.sparkSession
+    aggs, checks, meta = [], [], []
     for col, spec in contract.items():
         if col not in types:
-            meta.append((col, "present", None))
+            meta.append((col, "present", 1))
             continue
         if "type" in spec:
             meta.append((col, "type", 0 if types[col] == spec["type"] else 1))
         if spec.get("required"):
-            aggs.append(F.count_if(F.col(col).isNull()).alias(f"{col}__required"))
+            aggs.append(F.count_if(F.col(f"`{col}`").isNull()))
+            checks.append((col, "required"))
         if "allowed" in spec:
-            aggs.append(F.count_if(~F.col(col).isin(*spec["allowed"])).alias(f"{col}__allowed"))
-    row = df.agg(*aggs) if aggs else None
-    parts = []
-    if row is not None:
-        parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(c.split("__")[0]).alias("column"), F.lit(c.split("__")[1]).alias("check"),
-                     F.col(c).cast("bigint").alias("violations")) for c in row.columns])).alias("x")).select("x.*"))
-    if meta:
-        spark = df.sparkSession
-        parts.append(spark.createDataFrame([(c, k, None if v is None else int(v)) for c, k, v in meta],
-                                           "column STRING, check STRING, violations BIGINT")
-                     .withColumn("violations", F.coalesce("violations", F.lit(1)).cast("bigint")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            aggs.append(F.count_if(~F.col(f"`{col}`").isin(*spec["allowed"])))
+            checks.append((col, "allowed"))
+    out = spark.createDataFrame(meta, "column STRING, check STRING, violations BIGINT")
+    if aggs:
+        row = df.agg(*[a.alias(f"v{i}") for i, a in enumerate(aggs)])
+        out = out.unionByName(row.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(k).alias("check"), F.col(f"v{i}").cast("bigint").alias("violations"))
+            for i, (c, k) in enumerate(checks)])).alias("x")).select("x.*"))
     return out
 
 
 def gate(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """Fail the job (before any write) when ``condition`` holds for some row."""
-    return df.withColumn("_gate", F.when(condition, F.raise_error(F.lit(message)))).drop("_gate")
+    """Fail the job (before any commit) when ``condition`` holds for some row.
+
+    The check is a filter that lets every other row through: unlike a column it cannot be
+    pruned, whatever the caller selects.
+    """
+    return df.filter(F.when(condition, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
 
 
 def throughput_report(results: DataFrame, seconds: float, error_col: str = "error_code") -> DataFrame:

@@ -4,7 +4,6 @@ tuning (S3-S8, V10, V11, V13, T3, T10-T17, Q1, Q2, L12, L15, L16, L18, L22, L23)
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -164,9 +163,11 @@ def v11_taxonomy(spark, sf):
     return QY.error_counts(errs)
 
 
-@register("V13_conditional_gate")
+@register("V13_conditional_gate", """
+SELECT o_orderkey, CASE WHEN o_totalprice < 0 THEN error('negative order price') ELSE o_totalprice END AS o_totalprice
+FROM orders""")
 def v13_gate(spark, sf):
-    """Validated orders pass the gate (no negative prices); rows-only."""
+    """Orders pass the gate: no negative prices."""
     o = S.table(spark, sf, "orders", "o_orderkey", "o_totalprice")
     return QY.gate(o, F.col("o_totalprice") < 0, "negative order price")
 
@@ -325,13 +326,10 @@ def l22_stats(spark, sf):
 def l23_lda(spark, sf):
     p = M.type_pipeline(spark, sf)
     counts = p.terms.join(F.broadcast(p.vocab.select("term", "idx")), "term").select("doc_id", "idx", "n")
-    model, vec = TU.lda_topics(counts, int(p.vocab.count()), k=20, max_iter=5)
+    model, vec = TU.lda_topics(counts, int(p.vocab.count()), k=20, max_iter=10)
     return model.describeTopics(5)
 
 
-_ = uuid  # work directories are unique per call
-
-
 @register("T11_step_error_policy", f"""
 SELECT doc_id, CASE WHEN length(text) >= 300 AND len({_SENT_SQL}) <= 1 THEN 'STEP_ERROR_TOKENIZER' END AS error_code
 FROM documents""")

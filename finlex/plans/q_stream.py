@@ -40,7 +40,7 @@ SELECT doc_id, CASE WHEN length(text) < 300 THEN 'TEXT_TOO_SHORT' END AS error_c
   CAST(CASE WHEN length(text) < 300 THEN 0 ELSE {_WORDS} END AS BIGINT) AS word_count FROM documents""")
 def r1_stream(spark, sf):
     out = _run_document_stream(spark, sf)
-    return spark.read.parquet(f"{out}/results")
+    return spark.read.parquet(f"{out}/results").drop("batch_id")
 
 
 @register("R2_R3_stream_statistics", """
@@ -73,4 +73,4 @@ def r5_history(spark, sf):
     ev = ST.table_stream(spark, sf, EVENT_SCHEMA, "events.parquet")
     out = ST.work_dir(spark, "history")
     ST.run_history(ev, out, 5).awaitTermination()
-    return spark.read.parquet(f"{out}/history")
+    return ST.current_history(spark, out)

@@ -6,7 +6,6 @@ shuffle partitions, bounded broadcasts) and stay harmless in ``local[*]`` tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset.
 
     On a cluster the directory is a shared (distributed) folder named by the
-    deployment.  A machine-local temporary folder is only used when nothing is
-    configured, which is the local test setting.
+    deployment; without one this raises.  A temporary folder is only used by a
+    local master, whose driver and executors are one process.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -59,7 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
-    local = tempfile.mkdtemp(prefix="finlex-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="finlex-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -1,19 +1,21 @@
 """Lexicon sources and sinks (S3-S6) and lexicon-driven counting at any size.
 
-A lexicon is the table ``lexicon(name, category, term, ord)``.  Counting uses
-literal arrays when the lexicon is small (checked) and an Aho-Corasick scan in
-a pandas UDF beyond that, with the exact non-overlapping per-term semantics.
+A lexicon is the table ``lexicon(name, category, term, ord)``.  Counting is one
+Aho-Corasick scan per text in a pandas UDF, with the exact non-overlapping
+per-term semantics.
 """
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 
 CATEGORIES = ("positive", "negative", "neutral")
 LEXICON_SCHEMA = "name STRING, category STRING, term STRING, ord INT"
-LITERAL_TERM_LIMIT = 5_000
+LEXICON_BYTES = 256 << 20
 
 
 def default_lexicon(spark: SparkSession, name: str = "default") -> DataFrame:
@@ -82,54 +84,39 @@ def extend_lexicon(lex: DataFrame, new_terms: DataFrame) -> DataFrame:
 def lexicon_counts(docs: DataFrame, text_col: str, lex: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """F10 with a lexicon table: ``<category>_terms_count`` per document.
 
-    Small lexicons (checked count) become literal arrays: a narrow projection.
-    Larger ones are broadcast to executors and scanned with Aho-Corasick inside
-    a pandas UDF (exact ``str.count`` semantics per term), still without a
-    shuffle of the documents.
+    One Aho-Corasick pass per text with the non-overlapping ``str.count`` rule per
+    term, built once per task; null text counts 0.  The dictionary has to fit in a
+    worker, so it is measured first and one beyond ``LEXICON_BYTES`` is refused.
     """
-    n = lex.count()
-    terms = {c: [r["term"] for r in lex.filter(F.col("category") == c).orderBy("ord").select("term").collect()]
-             for c in CATEGORIES} if n <= LITERAL_TERM_LIMIT else None
-    t = F.col(text_col)
-    if terms is not None:
-        from ..functions.text import count_terms
-        return docs.select(*keep, *[count_terms(t, terms[c]).alias(f"{c}_terms_count") for c in CATEGORIES])
-    return _aho_corasick_counts(docs, text_col, lex, keep)
-
-
-def _aho_corasick_counts(docs: DataFrame, text_col: str, lex: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    spark = docs.sparkSession
-    rows = lex.select("category", "term").collect()  # executors need the whole dictionary
-    bc = spark.sparkContext.broadcast([(r["category"], r["term"].lower()) for r in rows])
+    size = lex.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"the lexicon takes {size} bytes; a dictionary of at most {LEXICON_BYTES} fits in a worker")
+    bc = docs.sparkSession.sparkContext.broadcast(
+        [(r["category"], r["term"].lower()) for r in lex.select("category", "term").collect() if r["term"]])
 
     @F.pandas_udf("positive LONG, negative LONG, neutral LONG")
-    def count(texts: pd.Series) -> pd.DataFrame:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
         auto = ahocorasick.Automaton()
         by_term: dict[str, list[str]] = {}
         for cat, term in bc.value:
-            if term:
-                by_term.setdefault(term, []).append(cat)
+            by_term.setdefault(term, []).append(cat)
         for term, cats in by_term.items():
             auto.add_word(term, (term, cats))
         auto.make_automaton()
-        out = {c: [] for c in CATEGORIES}
-        for text in texts.fillna(""):
-            last_end: dict[str, int] = {}
-            counts = dict.fromkeys(CATEGORIES, 0)
-            for end, (term, cats) in auto.iter(text):
-                start = end - len(term) + 1
-                if start > last_end.get(term, -1):  # non-overlapping per term, like str.count
-                    last_end[term] = end
-                    for c in cats:
-                        counts[c] += 1
-            for c in CATEGORIES:
-                out[c].append(counts[c])
-        return pd.DataFrame(out)
+        for texts in batches:
+            out = {c: [] for c in CATEGORIES}
+            for text in texts.fillna(""):
+                last_end: dict[str, int] = {}
+                counts = dict.fromkeys(CATEGORIES, 0)
+                for end, (term, cats) in auto.iter(text) if by_term else ():
+                    if end - len(term) + 1 > last_end.get(term, -1):
+                        last_end[term] = end
+                        for c in cats:
+                            counts[c] += 1
+                for c in CATEGORIES:
+                    out[c].append(counts[c])
+            yield pd.DataFrame(out)
 
     r = docs.select(*keep, count(F.col(text_col)).alias("_c"))
     return r.select(*keep, *[F.col(f"_c.{c}").alias(f"{c}_terms_count") for c in CATEGORIES])
-
-
-def as_column_terms(lex_terms: dict[str, list[str]]) -> dict[str, Column]:
-    return {c: F.array(*[F.lit(t) for t in ts]) for c, ts in lex_terms.items()}

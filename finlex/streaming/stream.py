@@ -1,12 +1,14 @@
 """Structured Streaming operators.
 
 * R1-R3: a file stream of documents runs the batch operators per micro-batch
-  inside ``foreachBatch``; every batch appends its result and one statistics
-  row; a failing batch is counted as errors and the stream continues.
+  inside ``foreachBatch``; every batch writes its result and one statistics
+  row under its batch id, so a batch that is run again replaces itself; a
+  failing batch is counted as errors and the stream continues.
 * R4: online model weights from an outcome stream: a streaming aggregation
   keyed by (model, class) in complete mode, weights recomputed per batch.
-* R5: bounded per-key history kept as state (``applyInPandasWithState``),
-  capped at N rows per key.
+* R5: bounded per-key history kept as state (``applyInPandasWithState``, RocksDB
+  state store), capped at N rows per key; each batch writes the histories it
+  changed under its batch id, and a key's newest batch holds its history.
 
 Sinks and checkpoints live under the session's ``spark.checkpoint.dir`` (a
 shared folder on a cluster), so a restarted query resumes from its offsets.
@@ -41,27 +43,32 @@ def table_stream(spark: SparkSession, directory: str, schema: str, glob: str = "
 def run_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], out_dir: str,
                 error_col: str = "error_code", callback: Callable[[DataFrame, int], None] | None = None,
                 available_now: bool = True):
-    """Process each micro-batch, append results and a statistics row.
+    """Process each micro-batch, write its results and a statistics row.
 
-    A batch whose processing fails is recorded with all its texts as errors
-    (and its raw rows go to quarantine); the stream keeps going.
+    All folders are partitioned by ``batch_id`` and overwritten, so running a
+    batch again after a restart leaves no second copy.  A batch whose processing
+    fails is recorded with all its texts as errors (its raw rows go to
+    quarantine) and the stream keeps going; ``callback`` runs on the written
+    results, outside that rule: its failure stops the stream.
     """
-    results, stats, quarantine = f"{out_dir}/results", f"{out_dir}/stats", f"{out_dir}/quarantine"
     spark = stream.sparkSession
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        at = f"batch_id={batch_id}"
         n = batch.count()
+        written = None
         try:
-            out = process(batch)
-            out.write.mode("append").parquet(results)
-            errors = out.filter(F.col(error_col).isNotNull()).count() if error_col in out.columns else 0
-            if callback is not None:
-                callback(out, batch_id)
+            process(batch).write.mode("overwrite").parquet(f"{out_dir}/results/{at}")
         except Exception:  # noqa: BLE001 - R3: count the batch as failed, keep the stream alive
-            batch.write.mode("append").parquet(quarantine)
+            batch.write.mode("overwrite").parquet(f"{out_dir}/quarantine/{at}")
             errors = n
-        spark.createDataFrame([(int(batch_id), int(n), int(errors))], "batch_id BIGINT, texts BIGINT, errors BIGINT") \
-            .write.mode("append").parquet(stats)
+        else:
+            written = spark.read.parquet(f"{out_dir}/results/{at}")
+            errors = written.filter(F.col(error_col).isNotNull()).count() if error_col in written.columns else 0
+        spark.createDataFrame([(int(n), int(errors))], "texts BIGINT, errors BIGINT") \
+            .write.mode("overwrite").parquet(f"{out_dir}/stats/{at}")
+        if callback is not None and written is not None:
+            callback(written, batch_id)
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -123,11 +130,20 @@ def bounded_history(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def run_history(events_stream: DataFrame, out_dir: str, n: int = 5):
-    """R5 driver: the latest per-user history overwrites a table each batch."""
+    """R5 driver: each batch writes the histories of the users it saw."""
+    events_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     hist = bounded_history(events_stream, n)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{out_dir}/history")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/history/batch_id={batch_id}")
 
     return hist.writeStream.outputMode("update").foreachBatch(per_batch) \
         .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start()
+
+
+def current_history(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Every user's history as of the newest batch that had the user."""
+    h = spark.read.parquet(f"{out_dir}/history")
+    newest = h.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
+    return h.join(newest, ["user_id", "batch_id"], "left_semi").drop("batch_id")

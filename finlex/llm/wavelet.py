@@ -39,7 +39,7 @@ from .common import materialize, prepare, shared_path, text_bytes
 
 END_ID = 1
 SHARD_TOKENS = 1 << 23
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 MAGIC = b"FXWVMTX1"
 BLOCK = 512  # bits per entry of the rank directory
 FRAME = 1 << 16  # bytes of a plane compressed together
@@ -61,54 +61,51 @@ class Encoder:
         for token, k in vocabulary.items():
             self.final[k] = bool(suffix) and token.endswith(suffix)
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
 
     def _learn(self, keys: list[bytes]) -> None:
-        """ids of words without white space into ``cores``."""
-        plain = [k for k in keys if self.final.any() and k.decode(errors="replace").isalpha()]
-        done = set()
-        for i in range(0, len(plain), 1000):
-            part = plain[i:i + 1000]
-            text = " ".join(k.decode() for k in part)
+        """Encode words without white space and keep their ids."""
+        decoded = [k.decode(errors="replace") for k in keys]
+        plain = [i for i, t in enumerate(decoded) if t.isalpha()] if self.final.any() else []
+        rest = set(range(len(keys)))
+        size = self.dtype.itemsize
+        for at in range(0, len(plain), 1000):
+            part = plain[at:at + 1000]
+            text = " ".join([decoded[i] for i in part])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(self.final[ids]) + 1
+            ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
             if len(ends) == len(part) and ends[-1] == len(ids):  # one pre-token a word
-                for k, x in zip(part, np.split(ids, ends)):
-                    self.cores[k] = x.tobytes()
-                done.update(part)
-        rest = [k for k in keys if k not in done]
-        for k, e in zip(rest, self.tokenizer.encode_batch([k.decode(errors="replace") for k in rest], add_special_tokens=False)):
-            self.cores[k] = self._pack(e.ids)
-
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, bytes]:
-        """(core, punctuation after it): the tokenizer parts them too when the core ends in a letter."""
-        core = word.rstrip(b".,!?;:")
-        if core and core != word and (0x61 <= core[-1] | 0x20 <= 0x7A):
-            tail = word[len(core):]
-        else:
-            core, tail = word, b""
-        return (core.lower() if core.isascii() and b"<|" not in core else core), tail
+                raw = ids.tobytes()
+                for i, a, b in zip(part, [0, *ends], ends):
+                    self.words[keys[i]] = raw[a * size:b * size]
+                rest.difference_update(part)
+        rest = sorted(rest)
+        for i, e in zip(rest, self.tokenizer.encode_batch([decoded[i] for i in rest], add_special_tokens=False)):
+            self.words[keys[i]] = np.asarray(e.ids, self.dtype).tobytes()
 
     def encode(self, datas: list[bytes]) -> list[bytes]:
-        split = [d.split() for d in datas]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.words]
+        # the tokenizer lower-cases too; only the names of its special tokens are matched before
+        split = [(d if b"<|" in d else d.lower()).split() for d in datas]
+        known = self.words
+        new = set(chain.from_iterable(split)).difference(known)
         if new:
-            if len(self.words) + len(new) > CACHE_WORDS // 2:
-                self.words.clear()
-                new = list(set(chain.from_iterable(split)))
-            parts = [self.split(w) for w in new]
-            missing = {p for ps in parts for p in ps if p and p not in self.cores}
-            if len(self.cores) + len(missing) > CACHE_WORDS:
-                self.cores.clear()
-                missing = {p for ps in parts for p in ps if p}
-            self._learn(sorted(missing))
-            for w, (core, tail) in zip(new, parts):
-                self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+            if len(known) + 2 * len(new) > CACHE_WORDS:
+                known.clear()
+                new = set(chain.from_iterable(split))
+            parted, learn = [], set()
+            for w in new:
+                core = w.rstrip(b".,!?;:")
+                # punctuation after a letter is a pre-token of its own
+                if core and core != w and 0x61 <= core[-1] | 0x20 <= 0x7A:
+                    tail = w[len(core):]
+                    parted.append((w, core, tail))
+                    learn.add(core)
+                    learn.add(tail)
+                else:
+                    learn.add(w)
+            self._learn(sorted(learn.difference(known)))
+            for w, core, tail in parted:
+                known[w] = known[core] + known[tail]
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -132,9 +129,12 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for level in range(bits - 1, -1, -1):
         one = (a & a.dtype.type(1 << level)) != 0
         planes.append(np.packbits(one, bitorder="little"))
-        low = a[~one]
-        zeros.append(len(low))
-        a = np.concatenate((low, a[one]))
+        z = len(a) - int(np.count_nonzero(one))
+        parted = np.empty_like(a)
+        np.compress(one, a, out=parted[z:])
+        np.compress(np.logical_not(one, out=one), a, out=parted[:z])
+        zeros.append(z)
+        a = parted
     return planes, zeros
 
 

@@ -8,6 +8,7 @@ the posterior table, bounded by that count, is broadcast back to documents.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,6 +58,7 @@ EXTENDED_RECOMMENDATION = {k: v[0].upper() + v[1:] for k, v in ACTION.items()}
 
 ALL_NODES = list(ROOTS) + list(CHILDREN)
 UNOBSERVED = "?"
+FOREIGN = "!"  # an observed state that the node does not have
 
 
 def _map_lit(d: dict) -> Column:
@@ -88,9 +90,9 @@ def market_direction_state(s: int, i: int) -> int:
     return min(max(math.trunc(2 - combined + 0.5), 0), 4)
 
 
-def cpt_table(spark: SparkSession) -> DataFrame:
-    """Every child CPT in long form ``(node, state, ord, document_type, sentiment, impact, p)``;
-    a parent column is null when that root is not a parent of the node."""
+def cpt_rows() -> list[tuple]:
+    """Every child CPT as (node, state, ord, document_type, sentiment, impact, p); a
+    parent is None when that root is not a parent of the node."""
     rows = []
     md_states, _ = CHILDREN["market_direction"]
     for si, s in enumerate(ROOTS["sentiment"]):
@@ -102,13 +104,16 @@ def cpt_table(spark: SparkSession) -> DataFrame:
     for node in ("investment_horizon", "risk_level", "confidence_level"):
         states, parents = CHILDREN[node]
         grids = [[None] if r not in parents else ROOTS[r] for r in ("document_type", "sentiment", "impact")]
-        for d in grids[0]:
-            for s in grids[1]:
-                for i in grids[2]:
-                    for k, st in enumerate(states):
-                        rows.append((node, st, k, d, s, i, 1.0 / len(states)))
+        for d, s, i in itertools.product(*grids):
+            for k, st in enumerate(states):
+                rows.append((node, st, k, d, s, i, 1.0 / len(states)))
+    return rows
+
+
+def cpt_table(spark: SparkSession) -> DataFrame:
+    """A7 as a table."""
     return spark.createDataFrame(
-        rows, "node STRING, state STRING, ord INT, document_type STRING, sentiment STRING, impact STRING, p DOUBLE")
+        cpt_rows(), "node STRING, state STRING, ord INT, document_type STRING, sentiment STRING, impact STRING, p DOUBLE")
 
 
 def normalize_cpt(cpt: DataFrame, parents: list[str], value: str = "p") -> DataFrame:
@@ -196,73 +201,64 @@ def evidence(mapped: DataFrame, failed: DataFrame | None = None, adaptive: bool
 # ---------------------------------------------------------------- A10-A15 inference
 
 def evidence_key(ev: DataFrame) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(r), F.lit(UNOBSERVED)) for r in ROOTS])
+    return F.concat_ws("|", *[F.when(F.col(r).isNull(), UNOBSERVED).when(F.col(r).isin(*states), F.col(r)).otherwise(FOREIGN)
+                              for r, states in ROOTS.items()])
 
 
-def _states_array(node: str) -> Column:
-    """Literal ARRAY<STRUCT<state, ord, prior>> of a root (bounded by the network)."""
-    return F.array(*[F.struct(F.lit(st).alias("state"), F.lit(i).alias("ord"),
-                              F.lit(float(PRIORS[node][i])).alias("prior"))
-                     for i, st in enumerate(ROOTS[node])])
+def node_states() -> dict[str, list[str]]:
+    return {**ROOTS, **{n: states for n, (states, _) in CHILDREN.items()}}
 
 
-def root_posteriors(combos: DataFrame) -> DataFrame:
-    """Observed root: indicator; unobserved root: prior.  ``(key, node, state, ord, p)``."""
-    out = None
-    for r in ROOTS:
-        x = combos.select("key", F.col(r).alias("obs"), F.inline(_states_array(r))) \
-            .select("key", F.lit(r).alias("node"), "state", "ord",
-                    F.when(F.col("obs").isNull(), F.col("prior"))
-                    .when(F.col("obs") == F.col("state"), 1.0).otherwise(0.0).alias("p"))
-        out = x if out is None else out.unionByName(x)
+def posterior_rows(cpt: list[tuple] | None = None) -> list[tuple]:
+    """A10, A12, A13, A15 for every evidence combination there can be: (key, probabilities per node).
+
+    The posterior depends on the network alone.  An observed root is an indicator, an
+    unobserved one its prior; a child sums its CPT over its parents' product; a node whose
+    sum is zero (a foreign state was observed), or that has no CPT, is uniform.
+    """
+    cpt = cpt_rows() if cpt is None else cpt
+    place = {r: i for i, r in enumerate(("document_type", "sentiment", "impact"))}
+    out = []
+    for observed in itertools.product(*[[None, FOREIGN, *states] for states in ROOTS.values()]):
+        root = {r: {st: (PRIORS[r][i] if o is None else float(o == st)) for i, st in enumerate(ROOTS[r])}
+                for r, o in zip(ROOTS, observed)}
+        post = {r: [root[r][st] for st in ROOTS[r]] for r in ROOTS}
+        for child, (states, _) in CHILDREN.items():
+            post[child] = [0.0] * len(states)
+        for node, _, k, *parents, p in cpt:
+            w = p
+            for r, i in place.items():
+                if parents[i] is not None:
+                    w *= root[r][parents[i]]
+            post[node][k] += w
+        for node, ps in post.items():
+            total = sum(ps)
+            post[node] = [x / total for x in ps] if total > 0 else [1.0 / len(ps)] * len(ps)
+        key = "|".join(UNOBSERVED if o is None else o for o in observed)
+        out.append((key, *post.values()))
     return out
 
 
-def _all_node_states() -> Column:
-    rows = [(n, st, i) for n, sts in ROOTS.items() for i, st in enumerate(sts)]
-    rows += [(n, st, i) for n, (sts, _) in CHILDREN.items() for i, st in enumerate(sts)]
-    return F.array(*[F.struct(F.lit(n).alias("node"), F.lit(st).alias("state"), F.lit(i).alias("ord"))
-                     for n, st, i in rows])
-
-
-def child_posteriors(rp: DataFrame, cpt: DataFrame) -> DataFrame:
-    """A12/A13 sum-product: Σ_cfg CPT(x|cfg) Π_parent post(parent) for every child."""
-    out = None
-    for child, (_, parents) in CHILDREN.items():
-        t = F.broadcast(cpt.filter(F.col("node") == child))
-        j = None
-        weight = F.lit(1.0)
-        for par in parents:
-            rpp = rp.filter(F.col("node") == par).select("key", F.col("state").alias(par), F.col("p").alias(f"w_{par}"))
-            j = rpp if j is None else j.join(rpp, "key")
-            weight = weight * F.col(f"w_{par}")
-        j = j.withColumn("w", weight).filter(F.col("w") > 0).join(t, parents)
-        x = j.groupBy("key", "node", "state", "ord").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
-        out = x if out is None else out.unionByName(x)
-    return out
+def posterior_table(spark: SparkSession) -> DataFrame:
+    """One row per evidence combination, one array of probabilities (in state order) per node."""
+    return spark.createDataFrame(posterior_rows(), "key STRING, " + ", ".join(f"{n} ARRAY<DOUBLE>" for n in node_states()))
 
 
-def normalize_posterior(post: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A15 + normalise: every (key, node, state) present; missing -> uniform; sum to 1."""
-    full = post.select("key").distinct().select("key", F.inline(_all_node_states()))
-    j = full.join(post.select("key", "node", "state", "p"), ["key", "node", "state"], "left")
-    w = Window.partitionBy("key", "node")
-    tot, k = F.sum("p").over(w), F.count(F.lit(1)).over(w)
-    return j.withColumn("p", F.when(tot > 0, F.coalesce(F.col("p"), F.lit(0.0)) / tot).otherwise(1.0 / k))
+def _all_node_states() -> Column:
+    return F.array(*[F.struct(F.lit(n).alias("node"), F.lit(st).alias("state"), F.lit(i).alias("ord"))
+                     for n, sts in node_states().items() for i, st in enumerate(sts)])
 
 
 def infer(ev: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Posterior of every node for every distinct evidence combination.
+    """``(docs_with_key, posterior(key, node, state, ord, p))``.
 
-    Returns ``(docs_with_key, posterior(key, node, state, ord, p))``.  The
-    combination table is bounded by the network (<= 252 rows), so its posterior
-    (<= 252 x 36 rows) is safe to broadcast back to the documents.
+    The posterior table has a row for each of the network's combinations, so it is bounded
+    by the network, needs no look at the data, and is safe to broadcast.
     """
     docs = ev.withColumn("key", evidence_key(ev))
-    combos = docs.select("key", *ROOTS).distinct()
-    rp = root_posteriors(combos)
-    post = rp.unionByName(child_posteriors(rp, cpt_table(spark)))
-    return docs, normalize_posterior(post, nodes_table(spark))
+    rows = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(st).alias("state"), F.lit(i).alias("ord"), F.col(n)[i].alias("p"))
+                     for n, sts in node_states().items() for i, st in enumerate(sts)])
+    return docs, posterior_table(spark).select("key", F.inline(rows))
 
 
 def heuristic_posterior(ev: DataFrame, spark: SparkSession) -> DataFrame:
@@ -325,17 +321,19 @@ def summary(direction: Column, confidence: Column, horizon: Column, risk: Column
                     F.lit("."))
 
 
+def best_state(node: str) -> Column:
+    """A16 on a posterior row: the node's most probable state, the first in order on ties."""
+    states = F.array(*[F.lit(x) for x in node_states()[node]])
+    return F.element_at(states, F.array_position(F.col(node), F.array_max(node)).cast("int"))
+
+
 def decision_table(ev: DataFrame, spark: SparkSession, extended: bool = False) -> DataFrame:
     """A16-A18 + A20 per document: direction, horizon, risk, recommendation, summary."""
-    docs, post = infer(ev, spark)
-    dec = decisions(post)
-    wide = dec.groupBy("key").pivot("node", ["market_direction", "investment_horizon", "risk_level"]).agg(
-        F.first("decision").alias("s"), F.first("decision_p").alias("p"))
-    per_key = wide.select(
-        "key", F.col("market_direction_s").alias("market_direction"),
-        F.col("market_direction_p").alias("market_direction_confidence"),
-        F.col("investment_horizon_s").alias("investment_horizon"), F.col("risk_level_s").alias("risk_level"))
+    per_key = posterior_table(spark).select(
+        "key", best_state("market_direction").alias("market_direction"),
+        F.array_max("market_direction").alias("market_direction_confidence"),
+        best_state("investment_horizon").alias("investment_horizon"), best_state("risk_level").alias("risk_level"))
     per_key = per_key.withColumn("recommendation", recommendation(F.col("market_direction"), extended)) \
         .withColumn("summary", summary(F.col("market_direction"), F.col("market_direction_confidence"),
                                        F.col("investment_horizon"), F.col("risk_level")))
-    return docs.select("doc_id", "key").join(F.broadcast(per_key), "key")
+    return ev.select("doc_id", evidence_key(ev).alias("key")).join(F.broadcast(per_key), "key")

@@ -1,11 +1,12 @@
 """Naive Bayes models as relational model tables.
 
 Fit = aggregations keyed by (class, term|feature): partial aggregation on the
-map side, output bounded by classes x vocabulary (or features).  Score = the
-bounded model table broadcast-joined to long-form document rows, then one
-aggregation keyed by ``doc_id`` producing one column per class, and an in-row
-softmax.  The class list is read from the (tiny) class table; it is bounded by
-the number of labels.
+map side, output bounded by classes x vocabulary (or features).  Score of the
+text models = a table with one row per term and an array of class weights joined
+to (doc, term) rows, then one aggregation keyed by ``doc_id`` producing one
+column per class, and an in-row softmax; of the Gaussian model = a projection.
+The class list is read from the (tiny) class table; it is bounded by the number
+of labels.
 """
 
 from __future__ import annotations
@@ -57,20 +58,26 @@ def probabilities_long(pred: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     return pred.select(*keep, F.explode("probabilities").alias("class", "prob"))
 
 
-def _per_class_sum(rows: DataFrame, docs: DataFrame, classes: list[str], value: str,
-                   base: DataFrame | None = None) -> DataFrame:
-    """Sum ``value`` per (doc, class) as one column per class; documents with no
-    rows get the class ``base`` (or 0).  Union-then-aggregate: one shuffle keyed
-    by doc_id; ``base`` (label, base) has one row per class and is broadcast."""
-    if base is None:
-        zero = docs.select("doc_id", *[F.lit(0.0).alias(f"_s{i}") for i in range(len(classes))])
-    else:
-        per_doc = docs.select("doc_id", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label")) \
-            .join(F.broadcast(base.select("label", F.col("base").alias("_b"))), "label")
-        zero = per_doc.select("doc_id", *[F.when(F.col("label") == c, F.col("_b")).otherwise(0.0).alias(f"_s{i}")
-                                          for i, c in enumerate(classes)])
-    contrib = rows.select("doc_id", *[F.when(F.col("label") == c, F.col(value)).otherwise(0.0).alias(f"_s{i}")
-                                      for i, c in enumerate(classes)])
+# A term's weights go to every executor while the model has at most so many of them (16 MB);
+# a larger model is joined by a shuffle on the term.
+BROADCAST_WEIGHTS = 2_000_000
+
+
+def _term_scores(rows: DataFrame, docs: DataFrame, classes: list[str], model: DataFrame, value: str, x: Column,
+                 base: dict[str, float]) -> DataFrame:
+    """Per document and class ``base`` plus Σ x · weight over its (doc, term) rows, one column per class.
+
+    ``model`` (label, term, value) becomes one row a term with an array of class
+    weights, so scoring keeps one row per (doc, term).  Those are summed before the
+    one shuffle by doc_id, which carries a row per document and task.
+    """
+    per_term = model.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", value))).alias("_m")) \
+        .select("term", F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.col("_m")[c]).alias("_w"))
+    if model.count() <= BROADCAST_WEIGHTS:
+        per_term = F.broadcast(per_term)
+    zero = docs.select("doc_id", *[F.lit(base.get(c, 0.0)).alias(f"_s{i}") for i, c in enumerate(classes)])
+    contrib = rows.join(per_term, "term").select(
+        "doc_id", *[(x * F.col("_w")[i]).alias(f"_s{i}") for i in range(len(classes))])
     return zero.unionByName(contrib).groupBy("doc_id").agg(
         *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(classes))])
 
@@ -109,15 +116,15 @@ def bernoulli_fit(train_terms: DataFrame, train_docs: DataFrame, vocab: DataFram
 def bernoulli_score(model: BernoulliModel, doc_terms_present: DataFrame, docs: DataFrame) -> DataFrame:
     """L3: Σ present ln p + Σ absent ln(1-p) + prior, softmax, argmax.
 
+    ``doc_terms_present`` holds each (doc, term) once.
     ``base_c`` = prior + Σ_vocab ln(1-p) (k numbers); the present terms add
     ln p - ln(1-p) through a broadcast join of the vocabulary-sized model.
     """
     base = (model.theta.groupBy("label").agg(F.sum("log_1mp").alias("b"))
             .join(model.prior, "label").select("label", (F.col("b") + F.col("log_prior")).alias("base")))
-    delta = (doc_terms_present.select("doc_id", "term").distinct()
-             .join(F.broadcast(model.theta.select("label", "term", (F.col("log_p") - F.col("log_1mp")).alias("d"))),
-                   "term"))
-    wide = _per_class_sum(delta, docs, model.classes, "d", base)
+    delta = model.theta.select("label", "term", (F.col("log_p") - F.col("log_1mp")).alias("d"))
+    wide = _term_scores(doc_terms_present.select("doc_id", "term"), docs, model.classes, delta, "d", F.lit(1.0),
+                        dict(tuple(r) for r in base.collect()))  # one number a class
     return softmax_columns(wide, model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
 
 
@@ -163,10 +170,8 @@ def complement_fit(train_weights: DataFrame, train_docs: DataFrame, vocab: DataF
 
 def complement_score(model: ComplementModel, doc_weights: DataFrame, docs: DataFrame) -> DataFrame:
     """jll_c = Σ_t x_t w_ct, softmax, argmax (no prior with several classes)."""
-    rows = doc_weights.select("doc_id", "term", F.col("w").alias("x")).join(
-        F.broadcast(model.weights.select("label", "term", F.col("w").alias("wc"))), "term") \
-        .select("doc_id", "label", (F.col("x") * F.col("wc")).alias("v"))
-    wide = _per_class_sum(rows, docs, model.classes, "v")
+    wide = _term_scores(doc_weights.select("doc_id", "term", F.col("w").alias("_x")), docs, model.classes,
+                        model.weights, "w", F.col("_x"), {})
     return softmax_columns(wide, model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
 
 
@@ -218,13 +223,31 @@ def gaussian_fit(long_train: DataFrame, train_docs: DataFrame, var_smoothing: fl
 
 def gaussian_score(model: GaussianModel, long_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """Log prior - ½Σ ln(2πσ²) - ½Σ (x-μ)²/σ², softmax, argmax."""
-    lt = scale(long_docs, model.scaler) if model.scaler is not None else long_docs
-    rows = lt.select("doc_id", "feature", "x").join(F.broadcast(model.stats), "feature").select(
-        "doc_id", "label",
-        (-0.5 * F.log(2 * math.pi * F.col("var")) - 0.5 * F.pow(F.col("x") - F.col("mean"), 2) / F.col("var"))
-        .alias("v"))
-    wide = _per_class_sum(rows, docs, model.classes, "v", model.prior.select("label", F.col("log_prior").alias("base")))
-    return softmax_columns(wide, model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
+    features = [r[0] for r in model.stats.select("feature").distinct().orderBy("feature").collect()]
+    wide = docs.select("doc_id").join(
+        long_docs.groupBy("doc_id").pivot("feature", features).agg(F.first("x")), "doc_id", "left")
+    return gaussian_score_wide(model, wide)
+
+
+def gaussian_score_wide(model: GaussianModel, wide: DataFrame) -> DataFrame:
+    """L9 over one column per feature: a projection.  The model's classes x features numbers
+    become literals of the expression, so nothing is joined, exploded or shuffled."""
+    stats = {(r.label, r.feature): (r["mean"], r["var"]) for r in model.stats.collect()}
+    scaler = {r.feature: (r["mean"], r["std"]) for r in model.scaler.collect()} if model.scaler is not None else {}
+    prior = {r.label: r.log_prior for r in model.prior.collect()}
+    features = sorted({f for _, f in stats})
+    x = wide.select("doc_id", F.array(*[(F.col(f) - scaler[f][0]) / scaler[f][1] if f in scaler else F.col(f)
+                                        for f in features]).alias("_x"))
+    cols = []
+    for i, c in enumerate(model.classes):
+        # a feature the class has no statistics of adds nothing
+        mean = [stats.get((c, f), (0.0, math.inf))[0] for f in features]
+        half = [0.5 / stats.get((c, f), (0.0, math.inf))[1] for f in features]
+        const = prior[c] - 0.5 * sum(math.log(2 * math.pi * stats[c, f][1]) for f in features if (c, f) in stats)
+        params = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(h).alias("h")) for m, h in zip(mean, half)])
+        parts = F.zip_with("_x", params, lambda v, p: F.coalesce((v - p["m"]) * (v - p["m"]) * p["h"], F.lit(0.0)))
+        cols.append((F.lit(const) - F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)).alias(f"_s{i}"))
+    return softmax_columns(x.select("doc_id", *cols), model.classes, [f"_s{i}" for i in range(len(model.classes))], ["doc_id"])
 
 
 def feature_importance(model: GaussianModel) -> DataFrame:
@@ -258,9 +281,17 @@ def anova_f(long_train: DataFrame) -> DataFrame:
                                       / (F.col("ssw") / (F.col("n_all") - F.col("k")))).alias("f_score"))
 
 
+def f_rank(score: str = "f_score") -> list[Column]:
+    """L11 order: F to nine significant digits, then name.  The last digits of a sum depend
+    on the order of its terms, so equal features would else swap places between runs."""
+    f = F.when(F.col(score) > 0, F.col(score))
+    e = F.floor(F.log10(f))
+    return [e.desc_nulls_last(), F.round(f / F.pow(F.lit(10.0), e), 8).desc_nulls_last(), F.col("feature")]
+
+
 def select_k_best(scores: DataFrame, k: int = 20) -> DataFrame:
     """Top k features by F (ties by name); bounded by k."""
-    return scores.orderBy(F.col("f_score").desc_nulls_last(), F.col("feature")).limit(k)
+    return scores.orderBy(*f_rank()).limit(k)
 
 
 # ---------------------------------------------------------------- L19-L21

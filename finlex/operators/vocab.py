@@ -1,11 +1,11 @@
 """Vocabulary and term vectors (X1-X7) in long form.
 
-* Per-document term counts are computed inside the row (sort the n-gram array,
-  count runs), so building ``doc_terms(doc_id, term, n)`` needs no shuffle.
 * The vocabulary is one aggregation keyed by term, partially aggregated on the
   map side, so a Zipfian head term costs one row per partition, not one per
   occurrence.  It is capped by ``max_features``, which bounds every later
   broadcast of it.
+* Term counts read the texts again and keep the vocabulary's terms only: no
+  shuffle carries text or uncut n-grams.
 """
 
 from __future__ import annotations
@@ -36,44 +36,25 @@ def token_words(norm: str | Column, cfg: VocabConfig) -> Column:
     return F.filter(TX.words(norm), lambda w: F.length(w) >= cfg.min_token_chars)
 
 
-def with_term_counts(df: DataFrame, terms: str, out: str = "_tc") -> DataFrame:
-    """Add ARRAY<STRUCT<term, n>> counting each distinct element of ``terms``, in-row.
-
-    Sort, mark run starts, subtract neighbouring run starts: O(n log n) per row,
-    no shuffle.  Each step is its own projection so the lambdas read columns
-    (a lambda over an inlined expression would re-evaluate it per element).
-    """
-    keep = [c for c in df.columns if c != terms]
-    s = df.select(*keep, F.sort_array(terms).alias("_s"))  # native sort, no comparator lambda
-    n = F.size("_s")
-    st = s.select(*keep, "_s", F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (n > 0) & ((i == 1) | (F.element_at("_s", i)
-                                         != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))).alias("_st"))
-    b = st.select(*keep, "_s", "_st", F.concat("_st", F.array(F.size("_s") + 1)).alias("_b"))
-    return b.select(*keep, F.transform("_st", lambda i, k: F.struct(
-        F.element_at("_s", i).alias("term"),
-        (F.element_at("_b", k + 2) - i).cast("bigint").alias("n"))).alias(out))
-
-
-def doc_terms(docs: DataFrame, norm_col: str, cfg: VocabConfig, keep: tuple[str, ...] = ()) -> DataFrame:
-    """X3 long form ``(doc_id, *keep, term, n)`` of the configured n-grams.
-
-    n-grams come from compiled regex scans; counting is an aggregation on
-    ``(doc_id, term)`` whose partial (map-side) step collapses repeats inside a
-    document before the shuffle, and whose key spreads evenly (no hot key: a
-    term is hot across documents, never inside one key).
-    """
+def doc_grams(docs: DataFrame, norm_col: str, cfg: VocabConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, _g)``: the configured n-grams of each document, by compiled regex scans."""
     j = docs.select("doc_id", *keep, F.array_join(token_words(norm_col, cfg), " ").alias("_j"))
-    g = j.select("doc_id", *keep, F.explode_outer(TX.ngrams_joined("_j", cfg.ngram_min, cfg.ngram_max))
-                 .alias("term")).filter(F.col("term").isNotNull() & (F.col("term") != ""))
-    return g.groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("n"))
+    return j.select("doc_id", *keep, TX.ngrams_joined("_j", cfg.ngram_min, cfg.ngram_max).alias("_g"))
 
 
-def fit_vocabulary(dt: DataFrame, cfg: VocabConfig) -> DataFrame:
+def fit_vocabulary(grams: DataFrame, cfg: VocabConfig) -> DataFrame:
     """``(term, idx, df, tf)``; ``min_df`` first, then the ``max_features``
-    most frequent terms (ties by term); ``idx`` is the alphabetical position."""
-    stats = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    most frequent terms (ties by term); ``idx`` is the alphabetical position.
+
+    One pass: a document's n-grams count for ``tf``, its distinct ones for ``df``.  Both are
+    summed per term before the shuffle, so a head term costs one row a task.
+    """
+    both = grams.select(F.explode(F.array(
+        F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("_g").alias("g")),
+        F.struct(F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("_g").alias("g")))).alias("x"))
+    # the _outer form keeps an inferred size filter out of the steps below
+    stats = (both.select("x.tf", "x.df", F.explode_outer("x.g").alias("term")).filter(F.col("term").isNotNull())
+             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
     top = stats.filter(F.col("df") >= cfg.min_df).orderBy(F.col("tf").desc(), F.col("term")) \
         .limit(cfg.max_features)
     # the capped vocabulary is small: a single ordered partition gives the index
@@ -81,15 +62,15 @@ def fit_vocabulary(dt: DataFrame, cfg: VocabConfig) -> DataFrame:
         .select("term", "idx", "df", "tf")
 
 
-def vectorize(dt: DataFrame, vocab: DataFrame, binary: bool = False) -> DataFrame:
-    """X2 (binary) / X3 (counts): ``(doc_id, idx, term, n)`` restricted to the vocabulary.
+def vectorize(grams: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, term, idx, n)`` of the vocabulary's terms; X2 ignores ``n``.
 
-    The vocabulary is bounded by ``max_features``; it is broadcast.
+    The vocabulary is bounded by ``max_features``; it is broadcast.  Other n-grams are gone
+    before anything is shuffled, and a document's repeats are counted on its own task.
     """
-    j = dt.join(F.broadcast(vocab.select("term", "idx")), "term")
-    if binary:
-        j = j.withColumn("n", F.lit(1).cast("bigint"))
-    return j
+    e = grams.select("doc_id", *keep, F.explode_outer("_g").alias("term"))
+    return (e.join(F.broadcast(vocab.select("term", "idx")), "term")
+            .groupBy("doc_id", *keep, "term", "idx").agg(F.count(F.lit(1)).alias("n")))
 
 
 def idf_table(vec: DataFrame, n_docs: Column | int, vocab: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ IMPACT_FEATURES = [
 class TypePipeline:
     docs: DataFrame        # (doc_id, label)
     train_docs: DataFrame
-    terms: DataFrame       # (doc_id, label, term, n)
+    terms: DataFrame       # (doc_id, label, term, idx, n) of the vocabulary's terms
     vocab: DataFrame
     model: NB.BernoulliModel
     pred: DataFrame
@@ -48,24 +48,32 @@ def type_vocabulary(spark, sf):
     """X1 alone: the type model's vocabulary from the training split."""
     d = S.table(spark, sf, "documents", "doc_id", "text")
     docs = d.select("doc_id", TX.normalize_variant("text", "type").alias("tt"))
-    train_terms, _ = EV.train_validation_split(VO.doc_terms(docs, "tt", VO.TYPE_VOCAB), VALIDATION, SEED)
-    return VO.fit_vocabulary(train_terms, VO.TYPE_VOCAB)
+    train, _ = EV.train_validation_split(docs, VALIDATION, SEED)
+    return VO.fit_vocabulary(VO.doc_grams(train, "tt", VO.TYPE_VOCAB), VO.TYPE_VOCAB)
 
 
 def type_pipeline(spark, sf) -> TypePipeline:
     """Bernoulli NB over binary word 1-2-grams of ``documents``, label = language."""
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
-    docs = d.select("doc_id", F.col("lang").alias("label"),
-                    TX.normalize_variant("text", "type").alias("tt")).repartition("doc_id")
-    # reused by the vocabulary, the fit and the scoring: cut the lineage once
-    terms = VO.doc_terms(docs, "tt", VO.TYPE_VOCAB, keep=("label",)).checkpoint()
-    train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
+    docs = d.select("doc_id", F.col("lang").alias("label"), TX.normalize_variant("text", "type").alias("tt"))
+    terms, vocab = vocabulary_terms(docs, "tt", VO.TYPE_VOCAB)
+    labels = d.select("doc_id", F.col("lang").alias("label"))
+    train_docs, _ = EV.train_validation_split(labels, VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
-    vocab = VO.fit_vocabulary(train_terms, VO.TYPE_VOCAB)
-    present = VO.vectorize(train_terms, vocab, binary=True)
-    model = NB.bernoulli_fit(present, train_docs, vocab)
-    pred = NB.bernoulli_score(model, VO.vectorize(terms, vocab, binary=True), docs.select("doc_id"))
-    return TypePipeline(docs.select("doc_id", "label"), train_docs, terms, vocab, model, pred)
+    model = NB.bernoulli_fit(train_terms, train_docs, vocab)
+    pred = NB.bernoulli_score(model, terms, labels.select("doc_id"))
+    return TypePipeline(labels, train_docs, terms, vocab, model, pred)
+
+
+def vocabulary_terms(docs: DataFrame, norm_col: str, cfg: VO.VocabConfig) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, label, term, idx, n) of the vocabulary's terms, and the vocabulary of the training split.
+
+    Two passes over the texts: the first counts terms (map-side combined), the second keeps
+    the vocabulary's.  Only that, which the vocabulary bounds per document, is written.
+    """
+    train, _ = EV.train_validation_split(docs, VALIDATION, SEED)
+    vocab = VO.fit_vocabulary(VO.doc_grams(train, norm_col, cfg), cfg).checkpoint()
+    return VO.vectorize(VO.doc_grams(docs, norm_col, cfg, ("label",)), vocab, ("label",)).checkpoint(), vocab
 
 
 @dataclass
@@ -81,21 +89,18 @@ class SentimentPipeline:
 def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipeline:
     """Complement NB over TF-IDF word 1-3-grams of ``ann``, label = sentiment."""
     a = FX.ann(spark, sf)
-    # one shuffle of the (short) text rows by doc_id: the (doc_id, term) counts, the
-    # TF-IDF norm window and the per-document scoring aggregation then reuse it
     docs = a.select("doc_id", F.col("sentiment_label").alias("label"),
-                    TX.normalize_variant("text", "sentiment").alias("st")).repartition("doc_id")
-    terms = VO.doc_terms(docs, "st", VO.SENTIMENT_VOCAB, keep=("label",)).checkpoint()
-    train_docs, _ = EV.train_validation_split(docs.select("doc_id", "label"), VALIDATION, SEED)
-    train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
-    vocab = VO.fit_vocabulary(train_terms, VO.SENTIMENT_VOCAB)
-    train_vec = VO.vectorize(train_terms, vocab)
+                    TX.normalize_variant("text", "sentiment").alias("st"))
+    terms, vocab = vocabulary_terms(docs, "st", VO.SENTIMENT_VOCAB)
+    labels = docs.select("doc_id", "label")
+    train_docs, _ = EV.train_validation_split(labels, VALIDATION, SEED)
+    train_vec, _ = EV.train_validation_split(terms, VALIDATION, SEED)
     idf = VO.idf_table(train_vec, train_docs.agg(F.count(F.lit(1))).first()[0], vocab)
-    train_w = VO.tfidf(train_vec, idf, keep=("label",))
+    all_w = VO.tfidf(terms, idf, keep=("label",)).checkpoint()  # read by the fit and the scoring
+    train_w, _ = EV.train_validation_split(all_w, VALIDATION, SEED)
     model = NB.complement_fit(train_w, train_docs, vocab, weighting=weighting)
-    all_w = VO.tfidf(VO.vectorize(terms, vocab), idf)
-    pred = NB.complement_score(model, all_w, docs.select("doc_id"))
-    return SentimentPipeline(docs.select("doc_id", "label"), vocab, idf, all_w, model, pred)
+    pred = NB.complement_score(model, all_w, labels.select("doc_id"))
+    return SentimentPipeline(labels, vocab, idf, all_w.drop("label"), model, pred)
 
 
 @dataclass
@@ -120,5 +125,5 @@ def impact_pipeline(spark, sf, var_smoothing: float = 1e-9) -> ImpactPipeline:
     train_docs, _ = EV.train_validation_split(wide.select("doc_id", "label"), VALIDATION, SEED)
     train_long, _ = EV.train_validation_split(long, VALIDATION, SEED)
     model = NB.gaussian_fit(train_long, train_docs, var_smoothing)
-    pred = NB.gaussian_score(model, long, wide.select("doc_id"))
+    pred = NB.gaussian_score_wide(model, wide)
     return ImpactPipeline(wide.select("doc_id", "label"), long, model, pred)

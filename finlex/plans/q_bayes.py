@@ -22,7 +22,7 @@ def _r(df):
 
 
 def _preds(spark, sf):
-    return FX.preds_long(spark, sf).select("doc_id", "model", "predicted_class", "confidence").distinct()
+    return FX.preds_base(spark, sf).select("doc_id", "model", "predicted_class", "confidence")
 
 
 def _failed(spark, sf):
@@ -265,12 +265,18 @@ def a9_blanket(spark, sf):
 
 # ---------------------------------------------------------------- A10-A15 inference
 
+_UNIFORM = ", ".join(f"({q(n)}, {q(st)}, {1 / len(sts)!r}e0)" for n, (sts, _) in BN.CHILDREN.items()
+                     if n != "market_direction" for st in sts)
+
+
 @register("A10_posterior_full_evidence", MAPPED_SQL + f"""
-SELECT e.doc_id, c.state, round(c.p, {R}) AS p FROM ev e JOIN md_cpt c ON c.s = e.sentiment AND c.i = e.impact""")
+SELECT e.doc_id, 'market_direction' AS node, c.state, round(c.p, {R}) AS p
+  FROM ev e JOIN md_cpt c ON c.s = e.sentiment AND c.i = e.impact
+UNION ALL SELECT e.doc_id, u.node, u.state, round(u.p, {R}) FROM ev e CROSS JOIN (VALUES {_UNIFORM}) u(node, state, p)""")
 def a10_full(spark, sf):
-    ev = _evidence(spark, sf)
-    cpt = BN.cpt_table(spark).filter(F.col("node") == "market_direction").select("sentiment", "impact", "state", "p")
-    return _r(ev.join(F.broadcast(cpt), ["sentiment", "impact"]).select("doc_id", "state", "p"))
+    docs, post = BN.infer(_evidence(spark, sf), spark)
+    children = post.filter(F.col("node").isin(*BN.CHILDREN))
+    return _r(docs.select("doc_id", "key").join(F.broadcast(children), "key").select("doc_id", "node", "state", "p"))
 
 
 @register("A11_heuristic_posterior", MAPPED_SQL + f"""
@@ -306,13 +312,15 @@ def a12_factors(spark, sf):
 , post AS (SELECT e.doc_id, c.state, c.k, sum(c.p * CASE WHEN e.impact IS NULL THEN ip.prior
     WHEN e.impact = c.i THEN 1.0 ELSE 0.0 END) AS p
   FROM evp e JOIN md_cpt c ON c.s = e.sentiment JOIN ipri ip ON ip.i = c.i GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, k) AS rn FROM post)
-SELECT doc_id, state AS market_direction, round(p, {R}) AS p FROM best WHERE rn = 1""")
+imp AS (SELECT e.doc_id, ip.i AS state, CASE WHEN e.impact IS NULL THEN ip.prior WHEN e.impact = ip.i THEN 1.0e0
+    ELSE 0.0e0 END AS p FROM evp e CROSS JOIN ipri ip)
+SELECT doc_id, 'market_direction' AS node, state, round(p, {R}) AS p FROM post
+UNION ALL SELECT doc_id, 'impact', state, round(p, {R}) FROM imp""")
 def a13_partial(spark, sf):
+    """Posterior of the direction, and of the impact where its classifier failed, on partial evidence."""
     docs, post = BN.infer(_evidence(spark, sf, with_failures=True), spark)
-    dec = BN.decisions(post.filter(F.col("node") == "market_direction"))
-    return _r(docs.select("doc_id", "key").join(F.broadcast(dec), "key")
-              .select("doc_id", F.col("decision").alias("market_direction"), F.col("decision_p").alias("p")))
+    p = post.filter(F.col("node").isin("market_direction", "impact"))
+    return _r(docs.select("doc_id", "key").join(F.broadcast(p), "key").select("doc_id", "node", "state", "p"))
 
 
 @register("A14_inference_reuse", MAPPED_SQL + """
@@ -381,20 +389,24 @@ def a18_certainty(spark, sf):
 top3 AS (SELECT doc_id, string_agg(state || ':' || printf('%.4f', p), ',' ORDER BY p DESC, k) AS dist FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, k) AS rn FROM md) WHERE rn <= 3 GROUP BY doc_id)
 SELECT e.doc_id, 'document_type=' || e.document_type || ';sentiment=' || e.sentiment || ';impact=' || e.impact
-  || ';market_direction[' || t.dist || ']' AS path FROM ev e JOIN top3 t USING (doc_id)""")
+  || ';market_direction[' || t.dist || ']""" + "".join(
+    f";{n}[" + ",".join(f"{st}:{1 / len(BN.CHILDREN[n][0]):.4f}" for st in BN.CHILDREN[n][0][:3]) + "]"
+    for n in ("investment_horizon", "risk_level")) + """' AS path FROM ev e JOIN top3 t USING (doc_id)""")
 def a19_path(spark, sf):
+    """Evidence, then each decision's three most probable states (ties in state order)."""
     ev = _evidence(spark, sf)
-    docs, post = BN.infer(ev, spark)
-    md = post.filter(F.col("node") == "market_direction")
-    rn = F.row_number().over(Window.partitionBy("key").orderBy(F.col("p").desc(), "ord"))
-    top = md.withColumn("rn", rn).filter("rn <= 3").groupBy("key").agg(
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("rn", "state", "p"))),
-                                     lambda x: F.concat(x["state"], F.lit(":"), F.format_string("%.4f", x["p"]))))
-        .alias("dist"))
-    j = docs.select("doc_id", "key", "document_type", "sentiment", "impact").join(F.broadcast(top), "key")
+    nodes = ("market_direction", "investment_horizon", "risk_level")
+
+    def top(node):
+        ranked = F.array_sort(F.array(*[F.struct((-F.col(node)[k]).alias("p"), F.lit(k).alias("k"), F.lit(st).alias("state"))
+                                        for k, st in enumerate(BN.node_states()[node])]))
+        return F.concat(F.lit(f";{node}["), F.array_join(F.transform(
+            F.slice(ranked, 1, 3), lambda x: F.concat(x["state"], F.lit(":"), F.format_string("%.4f", -x["p"]))), ","), F.lit("]"))
+
+    paths = BN.posterior_table(spark).select("key", F.concat(*[top(n) for n in nodes]).alias("tail"))
+    j = ev.withColumn("key", BN.evidence_key(ev)).join(F.broadcast(paths), "key")
     return j.select("doc_id", F.concat(F.lit("document_type="), "document_type", F.lit(";sentiment="), "sentiment",
-                                       F.lit(";impact="), "impact", F.lit(";market_direction["), "dist", F.lit("]"))
-                    .alias("path"))
+                                       F.lit(";impact="), "impact", "tail").alias("path"))
 
 
 _ACT = "CASE market_direction " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in BN.ACTION.items()) + \

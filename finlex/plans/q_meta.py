@@ -20,12 +20,12 @@ def _r(df):
 
 def _history(spark, sf):
     """Prediction history; the outcome is known for two orders in three."""
-    p = FX.preds_long(spark, sf).select("doc_id", "model", "predicted_class", "confidence", "true_class").distinct()
+    p = FX.preds_base(spark, sf).select("doc_id", "model", "predicted_class", "confidence", "true_class")
     return p.withColumn("true_class", F.when(F.col("doc_id") % 3 != 0, F.col("true_class")))
 
 
 def _feedback(spark, sf):
-    p = FX.preds_long(spark, sf).select("doc_id", "model", "predicted_class", "true_class").distinct()
+    p = FX.preds_base(spark, sf).select("doc_id", "model", "predicted_class", "true_class")
     return p.filter((F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 17 == 0)) \
         .select("model", "predicted_class", "true_class")
 
@@ -127,8 +127,8 @@ def m8_features(spark, sf):
 
 def _market_truth(spark, sf):
     """Ground-truth market direction: the network decision from the true classes."""
-    truth = FX.preds_long(spark, sf).select("doc_id", "model", F.col("true_class").alias("predicted_class"),
-                                            F.lit(0.9).alias("confidence")).distinct()
+    truth = FX.preds_base(spark, sf).select("doc_id", "model", F.col("true_class").alias("predicted_class"),
+                                            F.lit(0.9).alias("confidence"))
     ev = BN.evidence(BN.mapped_outputs(truth))
     return BN.decision_table(ev, spark).select("doc_id", F.col("market_direction").alias("label"))
 

@@ -325,7 +325,7 @@ def l22_stats(spark, sf):
 @register("L23_lda_topics")
 def l23_lda(spark, sf):
     p = M.type_pipeline(spark, sf)
-    counts = p.terms.join(F.broadcast(p.vocab.select("term", "idx")), "term").select("doc_id", "idx", "n")
+    counts = p.terms.select("doc_id", "idx", "n")
     model, vec = TU.lda_topics(counts, int(p.vocab.count()), k=20, max_iter=10)
     return model.describeTopics(5)
 

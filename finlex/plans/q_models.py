@@ -151,8 +151,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS nnz, CAST(sum(idx) AS BIGINT) AS idx_
 FROM dt JOIN vocab USING (term) GROUP BY doc_id""")
 def x2_binary(spark, sf):
     p = M.type_pipeline(spark, sf)
-    v = VO.vectorize(p.terms, p.vocab, binary=True)
-    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("idx").alias("idx_sum"))
+    return p.terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("idx").alias("idx_sum"))
 
 
 @register("X3_term_counts", TYPE_CTE + """
@@ -160,8 +159,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS nnz, CAST(sum(n) AS BIGINT) AS total,
 FROM dt JOIN vocab USING (term) GROUP BY doc_id""")
 def x3_counts(spark, sf):
     p = M.type_pipeline(spark, sf)
-    v = VO.vectorize(p.terms, p.vocab)
-    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("n").alias("total"),
+    return p.terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("n").alias("total"),
                                    F.sum(F.col("n") * F.col("idx")).alias("weighted"))
 
 
@@ -186,7 +184,7 @@ def x5_profile(spark, sf):
                                                            F.lit(None).cast("string").alias("term"))
     top = v.orderBy(F.col("df").desc(), "term").limit(20).select(F.lit("top_df").alias("item"),
                                                                   F.col("df").alias("value"), "term")
-    nnz = VO.vectorize(p.terms, v).groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"))
+    nnz = p.terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"))
     vs = size.first()["value"]  # one scalar
     dens = nnz.agg(F.avg("nnz").alias("a")).select(
         F.lit("density_x1e6").alias("item"), F.round(F.col("a") * 1e6 / F.lit(vs)).cast("bigint").alias("value"),
@@ -325,15 +323,18 @@ ssb AS (SELECT feature, sum(n * pow(m - gm, 2)) AS ssb FROM g JOIN gm USING (fea
 ssw AS (SELECT t.feature, sum(pow(x - m, 2)) AS ssw FROM trl t JOIN g ON g.feature = t.feature AND g.label = t.label
   GROUP BY t.feature),
 fs AS (SELECT feature, CASE WHEN ssw > 1e-9 THEN (ssb / (k - 1)) / (ssw / (nn - k)) END AS f_score
-  FROM ssb JOIN ssw USING (feature) JOIN gm USING (feature))
-SELECT feature, CAST(row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS BIGINT) AS rank
-FROM fs ORDER BY f_score DESC NULLS LAST, feature LIMIT 10""")
+  FROM ssb JOIN ssw USING (feature) JOIN gm USING (feature)),
+fr AS (SELECT feature, f_score, floor(log10(f_score)) AS e FROM fs WHERE f_score > 0
+  UNION ALL SELECT feature, f_score, NULL FROM fs WHERE NOT coalesce(f_score > 0, false)),
+rk AS (SELECT feature, row_number() OVER (ORDER BY e DESC NULLS LAST, round(f_score / pow(10, e), 8) DESC NULLS LAST, feature) AS rank
+  FROM fr)
+SELECT feature, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 10""")
 def l11_kbest(spark, sf):
     p = M.impact_pipeline(spark, sf)
     train_long, _ = EV.train_validation_split(p.long)
     top = NB.select_k_best(NB.anova_f(train_long), 10)
     from pyspark.sql import Window
-    return top.select("feature", F.row_number().over(Window.orderBy(F.col("f_score").desc_nulls_last(), "feature"))
+    return top.select("feature", F.row_number().over(Window.orderBy(*NB.f_rank()))
                       .cast("bigint").alias("rank"))
 
 

@@ -73,22 +73,26 @@ def ann_metadata(a: DataFrame) -> Column:
     return F.create_map(F.lit("source"), F.col("source"), F.lit("date"), F.col("doc_date").cast("string"))
 
 
-def preds_long(spark: SparkSession, sf_dir: str, a: DataFrame | None = None) -> DataFrame:
-    """``preds`` in long form: (doc_id, model, class, prob, predicted_class, confidence, true_class)."""
+def preds_base(spark: SparkSession, sf_dir: str, a: DataFrame | None = None) -> DataFrame:
+    """One row per order and model: (doc_id, confidence, model, true_class, predicted_class, _pi, _k, _arr)."""
     a = a if a is not None else ann(spark, sf_dir)
-    rows = []
+    outputs = []
     for model, classes in MODELS.items():
         arr = F.array(*[F.lit(c) for c in classes])
         k = len(classes)
         true_c = F.col(LABEL_COLUMN[model])
         ti = F.array_position(arr, true_c)  # 1-based
         pi = F.when(F.col("doc_id") % 11 == 0, (ti % k) + 1).otherwise(ti)
-        rows.append(a.select(
-            "doc_id", F.lit(model).alias("model"), true_c.alias("true_class"),
-            F.element_at(arr, pi.cast("int")).alias("predicted_class"),
-            (((F.col("doc_id") % 50) + 50) / F.lit(100.0)).alias("confidence"),
-            pi.cast("int").alias("_pi"), F.lit(k).alias("_k"), arr.alias("_arr")))
-    base = rows[0].unionByName(rows[1]).unionByName(rows[2])
+        outputs.append(F.struct(F.lit(model).alias("model"), true_c.alias("true_class"),
+                                F.element_at(arr, pi.cast("int")).alias("predicted_class"),
+                                pi.cast("int").alias("_pi"), F.lit(k).alias("_k"), arr.alias("_arr")))
+    return a.select("doc_id", (((F.col("doc_id") % 50) + 50) / F.lit(100.0)).alias("confidence"),
+                    F.inline(F.array(*outputs)))
+
+
+def preds_long(spark: SparkSession, sf_dir: str, a: DataFrame | None = None) -> DataFrame:
+    """``preds`` in long form: (doc_id, model, class, prob, predicted_class, confidence, true_class)."""
+    base = preds_base(spark, sf_dir, a)
     conf = F.col("confidence")
     parts = F.array(
         F.struct(F.col("predicted_class").alias("class"), conf.alias("prob")),

@@ -8,7 +8,7 @@ def _posterior(spark, doc_type, sentiment, impact, node="market_direction"):
     ev = spark.createDataFrame([(1, doc_type, sentiment, impact)],
                                "doc_id BIGINT, document_type STRING, sentiment STRING, impact STRING")
     docs, post = BN.infer(ev, spark)
-    p = post.filter(F.col("node") == node).orderBy("ord").collect()
+    p = docs.select("key").join(post, "key").filter(F.col("node") == node).orderBy("ord").collect()
     return [round(r.p, 6) for r in p]
 
 
@@ -35,3 +35,31 @@ def test_state_mapping(spark):
                               "doc_id BIGINT, model STRING, predicted_class STRING, confidence DOUBLE")
     got = {r.node: r.state for r in BN.mapped_outputs(p).collect()}
     assert got == {"sentiment": "very_positive", "impact": "medium", "document_type": "announcement"}
+
+
+def test_posterior_rows_match_a_full_enumeration():
+    import itertools
+    cpt = {(n, s, d, se, i): p for n, s, _, d, se, i, p in BN.cpt_rows()}
+    for key, *ps in BN.posterior_rows()[::17]:
+        seen = [None if k == BN.UNOBSERVED else k for k in key.split("|")]
+        got = dict(zip(BN.node_states(), ps))
+        for child, (states, parents) in BN.CHILDREN.items():
+            want = [0.0] * len(states)
+            for combo in itertools.product(*BN.ROOTS.values()):
+                at = dict(zip(BN.ROOTS, combo))
+                w = 1.0
+                for r, o in zip(BN.ROOTS, seen):
+                    w *= BN.PRIORS[r][BN.ROOTS[r].index(at[r])] if o is None else float(o == at[r])
+                args = [at[r] if r in parents else None for r in ("document_type", "sentiment", "impact")]
+                for k, st in enumerate(states):
+                    want[k] += w * cpt[(child, st, *args)]
+            total = sum(want)
+            want = [x / total for x in want] if total else [1 / len(want)] * len(want)
+            if BN.FOREIGN not in seen:
+                assert all(abs(a - b) < 1e-9 for a, b in zip(got[child], want))
+
+
+def test_foreign_states_give_uniform_children_not_lost_documents(spark):
+    assert _posterior(spark, "report", "odd", "high") == [0.2] * 5
+    ev = spark.createDataFrame([(1, "report", "odd", None)], "doc_id BIGINT, document_type STRING, sentiment STRING, impact STRING")
+    assert BN.decision_table(ev, spark).count() == 1

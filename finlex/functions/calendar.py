@@ -26,14 +26,15 @@ def business_dates(base: str | Column, meeting_offset: str | Column, record_offs
 
 
 def period_labels(d: str | Column) -> Column:
-    """D3: quarter, year, 'Nº trimestre de YYYY', fiscal year and semester labels."""
+    """D3: quarter, year, and the labels of quarter, fiscal year and semester (FIXED VALUES: their wording)."""
     x = _c(d)
     q = F.quarter(x)
     y = F.year(x)
     return F.struct(q.alias("quarter"), y.alias("year"),
                     F.format_string("%dº trimestre de %d", q, y).alias("quarter_label"),
-                    F.format_string("FY%d", y).alias("fiscal_year"),
-                    F.format_string("%dS%d", F.when(q <= 2, 1).otherwise(2), y).alias("semester"))
+                    F.format_string("ano fiscal de %d", y).alias("fiscal_year"),
+                    F.format_string("%s semestre de %d", F.when(q <= 2, "primeiro").otherwise("segundo"), y)
+                    .alias("semester"))
 
 
 def br_date(d: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import terms as T
-from .text import WORD_CHAR, _c
+from .text import SPACE, WORD_CHAR, _c
 
 # FIXED VALUES: margin levels and sentence wording.
 MARGIN_LEVELS = [(0.5, "muito alta (classificação clara)"), (0.3, "alta (classificação confiável)"),
@@ -48,7 +48,7 @@ def negation_phrases(text: str | Column, limit: int = 5) -> Column:
     t = _c(text)
     parts = []
     for neg in T.NEGATION_TERMS:
-        pat = neg + r"\s+(" + WORD_CHAR + r"+\s+){0,5}(" + WORD_CHAR + r"+)"
+        pat = rf"{neg}{SPACE}+({WORD_CHAR}+{SPACE}+){{0,5}}({WORD_CHAR}+)"
         parts.append(_prefix(F.regexp_extract_all(t, F.lit(pat), 2), neg + " ... "))
     return F.slice(F.concat(*parts), 1, limit)
 
@@ -60,7 +60,7 @@ def _prefix(arr: Column, prefix: str) -> Column:
 def intensifier_phrases(text: str | Column, limit: int = 5) -> Column:
     """``"<intensifier> <word>"``, intensifier-list order, first 5."""
     t = _c(text)
-    parts = [_prefix(F.regexp_extract_all(t, F.lit(i + r"\s+(" + WORD_CHAR + r"+)"), 1), i + " ")
+    parts = [_prefix(F.regexp_extract_all(t, F.lit(rf"{i}{SPACE}+({WORD_CHAR}+)"), 1), i + " ")
              for i in T.INTENSIFIERS]
     return F.slice(F.concat(*parts), 1, limit)
 

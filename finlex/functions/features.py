@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import terms as T
-from .text import (WORD_CHAR, _c, contains_any, count_terms, distinct_present, first_position,
+from .text import (SPACE, WORD_CHAR, _c, contains_any, count_terms, distinct_present, first_position,
                    safe_div, sentences, whitespace_words, words)
 
 Features = dict[str, Column]
 
-PERCENT_RE = r"(\d+(?:[.,]\d+)?)(?:\s*)?%"
+# FIXED VALUES: the number patterns (white space in its Unicode sense).
+_S = SPACE
+PERCENT_RE = rf"(\d+(?:[.,]\d+)?)(?:{_S}*)?%"
 COARSE_PERCENT_RE = r"(\d+(?:,\d+)?%)|(\d+(?:\.\d+)?%)"
-COARSE_CURRENCY_RE = r"(?i)R\$\s*\d+(?:[,.]\d+)*|\$\s*\d+(?:[,.]\d+)*|€\s*\d+(?:[,.]\d+)*"
-CURRENCY_RE = (r"(?i)R\$\s*(\d+(?:[.,]\d+)?(?:\s*" + WORD_CHAR + r"+)?)|(\d+(?:[.,]\d+)?(?:\s*"
-               + WORD_CHAR + r"+)?\s*reais)|(\$\s*\d+(?:[.,]\d+)?)")
-NUMERIC_RE = r"\b(\d+(?:[.,]\d+)?)\s*(milhões|bilhões|mil|mi|bi)?\b"
+COARSE_CURRENCY_RE = rf"(?i)R\${_S}*\d+(?:[,.]\d+)*|\${_S}*\d+(?:[,.]\d+)*|€{_S}*\d+(?:[,.]\d+)*"
+CURRENCY_RE = (rf"(?i)R\${_S}*(\d+(?:[.,]\d+)?(?:{_S}*{WORD_CHAR}+)?)|(\d+(?:[.,]\d+)?(?:{_S}*{WORD_CHAR}+)?{_S}*reais)"
+               rf"|(\${_S}*\d+(?:[.,]\d+)?)")
+NUMERIC_RE = rf"\b(\d+(?:[.,]\d+)?){_S}*(milhões|bilhões|mil|mi|bi)?\b"
 
 
 def regexp_count(text: Column, pattern: str) -> Column:
@@ -67,21 +69,25 @@ def type_indicators(text: str | Column, indicators: Mapping[str, list[str]] = T.
 
 # ---------------------------------------------------------------- F7-F9 structure, entities, metadata
 
-def structural(sentences_col: str | Column, words_col: str | Column) -> Features:
+def with_structural(df: DataFrame, sentences_col: str, words_col: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """sentence count, mean / population variance / max words per sentence,
-    word count and mean word length."""
-    s = _c(sentences_col)
-    w = _c(words_col)
-    lens = F.transform(s, lambda x: F.size(whitespace_words(x)).cast("double"))
-    n = F.size(s).cast("bigint")
-    mean = F.when(n > 0, F.aggregate(lens, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-    var = F.when(n > 1, F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) \
-        .otherwise(0.0)
-    nw = F.size(w).cast("bigint")
-    wl = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    return {"num_sentences": n, "avg_sentence_length": mean, "var_sentence_length": var,
-            "max_sentence_length": F.coalesce(F.array_max(lens), F.lit(0.0)),
-            "num_words": nw, "avg_word_length": F.when(nw > 0, wl / nw).otherwise(0.0)}
+    word count and mean word length.
+
+    Sentence lengths, their mean and the variance are projections of their own, so the
+    variance's lambda reads a column; inlined, the mean would be summed per sentence.
+    """
+    lens = df.select(*keep, words_col, F.transform(sentences_col, lambda x: F.size(whitespace_words(x)).cast("double"))
+                     .alias("_lens"))
+    n = F.size("_lens").cast("bigint")
+    mean = lens.select(*keep, words_col, "_lens", F.when(n > 0, F.aggregate(
+        "_lens", F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0).alias("_mean"))
+    var = F.aggregate("_lens", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
+    nw = F.size(words_col).cast("bigint")
+    wl = F.aggregate(words_col, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return mean.select(*keep, n.alias("num_sentences"), F.col("_mean").alias("avg_sentence_length"),
+                       F.when(n > 1, var).otherwise(0.0).alias("var_sentence_length"),
+                       F.coalesce(F.array_max("_lens"), F.lit(0.0)).alias("max_sentence_length"),
+                       nw.alias("num_words"), F.when(nw > 0, wl / nw).otherwise(0.0).alias("avg_word_length"))
 
 
 ENTITY_TYPES = ("ORG", "MONEY", "PERCENT", "CARDINAL", "DATE")
@@ -147,7 +153,7 @@ def modifier_counts(text: str | Column) -> Features:
 
 
 def negation_pattern(term: str) -> str:
-    return term + r"\s+(" + WORD_CHAR + r"+\s+){0,5}(" + WORD_CHAR + r"+)"
+    return rf"{term}{SPACE}+({WORD_CHAR}+{SPACE}+){{0,5}}({WORD_CHAR}+)"
 
 
 def negation_patterns(text: str | Column) -> Features:
@@ -398,9 +404,5 @@ def numeric_projection(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*cols)
 
 
-def with_features(df: DataFrame, features: Features) -> DataFrame:
-    return df.withColumns(features)
-
-
 # re-exported helpers used by feature callers
 __all__ = [n for n in dir() if not n.startswith("_")] + ["sentences", "words"]

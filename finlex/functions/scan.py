@@ -7,6 +7,8 @@ first positions and distinct-term counts are exactly those of the expression
 path (``text.count_terms`` / ``first_position`` / ``distinct_present``).
 """
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,16 @@ def term_scan(df: DataFrame, text_col: str, dicts: dict[str, list[str]], out: st
                 entries.setdefault(t.lower(), []).append(name)
 
     @F.pandas_udf(scan_schema(names))
-    def scan(texts: pd.Series) -> pd.DataFrame:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
-        auto = ahocorasick.Automaton()
+        auto = ahocorasick.Automaton()  # once a task
         for term, owners in entries.items():
             auto.add_word(term, (len(term), owners))
         auto.make_automaton()
+        for texts in batches:
+            yield counts(auto, texts)
+
+    def counts(auto, texts: pd.Series) -> pd.DataFrame:
         cols = {f"{n}_{k}": [] for n in names for k in ("count", "first", "distinct")}
         for text in texts.fillna(""):
             count = dict.fromkeys(names, 0)

@@ -11,12 +11,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \w is ASCII; these classes keep accented letters, as the reference's
-# Unicode-aware patterns do.
+# Java's \w, \s and \d are ASCII; these classes cover all of Unicode, as the reference's
+# patterns do: a no-break space is common in web text.  The form is valid in Java and RE2.
 WORD_CHAR = r"[\p{L}\p{N}_]"
-PUNCT = r"[^\p{L}\p{N}_\s]"
+_SPACES = (r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+SPACE = f"[{_SPACES}]"
+DIGIT = r"\p{Nd}"
+PUNCT = rf"[^\p{{L}}\p{{N}}_{_SPACES}]"
 CONTROL_CHARS = "[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F]"
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
+SENTENCE_BREAK = f"(?<=[.!?]){SPACE}+"
 
 NORMALISATION_VARIANTS = {
     # name: (lowercase, remove_punctuation, remove_numbers)
@@ -47,8 +50,8 @@ def normalize(col: str | Column, lowercase: bool = True, remove_punctuation: boo
     if remove_punctuation:
         c = F.regexp_replace(c, PUNCT, " ")
     if remove_numbers:
-        c = F.regexp_replace(c, r"\d+", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+        c = F.regexp_replace(c, f"{DIGIT}+", " ")
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def normalize_variant(col: str | Column, variant: str = "type") -> Column:
@@ -64,7 +67,7 @@ def words(norm: str | Column) -> Column:
 
 def whitespace_words(col: str | Column) -> Column:
     """Python ``str.split()``: split on whitespace runs, drop empties."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_c(col), f"{SPACE}+"), lambda w: w != "")
 
 
 def sentences(text: str | Column) -> Column:
@@ -111,15 +114,6 @@ def fallback_tokens(text: str | Column) -> Column:
     return F.struct(F.array(t).alias("sentences"), ws.alias("words"), ws.alias("ngrams"))
 
 
-def tokens(norm: str | Column, original: str | Column, min_n: int = 1, max_n: int = 3,
-           sentence_source: str = "original") -> Column:
-    """T4-T6 as one STRUCT<sentences, words, ngrams>."""
-    w = words(norm)
-    src = original if sentence_source == "original" else norm
-    return F.struct(sentences(src).alias("sentences"), w.alias("words"),
-                    ngrams(w, min_n, max_n).alias("ngrams"))
-
-
 # ---------------------------------------------------------------- counting rules
 
 def count_substr(text: str | Column, term: str) -> Column:

@@ -38,6 +38,11 @@ def validate_text(col: str | Column, min_length: int = MIN_LENGTH, max_length: i
     return clean, err
 
 
+def truncation(col: str | Column, max_length: int = MAX_LENGTH) -> Column:
+    """V2: ``TEXT_TRUNCATED`` for a text that the length rule cuts, else null."""
+    return F.when(F.length(_c(col).cast("string")) > max_length, F.lit("TEXT_TRUNCATED"))
+
+
 def sanitize_text(col: str | Column, max_length: int = MAX_LENGTH) -> Column:
     """V9: never fails; null -> '' else the cast, cleaned text."""
     raw = _c(col).cast("string")
@@ -92,9 +97,10 @@ def validate_documents(df: DataFrame, text_col: str = "text", metadata_col: str
                        required: Sequence[str] = (), allowed: Sequence[str] | None = None,
                        min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH,
                        allow_empty: bool = False) -> DataFrame:
-    """V1-V7 over a batch: adds ``clean_text``, ``metadata``, ``error_code``."""
+    """V1-V7 over a batch: adds ``clean_text``, ``metadata_clean``, ``error_code`` and
+    ``notice_code`` (``TEXT_TRUNCATED`` where the length rule cut a valid text)."""
     clean, terr = validate_text(text_col, min_length, max_length, allow_empty)
-    out = df.withColumn("clean_text", clean)
+    out = df.withColumn("clean_text", clean).withColumn("notice_code", F.when(terr.isNull(), truncation(text_col, max_length)))
     if metadata_col is None:
         return out.withColumn("error_code", terr)
     mtype = df.schema[metadata_col].dataType.typeName()
@@ -114,15 +120,22 @@ def validate_batch(df: DataFrame, text_col: str = "text", metadata_col: str | No
     """V8: invalid text -> '', invalid metadata -> {}; optional batch-size cap.
 
     ``max_batch_size`` is the reference's explicit input-size limit (a feature
-    of the operator, applied in ``order_col`` order).
+    of the operator).  The rows beyond it, in ``order_col`` order, stay in the
+    result with ``error_code`` ``BATCH_LIMIT``, so a caller sees what was refused.
     """
+    if max_batch_size is not None and order_col is None:
+        raise ValueError("a batch limit needs an order, or it would refuse arbitrary rows")
     v = validate_documents(df, text_col, metadata_col, **kw)
     empty = F.create_map().cast("map<string,string>")
     v = v.withColumn("clean_text", F.coalesce(F.col("clean_text"), F.lit("")))
     if metadata_col is not None:
         v = v.withColumn("metadata_clean", F.coalesce(F.col("metadata_clean"), empty))
     if max_batch_size is not None:
-        v = v.orderBy(order_col).limit(max_batch_size) if order_col else v.limit(max_batch_size)
+        first = v.select(order_col).orderBy(order_col).limit(max_batch_size + 1)
+        edge = first.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("edge")).first()
+        if edge["n"] > max_batch_size:
+            v = v.withColumn("error_code", F.when(F.col(order_col) >= F.lit(edge["edge"]), F.lit("BATCH_LIMIT"))
+                             .otherwise(F.col("error_code")))
     return v
 
 

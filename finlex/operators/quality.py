@@ -12,7 +12,18 @@ ERROR_TAXONOMY = {
     "MISSING_METADATA_FIELD": ("error", "validator"), "EMPTY_INPUT": ("error", "preprocessor"),
     "MISSING_TEXT": ("error", "preprocessor"), "STEP_ERROR": ("error", "preprocessor"),
     "MODEL_NOT_TRAINED": ("critical", "classifier"), "PREDICTION_ERROR": ("error", "classifier"),
-    "TOKENIZER_FALLBACK": ("warning", "preprocessor"),
+    "TOKENIZER_FALLBACK": ("warning", "preprocessor"), "BATCH_LIMIT": ("error", "validator"),
+    "UNKNOWN_ERROR": ("error", "general"), "INTERNAL_ERROR": ("critical", "general"),
+    "NOT_IMPLEMENTED": ("error", "general"),
+    "INITIALIZATION_ERROR": ("critical", "initialization"), "RESOURCE_NOT_FOUND": ("error", "initialization"),
+    "CONFIGURATION_ERROR": ("critical", "initialization"),
+    "INVALID_INPUT": ("error", "input"), "MALFORMED_INPUT": ("error", "input"),
+    "MODEL_LOAD_ERROR": ("critical", "model"), "MODEL_SAVE_ERROR": ("error", "model"),
+    "PREPROCESSING_ERROR": ("error", "preprocessor"), "FEATURE_EXTRACTION_ERROR": ("error", "preprocessor"),
+    "CLASSIFICATION_ERROR": ("error", "classifier"),
+    "INFERENCE_ERROR": ("error", "network"), "CONVERGENCE_ERROR": ("warning", "network"),
+    "INCOMPATIBLE_EVIDENCE": ("error", "network"),
+    "VALIDATION_ERROR": ("error", "validator"), "DIMENSIONALITY_ERROR": ("error", "validator"),
 }
 
 

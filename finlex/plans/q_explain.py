@@ -54,7 +54,7 @@ def e1_terms(spark, sf):
 def _neg_sql():
     parts = []
     for neg in T.NEGATION_TERMS:
-        pat = neg + r"\s+(" + TX.WORD_CHAR + r"+\s+){0,5}(" + TX.WORD_CHAR + r"+)"
+        pat = rf"{neg}{TX.SPACE}+({TX.WORD_CHAR}+{TX.SPACE}+){{0,5}}({TX.WORD_CHAR}+)"
         parts.append(f"list_transform(regexp_extract_all(st, {q(pat)}, 2), lambda w: {q(neg + ' ... ')} || w)")
     out = parts[0]
     for p in parts[1:]:
@@ -63,7 +63,7 @@ def _neg_sql():
 
 
 def _int_sql():
-    parts = [f"list_transform(regexp_extract_all(st, {q(i + chr(92) + 's+(' + TX.WORD_CHAR + '+)')}, 1), "
+    parts = [f"list_transform(regexp_extract_all(st, {q(f"{i}{TX.SPACE}+({TX.WORD_CHAR}+)")}, 1), "
              f"lambda w: {q(i + ' ')} || w)" for i in T.INTENSIFIERS]
     out = parts[0]
     for p in parts[1:]:
@@ -196,8 +196,9 @@ def d2_business(spark, sf):
 
 @register("D3_period_labels", f"""
 SELECT o_orderkey, quarter({_D}) AS quarter, year({_D}) AS year,
-  printf('%dº trimestre de %d', quarter({_D}), year({_D})) AS quarter_label, 'FY' || year({_D}) AS fiscal_year,
-  CASE WHEN quarter({_D}) <= 2 THEN 1 ELSE 2 END || 'S' || year({_D}) AS semester
+  printf('%dº trimestre de %d', quarter({_D}), year({_D})) AS quarter_label,
+  'ano fiscal de ' || year({_D}) AS fiscal_year,
+  CASE WHEN month({_D}) <= 6 THEN 'primeiro' ELSE 'segundo' END || ' semestre de ' || year({_D}) AS semester
 FROM orders""")
 def d3_labels(spark, sf):
     o = S.table(spark, sf, "orders", "o_orderkey", "o_orderdate")

@@ -102,7 +102,7 @@ FROM l""")
 def f7_structural(spark, sf):
     d = S.table(spark, sf, "documents", "doc_id", "text")
     b = d.select("doc_id", TX.sentences("text").alias("s"), TX.words(TX.normalize("text")).alias("w"))
-    return _round_doubles(b.select("doc_id", *rounded(FE.structural("s", "w"))))
+    return _round_doubles(FE.with_structural(b, "s", "w"))
 
 
 # ---------------------------------------------------------------- T8 / F8 entities

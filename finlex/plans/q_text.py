@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import validate as V
 from ..sources import tables as S
-from .registry import q, register, sql_norm, sql_norm_variant, sql_ws_words
+from .registry import register, sql_norm, sql_norm_variant, sql_ws_words
 
 NGRAM_SQL = """list_concat(
   list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i], ' ')),
@@ -58,13 +58,14 @@ SELECT doc_id,
   CASE WHEN length(text) >= {V2_MIN} THEN CAST(length(regexp_replace(substr(text, 1, {V2_MAX}),
        '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS BIGINT) END AS clean_length,
   CASE WHEN length(text) >= {V2_MIN} THEN md5(regexp_replace(substr(text, 1, {V2_MAX}),
-       '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) END AS clean_md5
+       '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) END AS clean_md5,
+  CASE WHEN length(text) > {V2_MAX} THEN 'TEXT_TRUNCATED' END AS notice_code
 FROM documents""")
 def v2_length(spark, sf):
     d = S.table(spark, sf, "documents", "doc_id", "text")
     clean, err = V.validate_text("text", min_length=V2_MIN, max_length=V2_MAX)
     return d.select("doc_id", err.alias("error_code"), F.length(clean).cast("bigint").alias("clean_length"),
-                    F.md5(clean).alias("clean_md5"))
+                    F.md5(clean).alias("clean_md5"), V.truncation("text", V2_MAX).alias("notice_code"))
 
 
 @register("V3_control_chars", """
@@ -234,6 +235,3 @@ def t9_derived(spark, sf):
                     m["sentence_count"].alias("sentence_count"),
                     F.round(m["complexity_score"], 6).alias("complexity_score"),
                     m["complexity_level"].alias("complexity_level"))
-
-
-_ = q  # keep helper import for future oracles

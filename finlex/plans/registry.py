@@ -10,6 +10,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from ..functions.text import DIGIT, PUNCT, SPACE
+
 QueryFn = Callable
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -60,10 +62,10 @@ def sql_norm(col: str, lowercase=True, punct=True, nums=False) -> str:
     if lowercase:
         c = f"lower({c})"
     if punct:
-        c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')"
+        c = f"regexp_replace({c}, '{PUNCT}', ' ', 'g')"
     if nums:
-        c = f"regexp_replace({c}, '\\d+', ' ', 'g')"
-    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+        c = f"regexp_replace({c}, '{DIGIT}+', ' ', 'g')"
+    return f"trim(regexp_replace({c}, '{SPACE}+', ' ', 'g'))"
 
 
 def sql_norm_variant(col: str, variant: str) -> str:
@@ -72,7 +74,7 @@ def sql_norm_variant(col: str, variant: str) -> str:
 
 
 def sql_ws_words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '{SPACE}+'), lambda w: w <> '')"
 
 
 def sql_regexp_count(text: str, pattern: str) -> str:

@@ -65,3 +65,47 @@ def test_scanned_features_equal_expression_features(spark):
     cols = [c for c in expr.columns]
     assert scanned.select(*cols).exceptAll(expr).count() == 0
     assert expr.exceptAll(scanned.select(*cols)).count() == 0
+
+
+def test_unicode_spaces_count_as_in_python(spark):
+    import re
+
+    from finlex.functions import features as FE
+    rows = ["R$\u00a010 e 5\u00a0% hoje", "a\u2003b\u3000c", "lucro de 3,5\u202f% e R$ 7", "x\u0085y \u2028 z", "\u00a0", "٣ bois"]
+    d = spark.createDataFrame(list(enumerate(rows)), "k INT, t STRING")
+    got = d.select("k", TX.normalize("t").alias("n"), F.size(TX.whitespace_words("t")).alias("w"), TX.normalize("t", remove_numbers=True).alias("m"),
+                   FE.regexp_count(F.col("t"), FE.CURRENCY_RE).alias("c"), F.size(FE.percentages("t")).alias("p")).orderBy("k").collect()
+    for r, t in zip(got, rows):
+        assert r.n == re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t.lower())).strip(" ")
+        assert r.m == re.sub(r"\s+", " ", re.sub(r"\d+", " ", re.sub(r"[^\w\s]", " ", t.lower()))).strip(" ")
+        assert r.w == len(t.split())
+        assert r.p == len(re.findall(r"\d+(?:[.,]\d+)?\s*%", t))
+    assert [r.c for r in got] == [1, 0, 1, 0, 0, 0]
+
+
+def test_the_length_rule_leaves_a_mark(spark):
+    from finlex.functions import validate as V
+    d = spark.createDataFrame([(1, "abcdefghij"), (2, "abc"), (3, None)], "k INT, text STRING")
+    got = {r.k: (r.clean_text, r.error_code, r.notice_code) for r in V.validate_documents(d, max_length=5).collect()}
+    assert got == {1: ("abcde", None, "TEXT_TRUNCATED"), 2: ("abc", None, None), 3: (None, "NULL_TEXT", None)}
+
+
+def test_a_batch_limit_reports_what_it_refuses(spark):
+    import pytest
+
+    from finlex.functions import validate as V
+    d = spark.createDataFrame([(k, "text") for k in range(5)], "k INT, text STRING")
+    got = V.validate_batch(d, max_batch_size=3, order_col="k").orderBy("k").collect()
+    assert [r.error_code for r in got] == [None] * 3 + ["BATCH_LIMIT"] * 2
+    assert V.validate_batch(d, max_batch_size=5, order_col="k").filter("error_code IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="order"):
+        V.validate_batch(d, max_batch_size=3)
+
+
+def test_structure_of_many_sentences_is_linear(spark):
+    from finlex.functions import features as FE
+    d = spark.createDataFrame([(1, ["a b c"] * 3000 + ["d"], ["x", "yy"])], "doc_id INT, s ARRAY<STRING>, w ARRAY<STRING>")
+    r = FE.with_structural(d, "s", "w").first()
+    mean = (9000 + 1) / 3001
+    assert abs(r.avg_sentence_length - mean) < 1e-9 and r.max_sentence_length == 3 and r.avg_word_length == 1.5
+    assert abs(r.var_sentence_length - (3000 * (3 - mean) ** 2 + (1 - mean) ** 2) / 3001) < 1e-9

@@ -52,12 +52,14 @@ def type_vocabulary(spark, sf):
     return VO.fit_vocabulary(VO.doc_grams(train, "tt", VO.TYPE_VOCAB), VO.TYPE_VOCAB)
 
 
-def type_pipeline(spark, sf) -> TypePipeline:
-    """Bernoulli NB over binary word 1-2-grams of ``documents``, label = language."""
-    d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
-    docs = d.select("doc_id", F.col("lang").alias("label"), TX.normalize_variant("text", "type").alias("tt"))
+def type_pipeline(spark, sf, labelled: DataFrame | None = None) -> TypePipeline:
+    """Bernoulli NB over binary word 1-2-grams of ``labelled`` (doc_id, text, label);
+    without it of ``documents``, label = language."""
+    d = labelled if labelled is not None else S.table(spark, sf, "documents", "doc_id", "text", "lang").select(
+        "doc_id", "text", F.col("lang").alias("label"))
+    docs = d.select("doc_id", "label", TX.normalize_variant("text", "type").alias("tt"))
     terms, vocab = vocabulary_terms(docs, "tt", VO.TYPE_VOCAB)
-    labels = d.select("doc_id", F.col("lang").alias("label"))
+    labels = d.select("doc_id", "label")
     train_docs, _ = EV.train_validation_split(labels, VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
     model = NB.bernoulli_fit(train_terms, train_docs, vocab)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
 from ..operators import vocab as VO
+from ..sources import fixtures as FX
 from . import models as M
 from .q_features import BASE_SQL, IMPACT_CTE, NUM_CTE
 from .registry import register, sql_norm_variant
@@ -42,7 +43,7 @@ vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS
 cls AS (SELECT label, count(*) AS n_docs FROM trd GROUP BY label)"""
 
 
-TYPE_CTE = "WITH " + _terms_sql("documents", sql_norm_variant("text", "type"), "lang", 2, 2, 1000) + """,
+_BERNOULLI_SQL = """,
 fc AS (SELECT label, term, count(*) AS n_ct FROM tr JOIN vocab USING (term) GROUP BY ALL),
 pri AS (SELECT label, ln(n_docs / sum(n_docs) OVER ()) AS log_prior FROM cls),
 theta AS (SELECT c.label, v.term, ln((coalesce(n_ct, 0) + 1.0) / (n_docs + 2.0)) AS log_p,
@@ -59,6 +60,11 @@ pr AS (SELECT doc_id, label, j, e / sum(e) OVER (PARTITION BY doc_id) AS p,
 pred AS (SELECT doc_id, label AS predicted_class, p AS confidence FROM pr WHERE rn = 1)
 """
 
+TYPE_CTE = "WITH " + _terms_sql("documents", sql_norm_variant("text", "type"), "lang", 2, 2, 1000) + _BERNOULLI_SQL
+# the same model over the announcements, label = document type
+ANN_TYPE_CTE = (FX.ctes("ann") + "," + _terms_sql("ann", sql_norm_variant("text", "type"), "type_label", 2, 2, 1000)
+                + _BERNOULLI_SQL)
+
 SENT_CTE = BASE_SQL.replace("WITH ", "WITH ", 1) + "," + _terms_sql(
     "ann", sql_norm_variant("text", "sentiment"), "sentiment_label", 3, 3, 5000) + """,
 ntr AS (SELECT count(*) AS n FROM trd),

@@ -31,6 +31,33 @@ def train_validation_split(df: DataFrame, fraction: float = 0.2, seed: int = 42,
     return df.filter(b >= cut), df.filter(b < cut)
 
 
+SPLIT_BUCKETS = 1024
+
+
+def stratified_split(df: DataFrame, label: str = "label", fraction: float = 0.2, seed: int = 42,
+                     key: str = "doc_id") -> DataFrame:
+    """L1, exact: ``df`` with ``split``; every label gives round(fraction x its rows) to validation.
+
+    Rows fall into hash buckets of the key (any type).  From (label, bucket) counts follows
+    the bucket in which a label's share ends; only that bucket's rows are ranked, so no task
+    sorts a label's rows, however many it has.
+    """
+    b = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(SPLIT_BUCKETS)))
+    counts = b.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(label).orderBy("_b")
+    cum = counts.withColumn("upto", F.sum("c").over(upto)).withColumn(
+        "want", F.round(F.sum("c").over(Window.partitionBy(label)) * fraction))
+    cut = cum.filter(F.col("upto") >= F.col("want")).groupBy(F.col(label).alias("_l")).agg(
+        F.min_by(F.struct(F.col("_b").alias("at"), (F.col("want") - F.col("upto") + F.col("c")).alias("left")), "_b").alias("_cut"))
+    j = b.join(cut, F.col(label).eqNullSafe(F.col("_l")))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    edge = j.filter(F.col("_b") == F.col("_cut.at")).withColumn(
+        "split", F.when(rank <= F.col("_cut.left"), "validation").otherwise("train"))
+    rest = j.filter(F.col("_b") != F.col("_cut.at")).withColumn(
+        "split", F.when(F.col("_b") < F.col("_cut.at"), "validation").otherwise("train"))
+    return rest.unionByName(edge).select(*df.columns, "split")
+
+
 def kfold(df: DataFrame, k: int = 5, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Fold id 0..k-1 from the same row-local bucket."""
     return df.withColumn("fold", (split_bucket(key, seed) % k).cast("int"))

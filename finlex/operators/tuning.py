@@ -104,11 +104,10 @@ def sigmoid_calibration(probs_long: DataFrame, max_iter: int = 50) -> DataFrame:
     return out.withColumn("calibrated", F.col("s") / F.sum("s").over(Window.partitionBy("doc_id"))).drop("s")
 
 
-def lda_topics(counts: DataFrame, vocab_size: int, k: int = 20, max_iter: int = 10, seed: int = 42):
-    """L23 (declared in the reference): LDA over term-count vectors."""
+def lda_topics(vectors: DataFrame, k: int = 20, max_iter: int = 10, seed: int = 42):
+    """L23 (declared in the reference): LDA over sparse term-count vectors."""
     from pyspark.ml.clustering import LDA
-    from ..operators.vocab import sparse_vectors
-    vec = sparse_vectors(counts, vocab_size).withColumnRenamed("text_vector", "features")
+    vec = vectors.withColumnRenamed("text_vector", "features")
     return LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(vec), vec
 
 

@@ -109,18 +109,21 @@ def assemble(df: DataFrame, vector_col: str | None, numeric_cols: list[str], out
     return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error").transform(df)
 
 
-def sparse_vectors(vec: DataFrame, vocab_size: int, value: str = "n") -> DataFrame:
-    """Long ``(doc_id, idx, value)`` -> ``(doc_id, Vector)`` for ML estimators.
+def sparse_vectors(grams: DataFrame, vocab: DataFrame, idf: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, text_vector)`` as sparse vectors of counts, or of L2-normalised TF-IDF with ``idf``.
 
-    Built JVM-side: entries grouped per document (bounded by the vocabulary),
-    expanded to the vocabulary width and converted with ``array_to_vector``.
+    A narrow JVM step over a document's n-grams; the vocabulary (bounded by
+    ``max_features``) is the model of the vectoriser.
     """
-    from pyspark.ml.functions import array_to_vector
-    grouped = vec.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int"), F.col(value).cast("double")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(vocab_size - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return grouped.select("doc_id", array_to_vector(dense).alias("text_vector"))
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+    terms = [r.term for r in vocab.orderBy("idx").select("term").collect()]
+    out = CountVectorizerModel.from_vocabulary(terms, inputCol="_g", outputCol="_tf").transform(grams.select("doc_id", "_g"))
+    if idf is None:
+        return out.select("doc_id", F.col("_tf").alias("text_vector"))
+    weights = {r.term: r.idf for r in idf.collect()}
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([weights[t] for t in terms]), inputCol="_tf", outputCol="_w").transform(out)
+    return Normalizer(p=2.0, inputCol="_w", outputCol="text_vector").transform(scaled).select("doc_id", "text_vector")
 
 
 # ---------------------------------------------------------------- X8 registry

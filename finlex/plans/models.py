@@ -42,6 +42,7 @@ class TypePipeline:
     vocab: DataFrame
     model: NB.BernoulliModel
     pred: DataFrame
+    grams: DataFrame       # (doc_id, label, _g)
 
 
 def type_vocabulary(spark, sf):
@@ -58,24 +59,25 @@ def type_pipeline(spark, sf, labelled: DataFrame | None = None) -> TypePipeline:
     d = labelled if labelled is not None else S.table(spark, sf, "documents", "doc_id", "text", "lang").select(
         "doc_id", "text", F.col("lang").alias("label"))
     docs = d.select("doc_id", "label", TX.normalize_variant("text", "type").alias("tt"))
-    terms, vocab = vocabulary_terms(docs, "tt", VO.TYPE_VOCAB)
+    terms, vocab, grams = vocabulary_terms(docs, "tt", VO.TYPE_VOCAB)
     labels = d.select("doc_id", "label")
     train_docs, _ = EV.train_validation_split(labels, VALIDATION, SEED)
     train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
     model = NB.bernoulli_fit(train_terms, train_docs, vocab)
     pred = NB.bernoulli_score(model, terms, labels.select("doc_id"))
-    return TypePipeline(labels, train_docs, terms, vocab, model, pred)
+    return TypePipeline(labels, train_docs, terms, vocab, model, pred, grams)
 
 
-def vocabulary_terms(docs: DataFrame, norm_col: str, cfg: VO.VocabConfig) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, label, term, idx, n) of the vocabulary's terms, and the vocabulary of the training split.
+def vocabulary_terms(docs: DataFrame, norm_col: str, cfg: VO.VocabConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, label, term, idx, n) of the vocabulary's terms, the vocabulary of the training split, and the n-grams.
 
     Two passes over the texts: the first counts terms (map-side combined), the second keeps
     the vocabulary's.  Only that, which the vocabulary bounds per document, is written.
     """
     train, _ = EV.train_validation_split(docs, VALIDATION, SEED)
     vocab = VO.fit_vocabulary(VO.doc_grams(train, norm_col, cfg), cfg).checkpoint()
-    return VO.vectorize(VO.doc_grams(docs, norm_col, cfg, ("label",)), vocab, ("label",)).checkpoint(), vocab
+    grams = VO.doc_grams(docs, norm_col, cfg, ("label",))
+    return VO.vectorize(grams, vocab, ("label",)).checkpoint(), vocab, grams
 
 
 @dataclass
@@ -86,6 +88,7 @@ class SentimentPipeline:
     weights: DataFrame     # (doc_id, term, idx, w) TF-IDF of all documents
     model: NB.ComplementModel
     pred: DataFrame
+    grams: DataFrame
 
 
 def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipeline:
@@ -93,7 +96,7 @@ def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipel
     a = FX.ann(spark, sf)
     docs = a.select("doc_id", F.col("sentiment_label").alias("label"),
                     TX.normalize_variant("text", "sentiment").alias("st"))
-    terms, vocab = vocabulary_terms(docs, "st", VO.SENTIMENT_VOCAB)
+    terms, vocab, grams = vocabulary_terms(docs, "st", VO.SENTIMENT_VOCAB)
     labels = docs.select("doc_id", "label")
     train_docs, _ = EV.train_validation_split(labels, VALIDATION, SEED)
     train_vec, _ = EV.train_validation_split(terms, VALIDATION, SEED)
@@ -102,7 +105,7 @@ def sentiment_pipeline(spark, sf, weighting: str = "standard") -> SentimentPipel
     train_w, _ = EV.train_validation_split(all_w, VALIDATION, SEED)
     model = NB.complement_fit(train_w, train_docs, vocab, weighting=weighting)
     pred = NB.complement_score(model, all_w, labels.select("doc_id"))
-    return SentimentPipeline(labels, vocab, idf, all_w.drop("label"), model, pred)
+    return SentimentPipeline(labels, vocab, idf, all_w.drop("label"), model, pred, grams)
 
 
 @dataclass
@@ -129,3 +132,23 @@ def impact_pipeline(spark, sf, var_smoothing: float = 1e-9) -> ImpactPipeline:
     model = NB.gaussian_fit(train_long, train_docs, var_smoothing)
     pred = NB.gaussian_score_wide(model, wide)
     return ImpactPipeline(wide.select("doc_id", "label"), long, model, pred)
+
+
+# ---------------------------------------------------------------- scoring with loaded models
+
+def score_type(spark, sf, loaded) -> DataFrame:
+    d = S.table(spark, sf, "documents", "doc_id", "text")
+    docs = d.select("doc_id", TX.normalize_variant("text", "type").alias("tt"))
+    rows = VO.vectorize(VO.doc_grams(docs, "tt", VO.TYPE_VOCAB), loaded.type_vocab)
+    return NB.bernoulli_score(loaded.type_model, rows, d.select("doc_id"))
+
+
+def score_sentiment(spark, sf, loaded) -> DataFrame:
+    a = FX.ann(spark, sf)
+    docs = a.select("doc_id", TX.normalize_variant("text", "sentiment").alias("st"))
+    rows = VO.vectorize(VO.doc_grams(docs, "st", VO.SENTIMENT_VOCAB), loaded.sentiment_vocab)
+    return NB.complement_score(loaded.sentiment_model, VO.tfidf(rows, loaded.idf), a.select("doc_id"))
+
+
+def score_impact(spark, sf, loaded) -> DataFrame:
+    return NB.gaussian_score_wide(loaded.impact_model, impact_features_wide(spark, sf))

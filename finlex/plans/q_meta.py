@@ -141,7 +141,7 @@ def m9_m10_stacking(spark, sf):
     train = data.filter(F.col("doc_id") % 5 != 0)
     model = MT.train_stacker(train)
     fallback = MT.rule_stacking(_history(spark, sf))
-    return MT.stacked_predict(model, data.filter(F.col("doc_id") % 5 == 0), fallback)
+    return MT.stacked_predict(model, data, fallback)
 
 
 @register("M11_bounded_history", f"""

@@ -4,8 +4,9 @@ tuning (S3-S8, V10, V11, V13, T3, T10-T17, Q1, Q2, L12, L15, L16, L18, L22, L23)
 from __future__ import annotations
 
 import time
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as FE
@@ -16,6 +17,7 @@ from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
 from ..operators import quality as QY
 from ..operators import tuning as TU
+from ..operators import vocab as VO
 from ..sources import fixtures as FX
 from ..sources import lexicon as LX
 from ..sources import model_store as MS
@@ -24,39 +26,35 @@ from ..streaming.stream import work_dir
 from . import models as M
 from . import pipeline as PL
 from .q_features import LEXICON_TEST
-from .q_models import BUCKET
-from .registry import q, register, sql_count_terms, sql_norm_variant
+from .q_models import BUCKET, IMPACT_MODEL_CTE, SENT_CTE, TYPE_CTE
+from .registry import (q, register, sql_contains_any, sql_count_terms, sql_distinct_present,
+                       sql_norm_variant)
 
 R = 6
 LANG_CATEGORY = {"en": "positive", "fr": "negative", "de": "neutral"}
 
 
+MIN_CORPUS_COUNT = 20
+
+
 def corpus_terms(spark, sf):
-    """Three most frequent words (4+ characters) per language, as lexicon candidates."""
+    """(category, term): every word of 4+ characters that a language has ``MIN_CORPUS_COUNT`` times."""
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
     w = d.select("lang", F.explode_outer(F.filter(TX.words(TX.normalize_variant("text", "sentiment")),
                                                   lambda x: F.length(x) >= 4)).alias("term")) \
         .filter(F.col("term").isNotNull())
-    c = w.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    # two-stage exact top-3: per (lang, salt) first, so no task ranks a language's whole vocabulary
-    order = [F.col("n").desc(), F.col("term")]
-    c = c.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(64)))
-    c = c.withColumn("r0", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))) \
-        .filter("r0 <= 3")
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    c = w.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CORPUS_COUNT)
     cat = F.coalesce(F.create_map(*[x for kv in LANG_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[
         F.col("lang")], F.lit("mixed"))
-    return c.withColumn("rn", rn).filter("rn <= 3").select(cat.alias("category"), "term",
-                                                            (F.col("rn") - 1).cast("int").alias("ord"))
+    return c.select(cat.alias("category"), "term").distinct()
 
 
 CORPUS_SQL = f"""
 WITH w AS (SELECT lang, unnest(list_filter(string_split({sql_norm_variant('text', 'sentiment')}, ' '),
   lambda x: length(x) >= 4)) AS term FROM documents),
-c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM c),
-ct AS (SELECT CASE lang WHEN 'en' THEN 'positive' WHEN 'fr' THEN 'negative' WHEN 'de' THEN 'neutral' ELSE 'mixed' END
-  AS category, term, CAST(rn - 1 AS INTEGER) AS ord FROM r WHERE rn <= 3),
+c AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= {MIN_CORPUS_COUNT}),
+ct AS (SELECT DISTINCT CASE lang WHEN 'en' THEN 'positive' WHEN 'fr' THEN 'negative' WHEN 'de' THEN 'neutral' ELSE 'mixed' END
+  AS category, term FROM c),
 dl AS (SELECT * FROM (VALUES {", ".join(f"('default', {q(c)}, {q(t)}, {i})" for c in LX.CATEGORIES
                                          for i, t in enumerate(T.DEFAULT_LEXICON[c]))}) t(name, category, term, ord))
 """
@@ -66,26 +64,31 @@ dl AS (SELECT * FROM (VALUES {", ".join(f"('default', {q(c)}, {q(t)}, {i})" for
 SELECT 'corpus' AS name, category, term FROM ct WHERE category IN ('positive', 'negative', 'neutral')""")
 def s5_resolve(spark, sf):
     corpus = corpus_terms(spark, sf).filter(F.col("category").isin(*LX.CATEGORIES)) \
-        .select(F.lit("corpus").alias("name"), "category", "term", "ord", F.lit(1).alias("load_order"))
+        .select(F.lit("corpus").alias("name"), "category", "term", F.lit(0).alias("ord"), F.lit(1).alias("load_order"))
     lexicons = corpus.unionByName(LX.default_lexicon(spark).withColumn("load_order", F.lit(2)))
     return LX.resolve_lexicon(lexicons, None, LX.default_lexicon(spark)).select("name", "category", "term")
 
 
-@register("S6_extend_lexicon", CORPUS_SQL + """
+_EXTENDED_SQL = CORPUS_SQL + """
 , mx AS (SELECT category, max(ord) AS m FROM dl GROUP BY category),
 ext AS (SELECT 'default' AS name, ct.category, ct.term,
   CAST(mx.m + row_number() OVER (PARTITION BY ct.category ORDER BY ct.term) AS INTEGER) AS ord
   FROM ct JOIN mx USING (category)
-  WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.category = ct.category AND dl.term = ct.term))
-SELECT * FROM dl UNION ALL SELECT * FROM ext""")
+  WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.category = ct.category AND dl.term = ct.term)),
+lex AS (SELECT * FROM dl UNION ALL SELECT * FROM ext)
+"""
+
+
+@register("S6_extend_lexicon", _EXTENDED_SQL + "SELECT * FROM lex")
 def s6_extend(spark, sf):
-    return LX.extend_lexicon(LX.default_lexicon(spark), corpus_terms(spark, sf).select("category", "term"))
+    return LX.extend_lexicon(LX.default_lexicon(spark), corpus_terms(spark, sf))
 
 
-@register("S3_S4_lexicon_roundtrip")
+@register("S3_S4_lexicon_roundtrip", _EXTENDED_SQL + """
+SELECT n.name, category, term, ord FROM lex CROSS JOIN (VALUES ('from_json'), ('from_csv')) n(name)""")
 def s3_s4_roundtrip(spark, sf):
-    """Save the corpus-extended lexicon as JSON and CSV, load both back (rows-only)."""
-    lex = LX.extend_lexicon(LX.default_lexicon(spark), corpus_terms(spark, sf).select("category", "term"))
+    """Save the corpus-extended lexicon as JSON and CSV, load both back."""
+    lex = LX.extend_lexicon(LX.default_lexicon(spark), corpus_terms(spark, sf))
     base = work_dir(spark, "lexicon")
     LX.save_lexicon(lex, f"{base}/json", "json")
     LX.save_lexicon(lex, f"{base}/csv", "csv")
@@ -94,15 +97,22 @@ def s3_s4_roundtrip(spark, sf):
     return j.unionByName(c)
 
 
-@register("S7_model_persistence")
+_PRED = "SELECT '{m}' AS model, doc_id, predicted_class, round(confidence, 6) AS confidence FROM ({cte} SELECT * FROM pred)"
+
+
+@register("S7_model_persistence", "\nUNION ALL ".join([
+    _PRED.format(m="bernoulli", cte=TYPE_CTE), _PRED.format(m="complement", cte=SENT_CTE), _PRED.format(m="gaussian", cte=IMPACT_MODEL_CTE)]))
 def s7_persistence(spark, sf):
-    """Save the Bernoulli model tables and reload them (rows-only)."""
-    p = M.type_pipeline(spark, sf)
+    """Save all three models with their vocabularies, idf and scaler; load them and score with the loaded ones."""
     path = work_dir(spark, "model")
-    MS.save_model(spark, path, {"theta": p.model.theta, "prior": p.model.prior, "vocab": p.vocab},
-                  {"classes": p.model.classes, "model": "bernoulli"})
-    tables, meta, warnings = MS.load_model(spark, path, ["theta", "prior", "vocab"])
-    return tables["theta"].withColumn("version_warnings", F.lit(len(warnings)))
+    MS.save_models(spark, path, M.type_pipeline(spark, sf), M.sentiment_pipeline(spark, sf), M.impact_pipeline(spark, sf))
+    loaded = MS.load_models(spark, path)
+    if loaded.warnings:
+        raise ValueError(loaded.warnings)
+    preds = {"bernoulli": M.score_type(spark, sf, loaded), "complement": M.score_sentiment(spark, sf, loaded),
+             "gaussian": M.score_impact(spark, sf, loaded)}
+    return reduce(DataFrame.unionByName, [p.select(F.lit(m).alias("model"), "doc_id", "predicted_class", F.round("confidence", 6)
+                                                   .alias("confidence")) for m, p in preds.items()])
 
 
 _SENT_SQL = ("list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'),"
@@ -111,14 +121,14 @@ _SENT_SQL = ("list_filter(string_split(regexp_replace(trim(coalesce(text, '')),
 
 def _processed_documents(spark, sf):
     d = S.documents(spark, sf, with_metadata=True)
-    v = V.validate_documents(d, min_length=300).withColumn("text", F.coalesce("clean_text", F.lit("")))
+    v = V.validate_documents(d).withColumn("text", F.coalesce("clean_text", F.lit("")))
     out = PL.default_pipeline().process(v)
     return PL.with_step_errors(out, {"tokenizer": F.size("sentences") > 1})
 
 
 @register("S8_batch_result_sink", f"""
-SELECT doc_id, length(text) < 300 AS has_error,
-  len(CASE WHEN length(text) < 300 THEN [] ELSE {_SENT_SQL} END) <= 1 AS has_warnings,
+SELECT doc_id, length(text) < 1 AS has_error,
+  len(CASE WHEN length(text) < 1 THEN [] ELSE {_SENT_SQL} END) <= 1 AS has_warnings,
   CAST(5 AS BIGINT) AS num_features, source AS md_source FROM documents""")
 def s8_sink(spark, sf):
     out = _processed_documents(spark, sf)
@@ -178,9 +188,13 @@ def t3_stopwords(spark, sf):
     return a.select("doc_id", F.size("w").alias("words"), F.size(PL.remove_stopwords("w")).alias("content_words"))
 
 
-@register("T10_T13_pipeline")
+@register("T10_T13_pipeline", f"""
+SELECT doc_id, {sql_contains_any(sql_norm_variant('text', 'type'), T.COARSE_TYPE_INDICATORS['relatorio'])} AS is_relatorio,
+  {sql_distinct_present(sql_norm_variant('text', 'type'), T.COARSE_POSITIVE)} AS positive_count,
+  CAST(len(list_filter(string_split({sql_norm_variant('text', 'type')}, ' '), lambda x: x <> '')) AS BIGINT) AS word_count
+FROM documents""")
 def t10_t13(spark, sf):
-    """Default pipeline over documents; unrequested steps are not in the plan (rows-only)."""
+    """Default pipeline over documents; unrequested steps are not in the plan."""
     p = PL.default_pipeline()
     p.add_step("entity_extractor", lambda df: df, enabled=False)
     out = p.process(S.table(spark, sf, "documents", "doc_id", "text"))
@@ -188,8 +202,8 @@ def t10_t13(spark, sf):
 
 
 @register("T12_observed_stats", f"""
-SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count_if(length(text) < 300) AS BIGINT) AS errors,
-  CAST(count_if(length(text) >= 300 AND len({_SENT_SQL}) <= 1) AS BIGINT) AS with_warnings FROM documents""")
+SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count_if(length(text) < 1) AS BIGINT) AS errors,
+  CAST(count_if(length(text) >= 1 AND len({_SENT_SQL}) <= 1) AS BIGINT) AS with_warnings FROM documents""")
 def t12_stats(spark, sf):
     out = _processed_documents(spark, sf).withColumn(
         "warnings", F.when(F.col("error_code").isNull(), F.col("warnings")).otherwise(F.array().cast("array<string>")))
@@ -224,14 +238,17 @@ def t15_reuse(spark, sf):
                     F.round("hit_rate", R).alias("hit_rate"))
 
 
-@register("T16_T17_batches_and_callback")
+@register("T16_T17_batches_and_callback", """
+SELECT (row_number() OVER () - 1) // 100 AS batch_id, count(*) OVER () AS callbacks FROM documents
+""".join(["SELECT batch_id, CAST(count(*) AS BIGINT) AS docs, CAST(any_value(callbacks) AS BIGINT) AS callbacks FROM (",
+          ") GROUP BY batch_id"]))
 def t16_t17(spark, sf):
-    """Batches of 100 in input order; a per-partition callback counts results (rows-only)."""
+    """Batches of 100 in input order; a per-partition callback counts results."""
     d = S.table(spark, sf, "documents", "doc_id", "text")
     b = PL.batched(d.select("doc_id", F.length("text").alias("n")), 100)
     acc = spark.sparkContext.accumulator(0)
     PL.for_each_result(b, lambda r: acc.add(1))
-    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("docs"), F.lit(acc.value).alias("callbacks"))
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("docs"), F.lit(acc.value).cast("bigint").alias("callbacks"))
 
 
 @register("Q1_throughput_report")
@@ -325,18 +342,17 @@ def l22_stats(spark, sf):
 @register("L23_lda_topics")
 def l23_lda(spark, sf):
     p = M.type_pipeline(spark, sf)
-    counts = p.terms.select("doc_id", "idx", "n")
-    model, vec = TU.lda_topics(counts, int(p.vocab.count()), k=20, max_iter=10)
+    model, _ = TU.lda_topics(VO.sparse_vectors(p.grams, p.vocab), k=20)
     return model.describeTopics(5)
 
 
 @register("T11_step_error_policy", f"""
-SELECT doc_id, CASE WHEN length(text) >= 300 AND len({_SENT_SQL}) <= 1 THEN 'STEP_ERROR_TOKENIZER' END AS error_code
+SELECT doc_id, CASE WHEN length(text) >= 1 AND len({_SENT_SQL}) <= 1 THEN 'STEP_ERROR_TOKENIZER' END AS error_code
 FROM documents""")
 def t11_policy(spark, sf):
     """stop_on_error: the first failed step check becomes the document's error code."""
     d = S.table(spark, sf, "documents", "doc_id", "text")
-    v = V.validate_documents(d, min_length=300)
+    v = V.validate_documents(d)
     ok = v.filter(F.col("error_code").isNull()).drop("error_code").withColumn("text", F.col("clean_text"))
     out = PL.with_step_errors(PL.default_pipeline().process(ok), {"tokenizer": F.size("sentences") > 1},
                               stop_on_error=True)
@@ -347,10 +363,9 @@ def t11_policy(spark, sf):
 @register("X6_X8_feature_union")
 def x6_x8_union(spark, sf):
     """X8 registry -> X7 align by name -> X6 assemble text vector + numeric features (rows-only)."""
-    from ..operators import vocab as VO
     VO.register_extractor("impact", lambda df: FE.with_impact_features(df, "it", keep=("doc_id",)))
     p = M.sentiment_pipeline(spark, sf)
-    vec = VO.sparse_vectors(p.weights, int(p.vocab.count()), "w")
+    vec = VO.sparse_vectors(p.grams, p.vocab, p.idf)
     a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "impact").alias("it"))
     num = VO.EXTRACTORS["impact"](a)
     aligned = VO.align_features(num, M.IMPACT_FEATURES + ["feature_missing_at_serving"])

@@ -200,14 +200,13 @@ def x5_profile(spark, sf):
 
 # ---------------------------------------------------------------- L1, L2, L3, L13, L14, L20 (type model)
 
-@register("L1_stratified_split", f"""
-SELECT CAST(quality AS VARCHAR) AS label, CASE WHEN {BUCKET} < 20 THEN 'validation' ELSE 'train' END AS split,
-  CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY ALL""")
+@register("L1_stratified_split", """
+WITH c AS (SELECT CAST(quality AS VARCHAR) AS label, count(*) AS n FROM labels GROUP BY 1)
+SELECT label, 'validation' AS split, CAST(round(n * 0.2) AS BIGINT) AS n FROM c
+UNION ALL SELECT label, 'train', CAST(n - round(n * 0.2) AS BIGINT) FROM c""")
 def l1_split(spark, sf):
     lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("string").alias("label"))
-    tr, va = EV.train_validation_split(lab)
-    return (tr.withColumn("split", F.lit("train")).unionByName(va.withColumn("split", F.lit("validation")))
-            .groupBy("label", "split").agg(F.count(F.lit(1)).alias("n")))
+    return EV.stratified_split(lab).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("L2_bernoulli_fit", TYPE_CTE + f"""

@@ -19,7 +19,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING
 
 
 def _process_documents(batch):
-    v = V.validate_documents(batch.select("doc_id", "text"), min_length=300)
+    v = V.validate_documents(batch.select("doc_id", "text"))
     n = TX.normalize("clean_text")
     return v.select("doc_id", "error_code", F.size(TX.words(n)).cast("bigint").alias("word_count"))
 
@@ -36,16 +36,16 @@ _WORDS = ("len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower
 
 
 @register("R1_document_stream", f"""
-SELECT doc_id, CASE WHEN length(text) < 300 THEN 'TEXT_TOO_SHORT' END AS error_code,
-  CAST(CASE WHEN length(text) < 300 THEN 0 ELSE {_WORDS} END AS BIGINT) AS word_count FROM documents""")
+SELECT doc_id, CASE WHEN length(text) < 1 THEN 'TEXT_TOO_SHORT' END AS error_code,
+  CAST(CASE WHEN length(text) < 1 THEN 0 ELSE {_WORDS} END AS BIGINT) AS word_count FROM documents""")
 def r1_stream(spark, sf):
     out = _run_document_stream(spark, sf)
     return spark.read.parquet(f"{out}/results").drop("batch_id")
 
 
 @register("R2_R3_stream_statistics", """
-SELECT CAST(count(*) AS BIGINT) AS texts, CAST(sum(CASE WHEN length(text) < 300 THEN 1 ELSE 0 END) AS BIGINT) AS errors,
-  round(1 - sum(CASE WHEN length(text) < 300 THEN 1 ELSE 0 END) / count(*), 6) AS success_rate FROM documents""")
+SELECT CAST(count(*) AS BIGINT) AS texts, CAST(sum(CASE WHEN length(text) < 1 THEN 1 ELSE 0 END) AS BIGINT) AS errors,
+  round(1 - sum(CASE WHEN length(text) < 1 THEN 1 ELSE 0 END) / count(*), 6) AS success_rate FROM documents""")
 def r2_stats(spark, sf):
     out = _run_document_stream(spark, sf)
     s = ST.stream_statistics(spark, out)

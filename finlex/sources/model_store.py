@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,39 @@ def load_model(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[s
     return tables, json.loads(md["meta"]), warnings
 
 
+@dataclass
+class LoadedModels:
+    """The three models and what scoring needs beside them, read back from tables."""
+    type_model: object
+    type_vocab: DataFrame
+    sentiment_model: object
+    sentiment_vocab: DataFrame
+    idf: DataFrame
+    impact_model: object
+    warnings: list[str]
+
+
+def save_models(spark: SparkSession, path: str, type_p, sentiment_p, impact_p) -> None:
+    """The three fitted pipelines' model tables, vocabularies, idf and scaler."""
+    t, s, g = type_p.model, sentiment_p.model, impact_p.model
+    save_model(spark, f"{path}/type", {"prior": t.prior, "theta": t.theta, "vocab": type_p.vocab},
+               {"model": "bernoulli", "classes": t.classes})
+    save_model(spark, f"{path}/sentiment", {"weights": s.weights, "vocab": sentiment_p.vocab, "idf": sentiment_p.idf},
+               {"model": "complement", "classes": s.classes})
+    save_model(spark, f"{path}/impact", {"prior": g.prior, "stats": g.stats, "scaler": g.scaler},
+               {"model": "gaussian", "classes": g.classes})
+
+
+def load_models(spark: SparkSession, path: str) -> LoadedModels:
+    from ..operators import naive_bayes as NB
+    t, tm, w1 = load_model(spark, f"{path}/type", ["prior", "theta", "vocab"])
+    s, sm, w2 = load_model(spark, f"{path}/sentiment", ["weights", "vocab", "idf"])
+    g, gm, w3 = load_model(spark, f"{path}/impact", ["prior", "stats", "scaler"])
+    return LoadedModels(NB.BernoulliModel(tm["classes"], t["prior"], t["theta"]), t["vocab"],
+                        NB.ComplementModel(sm["classes"], s["weights"]), s["vocab"], s["idf"],
+                        NB.GaussianModel(gm["classes"], g["prior"], g["stats"], g["scaler"]), w1 + w2 + w3)
+
+
 def batch_results(processed: DataFrame, feature_cols: list[str]) -> DataFrame:
     """Per document has_error, has_warnings, num_features, metadata, derived metadata."""
     nf = sum((F.col(c).isNotNull().cast("int") for c in feature_cols), F.lit(0))

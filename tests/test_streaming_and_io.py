@@ -16,7 +16,7 @@ from tests.conftest import SF_SMALL
 def test_stream_equals_batch(spark):
     streamed = QUERIES["R1_document_stream"](spark, SF_SMALL)
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    v = V.validate_documents(d.select("doc_id", "text"), min_length=300)
+    v = V.validate_documents(d.select("doc_id", "text"))
     batch = v.select("doc_id", "error_code", F.size(TX.words(TX.normalize("clean_text"))).cast("bigint")
                      .alias("word_count"))
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0

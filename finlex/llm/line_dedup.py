@@ -1,9 +1,15 @@
-"""Exact substring deduplication by line hashing (operator 10).
+"""Exact substring deduplication by hashing lines and passages (operator 10).
 
-A unit is a line (or a paragraph, between empty lines) of at least ``min_words`` words.
-Its normal form has A-Z lower-cased and white space collapsed.  Digests are grouped over
-all documents: the earliest occurrence, by document id, then position, stays, all others
-go.  Offsets are code points of the original text, end exclusive.
+Units of at least ``min_words`` words: every line (or paragraph, between empty lines), and
+passages, because a repeated passage may stand inside longer lines.  A passage begins after
+a boundary and ends at the first boundary with ``min_words`` words between; boundaries lie
+at line ends, after words that end in ``.``, ``!`` or ``?``, and after words whose MD5
+begins with 0 or 1, so they depend on the text alone and fall alike in every copy.
+
+A unit's normal form has A-Z lower-cased and single spaces between words.  Digests are
+grouped over all documents: the earliest occurrence, by document id, then position, stays,
+all others go.  Offsets are code points of the original text from the unit's first word to
+its last, end exclusive; removed units of a document may overlap.
 
 Counting the copies of a digest is a map-side combined aggregation; occurrences meet their
 group's first by ``join_lookup``, so a line that a third of all documents share is joined
@@ -18,6 +24,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -27,25 +34,49 @@ from pyspark.sql import functions as F
 
 from .common import join_lookup, map_arrow, materialize, prepare, texts
 
-MIN_WORDS = 10
-_PARAGRAPH = re.compile(r"(?:[^\n]*[^\s][^\n]*(?:\n|\Z))+")
+MIN_WORDS = 20
+CUT_BELOW = 32  # of 256: a word in eight is a boundary
+CACHE_WORDS = 500_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+_cuts: dict[bytes, bool] = {}
+
+
+def _is_boundary(word: bytes) -> bool:
+    cut = _cuts.get(word)
+    if cut is None:
+        if len(_cuts) >= CACHE_WORDS:
+            _cuts.clear()
+        cut = _cuts[word] = word[-1] in b".!?" or hashlib.md5(word).digest()[0] < CUT_BELOW
+    return cut
 
 
-def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
+def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a text."""
-    out = []
-    if unit == "line":
-        at, spans = 0, []
-        for line in text.split("\n"):
-            spans.append((at, at + len(line)))
-            at += len(line) + 1
-    else:
-        spans = [(m.start(), m.end() - (m.group().endswith("\n"))) for m in _PARAGRAPH.finditer(text)]
-    for a, b in spans:
-        words = text[a:b].encode("utf-8", "replace").lower().split()
-        if len(words) >= min_words:
-            out.append((a, b, xxhash.xxh3_128_digest(b" ".join(words))))
-    return out
+    words = text.encode("utf-8", "replace").lower().split()
+    if len(words) < min_words:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    digest = xxhash.xxh3_128_digest
+    # word numbers at which lines (or paragraphs) begin, and the last one's end
+    gap = re.compile(r"\n" if unit == "line" else r"\n[ \t-\r]*\n")
+    breaks = [i for i in range(1, len(at)) if at[i][0] - at[i - 1][1] > 1 or text[at[i - 1][1]] == "\n"]
+    breaks = [i for i in breaks if gap.search(text, at[i - 1][1], at[i][0])]
+    lines = [0, *breaks, len(words)]
+    spans = {(a, b) for a, b in zip(lines, lines[1:]) if b - a >= min_words}
+    line_ends = set(breaks)
+    ends = [i for i, w in enumerate(words, 1) if _is_boundary(w) or i in line_ends]
+    if not ends or ends[-1] != len(words):
+        ends.append(len(words))
+    k = 0
+    for a in [0, *ends[:-1]]:
+        while k < len(ends) and ends[k] - a < min_words:
+            k += 1
+        if k == len(ends):
+            break
+        spans.add((a, ends[k]))
+    return [(at[a][0], at[b - 1][1], digest(b" ".join(words[a:b]))) for a, b in sorted(spans)]
 
 
 def occurrences(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
@@ -85,7 +116,7 @@ def removed(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
 
 
 def cleaned(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the removed units (and the line end after each)."""
+    """``docs`` without the removed units, and without the lines that leaves empty."""
     columns = docs.columns
     gone = (removed(docs, unit, min_words).groupBy("doc_id", "mark")
             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
@@ -98,11 +129,7 @@ def cleaned(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
         out = []
         for text, spans in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist()):
             if spans:
-                parts, pos = [], 0
-                for s in spans:
-                    parts.append(text[pos:s["start"]])
-                    pos = s["end"] + (text[s["end"]:s["end"] + 1] == "\n")
-                text = "".join([*parts, text[pos:]])
+                text = without(text, [(s["start"], s["end"]) for s in spans])
             out.append(text)
         arrays = list(b.columns[:len(columns)])
         arrays[at] = pa.array(out, arrays[at].type)
@@ -111,6 +138,18 @@ def cleaned(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
     return map_arrow(joined.select(*columns, "__gone"), batch, docs.schema)
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the sorted ``spans``; a line of which nothing is left goes too."""
+    parts, pos = [], 0
+    for a, b in spans:
+        if a > pos:
+            parts.append(text[pos:a])
+        if b > pos:
+            whole = (a == 0 or text[a - 1] == "\n") and text[b:b + 1] == "\n"
+            pos = b + whole
+    return "".join([*parts, text[pos:]])
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
     at = docs.columns.index("text")

@@ -129,15 +129,24 @@ def op9(spark, sf_dir):
 
 
 OP10_SQL = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-k AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
-u AS (SELECT doc_id, ls[k] AS line, coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)), 0)::BIGINT AS "start" FROM k),
-w AS (SELECT doc_id, "start", "start" + length(line) AS "end",
-             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM u),
-n AS (SELECT doc_id, "start", "end", array_to_string(ws, ' ') AS unit FROM w WHERE len(ws) >= 10),
-f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value("start") OVER o AS kept_start
-      FROM n WINDOW o AS (PARTITION BY unit ORDER BY doc_id, "start"))
-SELECT doc_id, "start", "end", kept_doc_id, kept_start FROM f WHERE (doc_id, "start") <> (kept_doc_id, kept_start)
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS toks FROM documents),
+w AS (SELECT doc_id, i, toks[i] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM t)),
+x AS (SELECT doc_id, i, regexp_extract(tok, '[^\x20\x09-\x0D]+$') AS raw,
+             CASE WHEN i = 1 THEN 0 ELSE contains(tok, chr(10))::INT END AS brk,
+             sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM w),
+y AS (SELECT doc_id, i, e, e - length(raw) AS s, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lw,
+             sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS line, lead(brk) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM x),
+z AS (SELECT *, nxt IS NULL OR nxt = 1 OR right(lw, 1) IN ('.', '!', '?') OR substr(md5(lw), 1, 1) IN ('0', '1') AS cut FROM y),
+p AS (SELECT *, i = 1 OR lag(cut) OVER (PARTITION BY doc_id ORDER BY i) AS begins,
+             min(CASE WHEN cut THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 FOLLOWING AND UNBOUNDED FOLLOWING) AS last
+      FROM z),
+l AS (SELECT doc_id, list(lw ORDER BY i) AS ws, list(e ORDER BY i) AS es FROM y GROUP BY doc_id),
+u AS (SELECT doc_id, s, es[last] AS e, array_to_string(ws[i:last], ' ') AS unit FROM p JOIN l USING (doc_id) WHERE begins AND last IS NOT NULL
+      UNION SELECT doc_id, min(s), max(e), string_agg(lw, ' ' ORDER BY i) FROM y GROUP BY doc_id, line HAVING count(*) >= 20),
+f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(s) OVER o AS kept_start
+      FROM u WINDOW o AS (PARTITION BY unit ORDER BY doc_id, s))
+SELECT doc_id, s::BIGINT AS "start", e::BIGINT AS "end", kept_doc_id, kept_start::BIGINT AS kept_start FROM f
+WHERE (doc_id, s) <> (kept_doc_id, kept_start)
 """
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import discard, map_arrow, materialize, prepare, text_bytes
 
@@ -89,18 +90,19 @@ def statistics(data: bytes) -> tuple[int, int, int, int, int, int, int]:
             len(lines) - len(set(lines)), repeats, len(lines), capitals)
 
 
-def with_statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of ``docs`` with the base statistics of the text; a narrow step."""
+def with_statistics(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` of ``docs`` (``text`` may be one) with the base statistics of the text; a narrow step."""
     names = [*STATS, "n_lines", "n_capitals"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    read = keys if text in keys else [*keys, text]
+    at = read.index(text)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.array([statistics(x) for x in text_bytes(b.column(len(keys)))], np.int64)
+        rows = np.array([statistics(x) for x in text_bytes(b.column(at))], np.int64)
         return pa.RecordBatch.from_arrays([*b.columns[:len(keys)], *(pa.array(rows[:, k]) for k in range(len(names)))],
                                           [*keys, *names])
 
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{n} long" for n in names])
-    return map_arrow(docs.select(*keys, "text"), batch, schema)
+    schema = StructType([docs.schema[k] for k in keys] + [StructField(n, LongType()) for n in names])
+    return map_arrow(docs.select(*read), batch, schema)
 
 
 def vector() -> dict[str, Column]:
@@ -232,14 +234,16 @@ def fit(vectors: DataFrame, group: list[str], names: list[str], support: float =
     return model
 
 
-def judge(docs: DataFrame, keys: list[str], support: float = SUPPORT, steps: int = STEPS,
-          min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
-    """``keys``, base statistics, ``base_failed``, ``distance`` (null without estimate) and ``kept`` per row."""
-    prepare(docs.sparkSession)
+def scored(docs: DataFrame, keys: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """``keys``, base statistics, ``base_failed``, the vector, and the group as ``__lang`` and ``__source``."""
+    marked = docs.withColumn("__lang", F.col(lang)).withColumn("__source", F.col(source))
+    return (with_statistics(marked, [*keys, "__lang", "__source"], text)
+            .withColumn("base_failed", base_failed()).withColumns(vector()))
+
+
+def estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """(__lang, __source, mean, inverse): the estimate each group of ``rows`` is judged by."""
     names = list(FLOOR)
-    stats = with_statistics(docs.select(*keys, F.col("lang").alias("__lang"), F.col("source").alias("__source"), "text"),
-                            [*keys, "__lang", "__source"])
-    rows = materialize(stats.withColumn("base_failed", base_failed()).withColumns(vector()), "stats")
     # one estimate a language and source, a language, and all: a row counts in each
     whole = F.lit(None).cast("string")
     level = F.explode(F.array(
@@ -252,26 +256,41 @@ def judge(docs: DataFrame, keys: list[str], support: float = SUPPORT, steps: int
     fine, lang, every = (enough.filter(F.col("level") == k).select(
         F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("mean", "inverse").alias(f"e{k}")) for k in range(3))
     groups = rows.select("__lang", "__source").distinct()
-    chosen = materialize(
+    out = materialize(
         groups.join(fine, F.col("__lang").eqNullSafe(F.col("l0")) & F.col("__source").eqNullSafe(F.col("s0")), "left")
         .join(lang, F.col("__lang").eqNullSafe(F.col("l1")), "left")
         .join(F.broadcast(every), F.lit(True), "left")  # at most one row
         .select("__lang", "__source", F.coalesce("e0", "e1", "e2").alias("e"))
         .select("__lang", "__source", "e.mean", "e.inverse"), "chosen")
-    found = _on(rows, chosen, ["__lang", "__source"], ["mean", "inverse"]).withColumn("distance", distance(names))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
-    return found.select(*keys, *STATS, "base_failed", "distance", kept.alias("kept"))
+    discard(model)
+    return out
+
 
+def verdicts(rows: DataFrame, chosen: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``rows`` with ``distance`` (null without an estimate) and ``kept``."""
+    found = _on(rows, chosen, ["__lang", "__source"], ["mean", "inverse"]).withColumn("distance", distance(list(FLOOR)))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff)))
 
-def keep(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and are no outliers."""
-    columns = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64(*columns))
-    out = materialize(judge(marked, ["doc_id", "__h"], **parameters).filter(~F.col("kept"))
-                      .select(F.col("doc_id").alias("__doc"), F.col("__h").alias("__out")).distinct(), "rejected")
-    return marked.join(out, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__out")),
-                       "left_anti").select(*columns)
 
+def keep(docs: DataFrame, cutoff: float = CUTOFF, **parameters) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and are no outliers.
 
-def report(docs: DataFrame, **parameters) -> DataFrame:
-    return judge(docs, ["doc_id"], **parameters)
+    The texts are read twice, for the estimates and for the verdicts, and never shuffled:
+    what meets them is one row a group.
+    """
+    prepare(docs.sparkSession)
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # the work columns cannot clash
+    place = dict(zip(docs.columns, names))
+    renamed = docs.toDF(*names)
+    own = {what: place[what] for what in ("lang", "source", "text")}
+    chosen = estimates(materialize(scored(renamed, [], **own), "stats"), **parameters)
+    return (verdicts(scored(renamed, names, **own), chosen, cutoff).filter("kept")
+            .select(*[F.col(n).alias(c) for c, n in place.items()]))
+
+
+def report(docs: DataFrame, cutoff: float = CUTOFF, **parameters) -> DataFrame:
+    """doc_id, base statistics, ``base_failed``, ``distance`` and ``kept`` per row."""
+    prepare(docs.sparkSession)
+    rows = materialize(scored(docs.select("doc_id", "lang", "source", "text"), ["doc_id"]), "stats")
+    found = verdicts(rows, estimates(rows, **parameters), cutoff)
+    return found.select("doc_id", *STATS, "base_failed", "distance", "kept")

@@ -2,8 +2,8 @@
 
 Grid search runs every (parameter, fold) combination in one job: the fold id
 is a column, the parameter grid a small literal array, and the Gaussian
-sufficient statistics are aggregated once per (fold, class, feature); each
-grid point then reuses them.
+sufficient statistics are aggregated once per (fold, class, feature); every
+fold and grid point reuses them.
 """
 
 from __future__ import annotations
@@ -27,23 +27,43 @@ def gaussian_grid_search(long_df: DataFrame, docs: DataFrame, k: int = 5, seed:
                          grid: list[float] = VAR_SMOOTHING_GRID) -> DataFrame:
     """Stratified-in-expectation k folds x var_smoothing grid, weighted F1 per point.
 
-    ``long_df``: (doc_id, label, feature, x) already scaled.  Output
-    ``(var_smoothing, f1)`` averaged over folds.
+    ``long_df``: (doc_id, label, feature, x), not scaled: each fold is scaled by its own
+    training rows.  Counts, sums and squares are taken once per (fold, class, feature); a
+    fold's training statistics are the totals less its own.  Output ``(var_smoothing, f1)``
+    over the held-out predictions of all folds.
     """
-    folds = EV.kfold(docs.select("doc_id", "label"), k, seed).select("doc_id", "fold")
-    lf = long_df.join(folds, "doc_id")
-    # per training fold f: statistics over all rows with fold != f
-    fold_ids = F.array(*[F.lit(i) for i in range(k)])
-    train = lf.select("*", F.explode(fold_ids).alias("held")).filter(F.col("held") != F.col("fold"))
-    stats = train.groupBy("held", "label", "feature").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("v0"))
-    maxvar = train.groupBy("held", "feature").agg(F.var_pop("x").alias("v")).groupBy("held") \
-        .agg(F.max("v").alias("maxv"))
-    counts = train.select("held", "doc_id", "label").distinct().groupBy("held", "label").agg(
-        F.count(F.lit(1)).alias("n"))
-    prior = counts.withColumn("log_prior", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("held"))))
+    folds = EV.kfold(docs.select("doc_id", "label"), k, seed).select("doc_id", "label", "fold")
+    lf = EV.kfold(long_df, k, seed)
+    held = F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("held")
+    x2 = F.sum(F.col("x") * F.col("x"))
+    per = lf.groupBy("fold", "label", "feature").agg(F.count("x").alias("n"), F.sum("x").alias("s"), x2.alias("q"))
+    per = per.checkpoint()  # folds x classes x features rows
+    own = per.withColumnRenamed("fold", "held")
+    tot = per.groupBy("label", "feature").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    tr = tot.select("*", held).join(own, ["held", "label", "feature"], "left").select(
+        "held", "label", "feature", *[(F.col(f"t{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "s", "q")]).filter("n > 0")
+
+    def spread(n, s, q):
+        return F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
+
+    scaler = tr.groupBy("held", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]) \
+        .withColumn("v", spread(F.col("n"), F.col("s"), F.col("q"))).select(
+            "held", "feature", (F.col("s") / F.col("n")).alias("sm"), "v",
+            F.when(F.col("v") > 1e-18, F.sqrt("v")).otherwise(1.0).alias("ss"))
+    stats = tr.join(scaler.drop("v"), ["held", "feature"]).select(
+        "held", "label", "feature", ((F.col("s") / F.col("n") - F.col("sm")) / F.col("ss")).alias("mean"),
+        (spread(F.col("n"), F.col("s"), F.col("q")) / (F.col("ss") * F.col("ss"))).alias("v0"))
+    maxvar = scaler.groupBy("held").agg(F.max(F.col("v") / (F.col("ss") * F.col("ss"))).alias("maxv"))
+    counts = folds.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    labels = counts.groupBy("label").agg(F.sum("c").alias("t"))
+    prior = labels.select("label", "t", held).join(counts.withColumnRenamed("fold", "held"), ["held", "label"], "left") \
+        .withColumn("n", F.col("t") - F.coalesce("c", F.lit(0))).filter("n > 0") \
+        .withColumn("log_prior", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("held"))))
     g = F.explode(F.array(*[F.lit(v) for v in grid])).alias("vs")
     model = stats.join(maxvar, "held").select("*", g).withColumn("var", F.col("v0") + F.col("vs") * F.col("maxv"))
-    test = lf.withColumnRenamed("fold", "held").withColumnRenamed("label", "true_label")
+    test = lf.withColumnRenamed("fold", "held").withColumnRenamed("label", "true_label") \
+        .join(F.broadcast(scaler.select("held", "feature", "sm", "ss")), ["held", "feature"]) \
+        .withColumn("x", (F.col("x") - F.col("sm")) / F.col("ss"))
     scored = test.join(F.broadcast(model.select("held", "vs", "label", "feature", "mean", "var")), ["held", "feature"])
     jll = scored.groupBy("held", "vs", "doc_id", "true_label", "label").agg(
         F.sum(-0.5 * F.log(2 * math.pi * F.col("var")) - 0.5 * F.pow(F.col("x") - F.col("mean"), 2) / F.col("var"))

@@ -285,15 +285,14 @@ def l15_folds(spark, sf):
     return EV.kfold(a).groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scaled_impact(spark, sf):
+def _impact_long(spark, sf):
     wide = M.impact_features_wide(spark, sf).checkpoint()
-    long = NB.unpivot_features(wide, M.IMPACT_FEATURES, keep=("doc_id", "label"))
-    return wide, NB.scale(long, NB.scaler_fit(long))
+    return wide, NB.unpivot_features(wide, M.IMPACT_FEATURES, keep=("doc_id", "label"))
 
 
 @register("L15_grid_search")
 def l15_grid(spark, sf):
-    wide, long = _scaled_impact(spark, sf)
+    wide, long = _impact_long(spark, sf)
     return TU.gaussian_grid_search(long, wide.select("doc_id", "label"))
 
 
@@ -310,7 +309,7 @@ def l16_grid(spark, sf):
 def l12_l18(spark, sf):
     """Grid-searched var_smoothing -> refit -> threshold sweep -> sigmoid calibration;
     before / after validation metrics side by side (rows-only)."""
-    wide, long = _scaled_impact(spark, sf)
+    wide, long = _impact_long(spark, sf)
     grid = TU.gaussian_grid_search(long, wide.select("doc_id", "label"))
     best = grid.orderBy(F.col("f1").desc(), "var_smoothing").first()["var_smoothing"]
     before = M.impact_pipeline(spark, sf)

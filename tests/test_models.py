@@ -42,3 +42,36 @@ def test_threshold_sweep_lowest_on_ties(spark):
                                "doc_id BIGINT, class STRING, prob DOUBLE, true_class STRING")
     r = EV.threshold_sweep(pl).first()
     assert r.threshold == 0.30 and r.best_f1 == 1.0
+
+
+def test_grid_search_scales_by_the_training_rows_of_each_fold(spark):
+    import numpy as np
+
+    from finlex.operators import tuning as TU
+    rng = np.random.default_rng(1)
+    n = 240
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 2)) * [1.0, 50.0] + np.stack([y * 1.0, y * 20.0], 1)
+    rows = [(int(d), f"c{y[d]}", f"f{j}", float(x[d, j])) for d in range(n) for j in range(2)]
+    long = spark.createDataFrame(rows, "doc_id BIGINT, label STRING, feature STRING, x DOUBLE")
+    docs = long.select("doc_id", "label").distinct()
+    grid = [1e-9, 0.5]
+    got = {r.var_smoothing: r.f1 for r in TU.gaussian_grid_search(long, docs, k=3, grid=grid).collect()}
+    fold = {r.doc_id: r.fold for r in EV.kfold(docs, 3).collect()}
+    f = np.array([fold[d] for d in range(n)])
+    for vs in grid:
+        pred = np.zeros(n, int)
+        for h in range(3):
+            tr, te = f != h, f == h
+            m, s = x[tr].mean(0), x[tr].std(0)
+            a, b = (x[tr] - m) / s, (x[te] - m) / s
+            eps = vs * a.var(0).max()
+            j = np.stack([np.log((y[tr] == c).mean()) - 0.5 * (np.log(2 * np.pi * (a[y[tr] == c].var(0) + eps))
+                          + (b - a[y[tr] == c].mean(0)) ** 2 / (a[y[tr] == c].var(0) + eps)).sum(1) for c in range(3)])
+            pred[te] = j.argmax(0)
+        f1 = 0.0
+        for c in range(3):
+            tp = ((pred == c) & (y == c)).sum()
+            p, r = tp / max((pred == c).sum(), 1), tp / (y == c).sum()
+            f1 += (2 * p * r / (p + r) if p + r else 0) * (y == c).mean()
+        assert abs(got[vs] - f1) < 1e-9

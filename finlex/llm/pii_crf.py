@@ -4,18 +4,24 @@ Base spans follow fixed patterns.  Every other token that looks like a number of
 more digits or like an address is a candidate.  The field's variables are the base spans
 (clamped to their kind) and the candidates of one document, its labels none, email, ip,
 card and phone.  Factors: a log-linear score of the token's shape; a chain factor between
-neighbours at most ``GAP`` code points apart; a skip factor between consecutive tokens with
-the same key (the last seven digits, or the address), however far apart.  Loopy sum-product
-message passing, damped, runs over the documents of a batch at once; a candidate whose best
-label is not none becomes a span.  Base spans always stay.
+neighbours at most ``GAP`` code points apart; a skip factor between every two tokens with
+the same key (the last seven digits, or the address), however far apart.  A candidate whose
+best label is not none becomes a span.  Base spans always stay.
+
+The skip factors of a key depend on how many of its tokens have each label, so they are one
+potential over these counts, and a round takes linear time however often a key repeats.  A
+token sees the expected counts of its key's other tokens (exact for clamped ones); the
+chains between are solved by sum-product, exact on them.  Rounds run to convergence, for
+each document alone, from several starts: every key's free tokens at their best common
+label, every token by its score and its clamped repeats, and the better result with whole
+keys changed.  The result with the greatest mean-field bound of the partition sum counts.
 
 All other tokens are labelled none by construction, which makes the messages through them
-constant; so leaving them out is exact.  Skip edges join an occurrence to the previous one
-only, so a document's graph has at most two edges a token.
+constant; so leaving them out is exact.
 
 Training (piecewise, on the corpus itself with the base spans as labels; of the unmatched
 candidates a share ``MISSED`` counts as missed by the rules): counts of shape
-and label, of neighbouring labels and of agreeing skip pairs over all documents.  Shapes
+and label, of neighbouring labels and of agreeing skip pairs (all pairs of a key) over all documents.  Shapes
 are a finite set, so the driver receives a bounded number of count rows.
 
 Defined cases: a null or empty text has no spans; repeated documents each get their row;
@@ -43,6 +49,8 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 GAP = 80
 ROUNDS = 20
+SETTLE = 500  # most rounds of a document's skip potentials beyond one a token
+STARTS = 10  # most further starts with whole keys changed
 DAMPING = 0.3
 MISSED = 0.1  # share of unmatched candidates taken to be of some kind the rules miss
 SKIP_LIMIT = 8.0  # bounds of the trained pair scores
@@ -151,7 +159,7 @@ def _shape(s: str) -> tuple[str, str]:
 
 
 def edges(toks: list) -> tuple[list, list]:
-    """Chain and skip edges (earlier, later) of a document's tokens."""
+    """Chain edges, and skip edges to the previous token of the same key, which join all tokens of a key, as (earlier, later)."""
     chain = [(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= GAP]
     seen: dict[str, int] = {}
     skip = []
@@ -169,6 +177,7 @@ class Field:
     weights: dict[str, np.ndarray]
     chain: np.ndarray
     skip: np.ndarray
+    clamp = np.where(np.eye(len(LABELS)) > 0, 0.0, -50.0)
 
     def unary(self, shape: str) -> np.ndarray:
         got = self.shapes.get(shape)
@@ -179,27 +188,93 @@ class Field:
 
     def label(self, docs: list[list]) -> list[list[int]]:
         """Best label of every token of every document."""
-        where, unary, ends, kind = [], [], [], []
-        for toks in docs:
-            at = len(unary)
-            where.append(at)
-            for t in toks:
-                if t[2] > 0:
-                    u = np.full(len(LABELS), -50.0)
-                    u[t[2]] = 0.0
-                else:
-                    u = self.unary(t[3])
-                unary.append(u)
-            if any(t[2] < 0 for t in toks):  # all clamped: nothing to infer
-                for which, es in enumerate(edges(toks)):
-                    ends += [(at + i, at + j) for i, j in es]
-                    kind += [which] * len(es)
-        if not unary:
-            return [[] for _ in docs]
-        belief = propagate(np.array(unary), np.array(ends, np.int64).reshape(-1, 2), np.array(kind, np.int64),
-                           np.stack([self.chain, self.skip]))
-        best = belief.argmax(axis=1)
-        return [best[a:a + len(t)].tolist() for a, t in zip(where, docs)]
+        return [self._label(toks) for toks in docs]
+
+    def _label(self, toks: list) -> list[int]:
+        if all(t[2] > 0 for t in toks):  # all clamped: nothing to infer
+            return [t[2] for t in toks]
+        fixed = np.array([max(t[2], 0) for t in toks])
+        unary = np.array([self.clamp[t[2]] if t[2] > 0 else self.unary(t[3]) for t in toks])
+        chain, skip = edges(toks)
+        ends = np.array(chain, np.int64).reshape(-1, 2)
+        if not skip:
+            return propagate(unary, ends, np.zeros(len(ends), np.int64), self.chain[None],
+                             rounds=ROUNDS + len(toks)).argmax(axis=1).tolist()
+        key = np.arange(len(toks))
+        for i, j in skip:
+            key[j] = key[i]
+        return settle(unary, fixed, ends, self.chain, key, self.skip[0, 0]).argmax(axis=1).tolist()
+
+
+def settle(unary: np.ndarray, fixed: np.ndarray, ends: np.ndarray, chain: np.ndarray, key: np.ndarray, w: float) -> np.ndarray:
+    """Marginals of the tokens; those of one ``key`` have a pair score of ``w`` for each two with equal labels.
+
+    ``fixed`` has the labels of clamped tokens and 0 for free ones.
+    """
+    n, k = unary.shape
+    free = fixed == 0
+    clamped = np.eye(k)[fixed] * ~free[:, None]
+    unary = np.where(free[:, None], unary, np.where(clamped > 0, 0.0, -50.0))
+
+    def by_key(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, k))
+        np.add.at(out, key, x)
+        return out
+
+    def held(belief: np.ndarray) -> np.ndarray:
+        p = np.exp(belief - belief.max(axis=1, keepdims=True))
+        return np.where(free[:, None], p / p.sum(axis=1, keepdims=True), clamped)
+
+    def bound(p: np.ndarray) -> float:
+        total = by_key(p)
+        pairs = w / 2 * ((total ** 2).sum() - (p ** 2).sum())
+        return ((p * (unary - np.log(np.maximum(p, 1e-300))))[free].sum() + pairs
+                + np.einsum("ia,ab,ib->", p[ends[:, 0]], chain, p[ends[:, 1]]))
+
+    votes = by_key(clamped)
+    m = np.bincount(key[free], minlength=n)
+
+    def common(near: np.ndarray) -> np.ndarray:
+        """Every key's free tokens at their best common label, given scores of the tokens."""
+        scores = by_key(np.where(free[:, None], near, 0.0)) + w * m[:, None] * votes
+        return np.where(free[:, None], np.eye(k)[scores.argmax(axis=1)[key]], clamped)
+
+    def around(p: np.ndarray) -> np.ndarray:
+        near = unary.copy()
+        np.add.at(near, ends[:, 0], p[ends[:, 1]] @ chain.T)
+        np.add.at(near, ends[:, 1], p[ends[:, 0]] @ chain)
+        return near
+
+    src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+    back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
+    psi = np.concatenate([np.broadcast_to(chain, (len(ends), k, k)), np.broadcast_to(chain.T, (len(ends), k, k))])
+
+    def settled(p: np.ndarray) -> np.ndarray:
+        msg = np.zeros((len(src), k))
+        for _ in range(SETTLE + n):
+            belief = np.where(free[:, None], unary + w * (by_key(p)[key] - p), unary)
+            np.add.at(belief, dst, msg)
+            new = held(belief)
+            moved = np.abs(new - p).max()
+            p = DAMPING * p + (1 - DAMPING) * new
+            if len(src):
+                x = (belief[src] - msg[back])[:, :, None] + psi
+                top = x.max(axis=1)
+                out = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+                out -= out.max(axis=1, keepdims=True)
+                moved = max(moved, np.abs(out - msg).max())
+                msg = DAMPING * msg + (1 - DAMPING) * out
+            if moved < 1e-6:
+                break
+        return p
+
+    best = max((settled(p) for p in (common(unary), held(unary + w * votes[key]))), key=bound)
+    for _ in range(STARTS):  # whole keys change their label while that is better
+        start = common(around(best))
+        if (start.argmax(axis=1) == best.argmax(axis=1)).all() or bound(other := settled(start)) <= bound(best) + 1e-9:
+            break
+        best = other
+    return best
 
 
 def propagate(unary: np.ndarray, ends: np.ndarray, kind: np.ndarray, pair: np.ndarray,
@@ -297,12 +372,15 @@ def train(tokenised: DataFrame) -> Field:
             label = [max(t[2], 0) for t in toks]
             for t, y in zip(toks, label):
                 n["shape", f"{y}|{t[3]}"] += 1
-            chain, skip = edges(toks)
-            for i, j in chain:
+            for i, j in edges(toks)[0]:
                 n["chain", f"{label[i]}|{label[j]}"] += 1
-            for i, j in skip:
-                if label[i] and label[j]:  # an unlabelled repeat says nothing about agreement
-                    n["skip", f"{label[i]}|{label[j]}"] += 1
+            votes: dict[str, dict[int, int]] = {}
+            for t, y in zip(toks, label):
+                if y:  # an unlabelled repeat says nothing about agreement
+                    seen = votes.setdefault(t[4], {})
+                    for other, c in seen.items():
+                        n["skip", f"{other}|{y}"] += c
+                    seen[y] = seen.get(y, 0) + 1
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([v for _, v in n], pa.string()),
                                            pa.array(list(n.values()), pa.int64())], ["what", "value", "n"])
 

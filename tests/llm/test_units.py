@@ -89,6 +89,42 @@ def test_skip_edges_carry_a_label_to_a_distant_repeat():
     assert pii_crf.spans_of(toks, field.label([toks])[0]) == ([], [])
 
 
+def field_of(w):
+    shapes = {"": np.log([0.9, 0.025, 0.025, 0.025, 0.025])}
+    return pii_crf.Field({}, shapes, np.zeros((5, 5)), w * np.eye(5))
+
+
+@pytest.mark.parametrize("repeats", [1, 3, 30, 1000])
+@pytest.mark.parametrize("w", [4.0, 8.0])
+def test_every_repeat_of_a_labelled_number_is_found(repeats, w):
+    text = "call +1 (555) 123-4567 " + ("word " * 20 + "or 555-123-4567 ") * repeats
+    toks = pii_crf.tokens(text)
+    assert len(toks) == repeats + 1
+    assert field_of(w).label([toks])[0] == [4] * (repeats + 1)
+    assert field_of(w).label([toks[1:]])[0] == [0] * repeats
+
+
+def test_skip_potentials_agree_with_enumeration():
+    rng = np.random.default_rng(3)
+    same = 0
+    for _ in range(60):
+        n = 5
+        unary, chain = rng.normal(size=(n, 3)) * 2, rng.uniform(-1, 1, size=(3, 3))
+        fixed, key, w = np.array([rng.integers(0, 3), 0, 0, 0, 0]), np.array([0, 1, 0, 1, 0]), 4.0
+        ends = np.array([[0, 1], [3, 4]])
+        got = pii_crf.settle(unary, fixed, ends, chain, key, w)
+        want = np.zeros((n, 3))
+        for y in np.ndindex(*[3] * n):
+            if fixed[0] and y[0] != fixed[0]:
+                continue
+            e = sum(unary[i, y[i]] for i in range(n) if not fixed[i]) + sum(chain[y[i], y[j]] for i, j in ends)
+            e += w * sum(key[i] == key[j] and y[i] == y[j] for j in range(n) for i in range(j))
+            want[np.arange(n), y] += np.exp(e)
+        sure = np.sort(want / want.sum(axis=1, keepdims=True), axis=1)[:, -1] > 0.7
+        same += (got.argmax(axis=1) == want.argmax(axis=1))[sure].all()
+    assert same == 60
+
+
 # ---------------------------------------------------------------- statistics
 
 def stats_by_hand(t):

@@ -1,7 +1,11 @@
 """Personal data by rules and a skip-chain conditional random field (operator 2).
 
 Base spans follow fixed patterns.  Every other token that looks like a number of seven or
-more digits or like an address is a candidate.  The field's variables are the base spans
+more digits or like an address is a candidate.  Digit groups between which blanks, brackets,
+dots or hyphens stand (at most three) are candidates together where they repeat the digits
+of a base span, or all but its first ones; where they are 12 to 19 digits that pass the card
+check, inside a run that does not; where they are 3, 3 and 4 digits; else where what is left
+of a run has 7 to 15 digits, about two a group or more, or in a longer rest at 3 and 4.  The field's variables are the base spans
 (clamped to their kind) and the candidates of one document, its labels none, email, ip,
 card and phone.  Factors: a log-linear score of the token's shape; a chain factor between
 neighbours at most ``GAP`` code points apart; a skip factor between every two tokens with
@@ -33,8 +37,10 @@ untouched and are not read otherwise.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +70,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _NUMBER = re.compile(r"(?<![A-Za-z0-9().+-])\+?[0-9(][0-9().-]*+")
+_RUN = re.compile(r"(?<![A-Za-z0-9])[0-9]++(?:[ ().-]{1,3}+[0-9]++)++")
+_DIGITS = re.compile(r"[0-9]+")
+_CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+_ONCE = {str(d): d for d in range(10)}
+_TWICE = {str(d): 2 * d if d < 5 else 2 * d - 9 for d in range(10)}
 _ADDRESS = re.compile(r"(?<!\S)[^\s@]++@[^\s@]++")
 _ANY = re.compile(r"[0-9@]")
 
@@ -133,16 +144,148 @@ def tokens(text: str) -> list[tuple[int, int, int, str, str]]:
             continue
         if sum("0" <= c <= "9" for c in body) >= 7:
             found.append((a, b))
-    k, last = 0, -1
+    k, last, plain = 0, -1, []
     for a, b in sorted(found):
         while k < len(covered) and covered[k][1] <= a:
             k += 1
         if a >= last and not (k < len(covered) and covered[k][0] < b):
-            out.append((a, b, -1, *_shape(text[a:b])))
+            plain.append((a, b))
             last = b
+    known = {digits_of(text[a:b]) for a, b, kind in base if kind > 1}
+    more, repeats = spaced(text, covered, plain, known)
+    k = 0
+    for a, b in plain:
+        while k < len(repeats) and repeats[k][1] <= a:
+            k += 1
+        if not (k < len(repeats) and repeats[k][0] <= a and b <= repeats[k][1]):
+            more.append((a, b))
+    out += [(a, b, -1, *_shape(text[a:b])) for a, b in {*more, *repeats}]
     return sorted(out, key=lambda t: (t[0], t[2], t[1]))
 
 
+def spaced(text: str, covered: list, plain: list, known: set[str]) -> tuple[list, list]:
+    """Candidates of several digit groups outside the ``covered`` spans: new ones, and those that repeat ``known`` digits.
+
+    ``plain`` are the candidates without blanks, which stay beside the new ones unless a repeat holds them.
+    """
+    more, repeats = [], []
+    suffixes = {d[k:] for d in known for k in range(len(d) - 6)}
+    keys = {d[-7:] for d in known}
+    c = p = 0
+    for run in _RUN.finditer(text):
+        groups: list[tuple[int, int]] = []
+        parts = [groups]  # of the run, between base spans
+        for g in _DIGITS.finditer(text, run.start(), run.end()):
+            a, b = g.span()
+            while c < len(covered) and covered[c][1] <= a:
+                c += 1
+            if c < len(covered) and covered[c][0] < b or b < len(text) and text[b].isalnum() and ord(text[b]) < 128:
+                groups = []
+                parts.append(groups)
+            else:
+                groups.append((a, b))
+        for groups in parts:
+            if len(groups) < 2:
+                continue
+            n = len(groups)
+            digit = [text[a:b] for a, b in groups]
+            taken = [False] * n
+            whole = "".join(digit)
+            at = [0, *itertools.accumulate(map(len, digit))]  # digits before a group
+            group = {x: i for i, x in enumerate(at)}
+
+            def take(i: int, j: int, into: list) -> None:
+                a, b = groups[i][0], groups[j - 1][1]
+                if a and text[a - 1] == "(" and ")" in text[a:b]:
+                    a -= 1
+                if a and text[a - 1] == "+":
+                    a -= 1
+                into.append((a, b))
+                taken[i:j] = [True] * (j - i)
+
+            i = 0
+            while known and i < n:
+                for size in range(19, 6, -1):
+                    j = group.get(at[i] + size)
+                    if j and whole[at[j] - 7:at[j]] in keys:
+                        d = whole[at[i]:at[j]]
+                        if d in suffixes or any(d[k:] in known for k in range(size - 6)):
+                            take(i, j, repeats)
+                            i = j - 1
+                            break
+                i += 1
+            gap = [text[groups[i][1]:groups[i + 1][0]] for i in range(n - 1)]
+            # a card begins and ends at a blank, or inside a token too long for a phone number
+            long, i = [False] * n, 0
+            while i < n:
+                j = i + 1
+                while j < n and " " not in gap[j - 1]:
+                    j += 1
+                long[i:j] = [sum(map(len, digit[i:j])) > 15] * (j - i)
+                i = j
+            cut = [True, *(" " in gap[i] or long[i] for i in range(n - 1)), True]
+            odd = [0, 0, *itertools.accumulate(g not in (" ", "-") for g in gap)]  # gaps before a group no card has
+            # check sums of the digits before each place, when those at even or at odd places count once
+            sums = [[0, *itertools.accumulate(_ONCE[x] if k % 2 == first else _TWICE[x] for k, x in enumerate(whole))]
+                    for first in (0, 1)]
+            size_of = [len(d) for d in digit]
+
+            def cards(i: int) -> Iterator[int]:
+                """Ends of the untaken sub-runs from group ``i`` that pass the card check."""
+                for size in (16, 15, 14, 13, 19, 18, 17, 12):
+                    j = group.get(at[i] + size)
+                    if j and cut[i] and cut[j] and odd[j] == odd[i + 1] and not any(taken[i:j]):
+                        once = sums[(at[j] - 1) % 2]
+                        if (once[at[j]] - once[at[i]]) % 10 == 0:
+                            yield j
+
+            for i in range(n):
+                if not taken[i]:
+                    for j in cards(i):
+                        if size_of[i:j] in _CARD_GROUPS:
+                            take(i, j, more)
+                            break
+            # telephone groups stay candidates beside sub-runs that pass the card check by chance
+            phone, i = [], 0
+            while i < n - 2:
+                if size_of[i:i + 3] == [3, 3, 4] and not any(taken[i:i + 3]):
+                    code = i and not taken[i - 1] and size_of[i - 1] <= 3 and groups[i - 1][0] and text[groups[i - 1][0] - 1] == "+"
+                    phone.append((i - 1 if code else i, i + 3))
+                    i += 2
+                i += 1
+            closes = {j for _, j in phone}
+            for i in range(n):
+                if not taken[i]:
+                    j = next((j for j in cards(i) if j not in closes), None)
+                    if j:
+                        take(i, j, more)
+            for i, j in phone:
+                take(i, j, more)
+            i = 0
+            while i < n:
+                while p < len(plain) and plain[p][1] <= groups[i][0]:
+                    p += 1
+                if taken[i] or p < len(plain) and plain[p][0] < groups[i][1]:
+                    i += 1
+                    continue
+                j, q = i, p
+                while j < n and not taken[j]:
+                    while q < len(plain) and plain[q][1] <= groups[j][0]:
+                        q += 1
+                    if q < len(plain) and plain[q][0] < groups[j][1]:
+                        break
+                    j += 1
+                if 7 <= at[j] - at[i] <= 15:
+                    if at[j] - at[i] >= 2 * (j - i) - 1:  # not a list of single digits
+                        take(i, j, more)
+                else:
+                    for k in range(i, j - 1):
+                        if size_of[k:k + 2] == [3, 4]:
+                            take(k, k + 2, more)
+                i = j
+    return more, sorted(repeats)
+
+
 def _checks(s: str, d: str) -> bool:
     """Whether a token passes the check of the kind it looks like."""
     if s.count(".") == 3 and all(p.isdigit() for p in s.split(".")):
@@ -158,6 +301,13 @@ def _shape(s: str) -> tuple[str, str]:
     return shape, key
 
 
+def possible(shape: str) -> list[bool]:
+    """Whether a candidate of this shape can have each label: kinds have their number of digits and pass their check."""
+    n, dots, gaps, at, _, v = (int(f[1:]) for f in shape.split(","))
+    return [True, at == 1, at == 0 and dots == 3 and gaps == 0 and v == 1, at == 0 and dots == 0 and 12 <= n <= 19 and v == 1,
+            at == 0 and 7 <= n <= 15]
+
+
 def edges(toks: list) -> tuple[list, list]:
     """Chain edges, and skip edges to the previous token of the same key, which join all tokens of a key, as (earlier, later)."""
     chain = [(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= GAP]
@@ -183,6 +333,8 @@ class Field:
         got = self.shapes.get(shape)
         if got is None:
             got = sum((self.weights[f] for f in ["", *shape.split(",")] if f in self.weights), np.zeros(len(LABELS)))
+            if shape:
+                got = np.where(possible(shape), got, -50.0)
             self.shapes[shape] = got
         return got
 

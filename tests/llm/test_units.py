@@ -104,6 +104,42 @@ def test_every_repeat_of_a_labelled_number_is_found(repeats, w):
     assert field_of(w).label([toks[1:]])[0] == [0] * repeats
 
 
+@pytest.mark.parametrize("text,found", [
+    ("+1 555 123 4567 then 555 123 4567 x", ["555 123 4567"]), ("+1 555 123 4567 then (555) 123 4567.", ["(555) 123 4567"]),
+    ("+1 555 123 4567 then 99 555 123 4567", ["555 123 4567"]), ("+1 555 123 4567 then 1 5551234567", ["1 5551234567"]),
+    ("4111 1111 1111 1111 12", ["4111 1111 1111 1111"]), ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("4111-1111-1111-1111-12", ["4111-1111-1111-1111", "4111-1111-1111-1111-12"]),
+    ("+1 555 123 4567 4111 1111 1111 1111", ["+1 555 123 4567", "4111 1111 1111 1111"]),
+    ("555 123 4567 555 987 6543", ["555 123 4567", "555 987 6543"]), ("1 2 3 4 5 6 7 8", []),
+    ("123 456 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("in 2020 or 12 34 5", []), ("abc123 456 7890 12a", ["456 7890"]), ("7 1234567 7", ["1234567"]),
+])
+def test_candidates_of_spaced_digit_groups(text, found):
+    assert sorted(text[a:b] for a, b, y, _, _ in pii_crf.tokens(text) if y < 0) == sorted(found)
+
+
+def test_spaced_cards_are_found_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(500):
+        sizes = [rng.choice([1, 2, 3, 4]) for _ in range(rng.randint(4, 9))]
+        groups = ["".join(rng.choice("0123456789") for _ in range(n)) for n in sizes]
+        text = " ".join(groups)
+        spans = {(a, b) for a, b, _, _, _ in pii_crf.tokens(text)}
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups) + 1):
+                d = "".join(groups[i:j])
+                if 12 <= len(d) <= 19 and pii_crf.luhn(d) and sizes[j - 3:j] != [3, 3, 4]:  # found, or shares digits with one that is
+                    a = len(" ".join(groups[:i])) + bool(i)
+                    b = len(" ".join(groups[:j]))
+                    assert any(x < b and a < y and 12 <= len(pii_crf.digits_of(text[x:y])) <= 19
+                               and pii_crf.luhn(pii_crf.digits_of(text[x:y])) for x, y in spans)
+
+
+def test_a_spaced_repeat_of_a_phone_number_is_found():
+    text = "call +1 555 123 4567 " + ("word " * 20 + "or 555 123 4567 ") * 3
+    toks = pii_crf.tokens(text)
+    assert len(toks) == 4 and field_of(8.0).label([toks])[0] == [4] * 4
+
+
 def test_skip_potentials_agree_with_enumeration():
     rng = np.random.default_rng(3)
     same = 0

@@ -1,7 +1,8 @@
 """Layout-aware HTML rendering (operator 6).
 
 A tokenizer and a tree builder with implied tags (an open ``p``, ``li``, table cell, ...
-ends where its successor or its container's end says so) make a tree; visibility rules
+ends where its successor or its container's end says so) make a tree; what is no part of a
+table moves before it, and a form directly in a table is transparent; visibility rules
 drop what a browser would not show; the renderer writes all visible text.  Blocks stand on
 lines of their own, paragraphs and the like with an empty line between, list items with
 their marks and indents, and the cells of a table in columns padded to one width.
@@ -32,7 +33,15 @@ from .common import map_arrow, prepare, texts
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title"}
 HIDDEN = {"head", "script", "style", "template", "title", "noscript", "iframe", "object", "audio", "video", "canvas",
-          "svg", "math", "datalist", "noembed", "noframes", "select", "textarea", "param"}
+          "datalist", "noembed", "noframes", "param"}
+# not shown inside svg or math; there, text elements stand on lines of their own
+FOREIGN = {"svg", "math"}
+FOREIGN_HIDDEN = {"desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker", "annotation", "annotation-xml"}
+FOREIGN_LINES = {"text", "foreignobject"}
+# HTML content begins again inside these, and these start tags end svg or math
+_INTEGRATION = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+_BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+                "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "table", "ul", "ol", "dl", "hr",
           "fieldset"}
 BLOCK = SPACED | {"html", "body", "address", "article", "aside", "details", "dialog", "dd", "div", "dt", "figcaption",
@@ -46,6 +55,11 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "tr": ({"tr", "td", "th", "caption"}, {"table"}),
            **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
            "body": ({"head"}, set())}
+# parts of a table, and the open elements a part's start tag goes back to
+PARTS = {"caption": {"table"}, "colgroup": {"table"}, "col": {"table", "colgroup"}, **{t: {"table"} for t in ("thead", "tbody", "tfoot")},
+         "tr": {"table", "thead", "tbody", "tfoot"}, **{t: {"table", "thead", "tbody", "tfoot", "tr"} for t in ("td", "th")}}
+# directly in these stand only parts of a table; other content moves before the table
+STRICT = {"table", "colgroup", "thead", "tbody", "tfoot", "tr"}
 CLOSES_P = BLOCK - {"html", "body", "li", "dt", "dd", "option", "optgroup", "caption", "legend", "summary"}
 _P_BARRIER = {"td", "th", "caption", "table", "button", "object"}
 
@@ -84,9 +98,16 @@ def parse(page: str) -> Node:
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by tag
     page = page.replace("\r\n", "\n").replace("\0", "")
 
+    def add(x: Node | str) -> None:
+        if stack[-1].tag in STRICT and not (isinstance(x, Node) and (x.tag in PARTS or x.tag in HIDDEN)):
+            # an open table is its parent's last child
+            stack[places["table"][-1] - 1].children.insert(-1, x)
+        else:
+            stack[-1].children.append(x)
+
     def text(raw: str) -> None:
-        if raw:
-            stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+        if raw and not (stack[-1].tag in STRICT and not raw.strip(" \t\n\r\f")):
+            add(html.unescape(raw) if "&" in raw else raw)
 
     def push(node: Node) -> None:
         places[node.tag].append(len(stack))
@@ -121,26 +142,42 @@ def parse(page: str) -> Node:
         at = m.end()
         if m["start"]:
             tag = m["start"].lower()
+            while tag in _BREAKOUT and (inside := nearest(FOREIGN)) > nearest(_INTEGRATION):
+                cut(inside)
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if tag in CLOSES_P:
                 close({"p"}, _P_BARRIER)
-            if tag == "tr" and stack[-1].tag == "table":
-                stack[-1].children.append(b := Node("tbody"))
-                push(b)
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                stack[-1].children.append(r := Node("tr"))
-                push(r)
-            node = Node(tag, m["attrs"])
+            if tag in PARTS and places.get("table"):
+                cut(max(nearest(PARTS[tag]), places["table"][-1]) + 1)
+                if tag in ("tr", "td", "th") and stack[-1].tag == "table":
+                    add(b := Node("tbody"))
+                    push(b)
+                if tag in ("td", "th") and stack[-1].tag != "tr":
+                    add(r := Node("tr"))
+                    push(r)
+                if tag == "col" and stack[-1].tag == "table":
+                    continue
+            elif tag in PARTS and tag in STRICT:
+                continue  # no table to be part of
+            if tag == "table" and stack[-1].tag in STRICT:  # one directly in another follows it
+                cut(places["table"][-1])
+            if tag == "form" and stack[-1].tag in STRICT:
+                continue  # has no content there
+            foreign = bool(places.get("svg") or places.get("math"))
+            node = Node(tag, m["attrs"] + " hidden" if foreign and tag in FOREIGN_HIDDEN else m["attrs"])
             if tag in ("html", "body") and places.get(tag):
                 continue  # a second one adds nothing
-            stack[-1].children.append(node)
+            add(node)
+            if foreign and m["attrs"].endswith("/"):
+                continue
             if tag in VOID or m["attrs"].endswith("/") and tag in ("svg", "math"):
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 stop = end.start() if end else n
-                node.children.append(page[at:stop])
+                raw = page[at:stop]
+                node.children.append(html.unescape(raw.removeprefix("\n")) if tag == "textarea" else raw)
                 at = end.end() if end else n
             elif tag == "plaintext":
                 node.children.append(page[at:])
@@ -150,9 +187,9 @@ def parse(page: str) -> Node:
         elif m["end"]:
             tag = m["end"].lower()
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                add(Node("br"))
             elif tag == "p" and not places.get("p"):
-                stack[-1].children.append(Node("p"))
+                add(Node("p"))
             elif tag not in ("html", "body"):
                 # an end tag does not reach out of a table, nor an inline one out of its cell
                 barrier = set() if tag == "table" else {"table"} if tag in BLOCK | TABLE else {"table", "td", "th"}
@@ -317,6 +354,10 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
                 continue
             if tag == "wbr":
                 continue
+            if tag in ("option", "optgroup") and x.attrs and (tag == "optgroup" or not x.children):
+                page.flush()
+                page.inline(x.attributes().get("label", ""))
+                page.flush()
             if tag in ("img", "input"):
                 a = x.attributes()
                 shown = a.get("alt", "") if tag == "img" else (
@@ -333,7 +374,7 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
                 continue
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 page.spaced()
-            elif tag in BLOCK or tag in TABLE:
+            elif tag in BLOCK or tag in TABLE or tag in FOREIGN_LINES:
                 page.flush()
             if tag == "hr":
                 continue
@@ -354,21 +395,21 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
                 page.indent += "  "
             elif tag == "q":
                 page.inline('"')
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre += 1
             if not x.children and tag not in BLOCK and tag not in TABLE:
                 continue
             todo.append(("out", x))
             todo += [("text" if isinstance(c, str) else "in", c) for c in reversed(x.children)]
             continue
-        if tag == "pre":
+        if tag in ("pre", "textarea"):
             pre -= 1
         if tag == "q":
             page.parts.append('"')
             page.filled = True
         if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1):
             page.spaced()
-        elif tag in BLOCK or tag in TABLE:
+        elif tag in BLOCK or tag in TABLE or tag in FOREIGN_LINES:
             page.flush()
         if tag in ("ul", "ol", "menu") and lists:
             lists.pop()

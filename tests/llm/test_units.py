@@ -312,6 +312,36 @@ def test_layout(page, text):
     assert html_render.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><form><tr><td>x</table>", "x"), ("<table>a<tr>b<td>x<tr><div>c</div><td>y</table>d", "ab\nc\n\nx\ny\n\nd"),
+    ("<table><td>x", "x"), ("<table><tbody><p>a<tr><td>x</table>", "a\n\nx"), ("<table><tr><td>a</td><table><tr><td>b", "a\n\nb"),
+    ("<table><caption>c<tr><td>x</table>", "c\nx"), ("<table><colgroup><col><tr><td>x</table>", "x"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><text>b</text><text>c</text></svg>d", "a\nb\nc\nd"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<svg><defs><p>x", "x"),
+    ("<textarea>\na &amp; b</textarea>", "a & b"), ("<select><optgroup label=g><option>a<option selected>b</select>", "g\na\nb"),
+    ("<svg><desc/><text>a</text></svg>", "a"), ("<datalist><option>no</datalist>a", "a"),
+])
+def test_visible_content_of_tables_and_controls(page, text):
+    assert html_render.render(page) == text
+
+
+def test_no_visible_word_is_lost():
+    rng = random.Random(8)
+    tags = ["table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "form", "div", "p", "b", "ul", "li", "dl", "dd", "select",
+            "option", "svg", "text", "g", "math", "mi", "pre", "span", "a", "center", "hr", "br", "col"]
+    for _ in range(4000):
+        words, bits = [], []
+        for _ in range(rng.randint(1, 30)):
+            if rng.random() < 0.4:
+                words.append(f"q{len(words):03}q")
+                bits.append(words[-1])
+            else:
+                bits.append(f"<{rng.choice(['', '', '', '/'])}{rng.choice(tags)}>")
+        page = "".join(bits)
+        shown = html_render.render(page)
+        assert all(shown.count(w) == 1 for w in words), page
+
+
 def test_deep_and_broken_pages_do_not_raise():
     html_render.render("<div>" * 50_000 + "x")
     html_render.render("<b>" * 20_000 + "</i>" * 2000)

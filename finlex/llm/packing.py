@@ -13,8 +13,11 @@ expects ``group_bins`` bins' worth of tokens; so a hot source or cluster spreads
 no task's work grows with the corpus.  Packing across groups would save less than one bin
 in ``group_bins``.
 
-Defined cases: a null text has no words; every document has one end token more than words,
-so empty ones are packed too; a null source or cluster is never in conflict; repeated rows
+Lengths are tokens of a word-piece vocabulary, or words when none is given.  A duplicate
+cluster is a component of near copies by SimHash, as in operator 7.
+
+Defined cases: a null text has no tokens and no cluster; every document has one end token
+more, so empty ones are packed too; a null source or cluster is never in conflict; repeated rows
 are packed each (they share a cluster, so never in one bin); ties go by document id, then
 content; an empty table gives an empty result; other columns are not read.
 """
@@ -28,29 +31,58 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, prepare, text_bytes
+from .common import join_lookup, materialize, prepare, text_bytes
+from .simhash_pigeonring import components, fingerprint, links
+from .wordpiece_count import CACHE_WORDS, START, Automaton
 
 CAPACITY = 2048
 GROUP_BINS = 256
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens, cluster, mark): words and end token, hash of the lower-cased words, hash of the text."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, cluster, mark = [], [], []
-        for data in text_bytes(b.column(2)):
-            words = data.lower().split()
-            n.append(len(words) + 1)
-            cluster.append(xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63) if words else None)
-            mark.append(xxhash.xxh64_intdigest(data) - (1 << 63))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()),
-                                           pa.array(cluster, pa.int64()), pa.array(mark, pa.int64())],
-                                          ["doc_id", "source", "n_tokens", "cluster", "mark"])
+def measured(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, fp, mark): tokens and end token, fingerprint (null without words), hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces)) if pieces else None
+
+    def run(batches):
+        automaton, known = shared and shared.value, {}
+        for b in batches:
+            n, fp, mark = [], [], []
+            for data in text_bytes(b.column(2)):
+                words = data.split()
+                total = len(words)
+                if automaton:
+                    total = 0
+                    for w in words:
+                        count = known.get(w)
+                        if count is None:
+                            if len(known) >= CACHE_WORDS:
+                                known.clear()
+                            count = known[w] = automaton.count(START + w)
+                        total += count
+                n.append(total + 1)
+                f = fingerprint(data) if words else None
+                fp.append(f if f is None or f < 1 << 63 else f - (1 << 64))
+                mark.append(xxhash.xxh64_intdigest(data) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()),
+                                              pa.array(fp, pa.int64()), pa.array(mark, pa.int64())],
+                                             ["doc_id", "source", "n_tokens", "fp", "mark"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), batch,
-                     f"doc_id {kind}, source string, n_tokens long, cluster long, mark long")
+    return (docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+            .mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, fp long, mark long"))
+
+
+def clustered(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``cluster``, the near-duplicate component of the fingerprint, instead of ``fp``."""
+    sized = materialize(sized, "measured")
+    groups = materialize(sized.filter("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n")), "groups")
+    roots = components(links(groups.select("fp", F.col("fp").alias("rep"))))
+    named = materialize(groups.join(roots, groups["fp"] == roots["node"], "left")
+                        .select("fp", "n", F.coalesce("root", "fp").alias("cluster")), "named")
+    names = ["doc_id", "source", "n_tokens", "cluster", "mark"]
+    worded = join_lookup(sized.filter("fp IS NOT NULL"), named, "fp", "n", sized.count())
+    return worded.select(*names).unionByName(
+        sized.filter("fp IS NULL").withColumn("cluster", F.lit(None).cast("long")).select(*names))
 
 
 def pack_group(pieces: list[tuple[int, int | None, int | None]], capacity: int) -> list[tuple[int, int]]:
@@ -122,6 +154,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BIN
     return dealt.groupBy("grp").applyInArrow(group, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
-def report(docs: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
+def report(docs: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS,
+           pieces: list[bytes] | None = None) -> DataFrame:
+    """Packed ``docs``; lengths are tokens of the vocabulary ``pieces``, or words without one."""
     prepare(docs.sparkSession)
-    return pack(measured(docs), capacity, group_bins)
+    return pack(clustered(measured(docs, pieces)), capacity, group_bins)

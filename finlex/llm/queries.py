@@ -76,7 +76,8 @@ def op3(spark, sf_dir):
 
 @register("op4_conflict_best_fit")
 def op4(spark, sf_dir):
-    return packing.report(table(spark, sf_dir, "documents"))
+    return packing.report(table(spark, sf_dir, "documents"),
+                          pieces=wordpiece_count.vocabulary(tokenizer_file("piece_bpe_32k.model")))
 
 
 @register("op5_robust_outliers")

@@ -150,6 +150,25 @@ def test_packing_places_every_token_once_and_without_conflict(docs_of, sample_te
     assert sum(r.n_tokens for r in packing.report(odd).collect()) == sum(len((t or "").encode().split()) + 1 for _, t in ROWS)
 
 
+def test_near_copies_never_share_a_bin_and_lengths_are_tokens(docs_of):
+    vocabulary = wordpiece_count.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 999)}" for _ in range(400)]
+    bits = lambda a, b: (simhash_pigeonring.fingerprint(a.encode()) ^ simhash_pigeonring.fingerprint(b.encode())).bit_count()
+    near = next(x for k in range(400) if bits(x := " ".join([*words[:k], "other", *words[k + 1:]]), " ".join(words)) <= 2)
+    docs = [(1, " ".join(words), "en", "a"), (2, near, "en", "b"), (3, "日本語の文" * 20, "ja", "c")]
+    by_words = packing.report(docs_of(docs)).collect()
+    assert {r.doc_id: r.n_tokens for r in by_words} == {1: 401, 2: 401, 3: 2}
+    bin_of = {r.doc_id: r.bin_id for r in by_words}
+    assert bin_of[1] != bin_of[2]
+    automaton = wordpiece_count.Automaton(vocabulary)
+    n = Counter()
+    for r in packing.report(docs_of(docs), pieces=vocabulary).collect():
+        n[r.doc_id] += r.n_tokens
+    assert n == {k: 1 + sum(automaton.count(wordpiece_count.START + w) for w in t.encode().split()) for k, t, *_ in docs}
+    assert n[3] > 50
+
+
 # ---------------------------------------------------------------- quality
 
 def test_outliers_of_a_group_go_and_its_bulk_stays(docs_of):

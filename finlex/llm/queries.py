@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from . import (
+    alignment,
     html_render,
     line_dedup,
     packing,
     pii_crf,
+    piece_table,
     robust_outliers,
+    shards,
     simhash_pigeonring,
     warc,
     wavelet,
@@ -154,3 +157,34 @@ WHERE (doc_id, s) <> (kept_doc_id, kept_start)
 @register("op10_line_dedup", OP10_SQL)
 def op10(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
+h AS (SELECT doc_id, t, n, ('0x' || substr(hx, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(hx, 9, 8))::BIGINT % (n + 1) AS c2,
+             ('0x' || substr(hx, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(hx, 25, 8))::BIGINT % 100 AS r4 FROM d),
+f AS (SELECT *, least(c1, c2) AS lo, greatest(c1, c2) AS hi,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain'
+                  WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@register("op11_piece_table", OP11_SQL)
+def op11(spark, sf_dir):
+    return piece_table.report(table(spark, sf_dir, "documents"))
+
+
+@register("op12_arrow_alignment")
+def op12(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@register("op13_external_shuffle")
+def op13(spark, sf_dir):
+    return shards.report(table(spark, sf_dir, "documents"))

@@ -1,4 +1,4 @@
 """Query plans: the registry of operator queries and their SQL oracles."""
 
-from . import q_bayes, q_end_to_end, q_explain, q_features, q_meta, q_misc, q_models, q_stream, q_text  # noqa: F401
+from . import q_bayes, q_end_to_end, q_explain, q_features, q_meta, q_misc, q_models, q_network, q_stream, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -102,8 +102,8 @@ def test_evidence_on_children_and_impossible_evidence(spark):
         joint[s] = joint.get(s, 0) + ps * pi * p
     total = sum(joint.values())
     assert all(abs(got[1, "sentiment"][s][0] - joint[s] / total) < 1e-12 for s in joint)
-    assert got[1, "market_direction"]["buy"] == [1.0] and all(abs(x[0] - 0.2) < 1e-12 for x in got[2, "sentiment"].values())
-    assert got[3, "document_type"]["report"] == [0.25, 0.25]  # no evidence, in both forms
+    assert got[1, "market_direction"]["buy"] == pytest.approx([1.0]) and all(abs(x[0] - 0.2) < 1e-12 for x in got[2, "sentiment"].values())
+    assert got[3, "document_type"]["report"] == pytest.approx([0.25, 0.25])  # no evidence, in both forms
 
 
 def test_bad_networks_are_refused(spark):

@@ -16,6 +16,7 @@ from ..functions import features as FE
 from ..functions import text as TX
 from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
+from ..operators import selection as SE
 from ..operators import vocab as VO
 from ..sources import fixtures as FX
 from ..sources import tables as S
@@ -134,6 +135,19 @@ def impact_pipeline(spark, sf, var_smoothing: float = 1e-9) -> ImpactPipeline:
     return ImpactPipeline(wide.select("doc_id", "label"), long, model, pred)
 
 
+def selected_impact_pipeline(spark, sf) -> tuple[ImpactPipeline, dict]:
+    """L15 wired into the model: grid search, then a fit on the best smoothing and its k best features."""
+    wide = impact_features_wide(spark, sf).checkpoint()
+    point = SE.best_point(SE.gaussian_grid(wide, IMPACT_FEATURES), "var_smoothing", "k")
+    train, _ = EV.train_validation_split(wide, VALIDATION, SEED)
+    long = NB.unpivot_features(train, IMPACT_FEATURES, keep=("doc_id", "label"))
+    scaled = NB.scale(long, NB.scaler_fit(long))
+    best = [r.feature for r in NB.select_k_best(NB.anova_f(scaled), point["k"]).collect()]  # at most k names
+    model = NB.gaussian_fit(long.filter(F.col("feature").isin(best)), train.select("doc_id", "label"), point["var_smoothing"])
+    pred = NB.gaussian_score_wide(model, wide)
+    return ImpactPipeline(wide.select("doc_id", "label"), NB.unpivot_features(wide, best, keep=("doc_id", "label")), model, pred), point
+
+
 # ---------------------------------------------------------------- scoring with loaded models
 
 def score_type(spark, sf, loaded) -> DataFrame:

@@ -109,6 +109,25 @@ def assemble(df: DataFrame, vector_col: str | None, numeric_cols: list[str], out
     return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error").transform(df)
 
 
+def union_rows(text_rows: DataFrame, wide: DataFrame, numeric: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """X6 in long form, the input of the text models: (doc_id, *keep, term, w) of text terms and numeric features.
+
+    ``text_rows``: (doc_id, *keep, term, w); ``wide``: one column a feature, aligned by name
+    (X7: a missing one is zero).  A feature's term is its name after ``#``, which no n-gram
+    holds; zeros are left out, as in a sparse row.
+    """
+    aligned = align_features(wide, numeric, ("doc_id", *keep))
+    rows = aligned.unpivot(["doc_id", *keep], numeric, "term", "w").filter(F.col("w") != 0)
+    return text_rows.select("doc_id", *keep, "term", F.col("w").cast("double").alias("w")).unionByName(
+        rows.select("doc_id", *keep, F.concat(F.lit("#"), "term").alias("term"), "w"))
+
+
+def union_vocabulary(vocab: DataFrame, numeric: list[str]) -> DataFrame:
+    """The vocabulary's terms and the numeric features', ``(term)``."""
+    names = vocab.sparkSession.createDataFrame([(f"#{n}",) for n in numeric], "term STRING")
+    return vocab.select("term").unionByName(names)
+
+
 def sparse_vectors(grams: DataFrame, vocab: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_vector)`` as sparse vectors of counts, or of L2-normalised TF-IDF with ``idf``.
 

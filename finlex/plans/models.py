@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as FE
+from ..functions import terms as T
 from ..functions import text as TX
 from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
@@ -148,6 +149,43 @@ def selected_impact_pipeline(spark, sf) -> tuple[ImpactPipeline, dict]:
     return ImpactPipeline(wide.select("doc_id", "label"), NB.unpivot_features(wide, best, keep=("doc_id", "label")), model, pred), point
 
 
+# ---------------------------------------------------------------- X6 models over text and numeric features
+
+# numeric features beside the text terms
+TYPE_NUMERIC = [f"count_{name}" for name in T.TYPE_INDICATORS]
+SENTIMENT_NUMERIC = [f"{c}_terms_{k}" for c in T.DEFAULT_LEXICON for k in ("count", "density")] + [
+    "negation_count", "intensifier_count", "diminisher_count"]
+
+
+def _union_input(spark, sf, kind: str, cfg: VO.VocabConfig, label: str):
+    """Labels, the vocabulary's term rows and the text features of ``ann``."""
+    a = FX.ann(spark, sf).select("doc_id", F.col(label).alias("label"), "text")
+    b = a.select("doc_id", "label", TX.normalize_variant("text", "type").alias("tt"), TX.normalize_variant("text", "sentiment").alias("st"))
+    terms, vocab, _ = vocabulary_terms(b, {"type": "tt", "sentiment": "st"}[kind], cfg)
+    wide = FE.with_scanned_text_features(b, "tt", "st", keep=("doc_id", "label"))
+    return a.select("doc_id", "label"), terms, vocab, wide
+
+
+def type_union_model(spark, sf) -> tuple[NB.BernoulliModel, DataFrame, DataFrame]:
+    """Bernoulli NB over binary terms and numeric features (present above zero): (model, rows of all documents, docs)."""
+    docs, terms, vocab, wide = _union_input(spark, sf, "type", VO.TYPE_VOCAB, "type_label")
+    rows = VO.union_rows(terms.withColumn("w", F.lit(1.0)), wide, TYPE_NUMERIC, ("label",)).filter("w > 0").checkpoint()
+    train_docs, _ = EV.train_validation_split(docs, VALIDATION, SEED)
+    train_rows, _ = EV.train_validation_split(rows, VALIDATION, SEED)
+    return NB.bernoulli_fit(train_rows, train_docs, VO.union_vocabulary(vocab, TYPE_NUMERIC)), rows, docs
+
+
+def sentiment_union_model(spark, sf) -> tuple[NB.ComplementModel, DataFrame, DataFrame]:
+    """Complement NB over TF-IDF terms and numeric features: (model, rows of all documents, docs)."""
+    docs, terms, vocab, wide = _union_input(spark, sf, "sentiment", VO.SENTIMENT_VOCAB, "sentiment_label")
+    train_docs, _ = EV.train_validation_split(docs, VALIDATION, SEED)
+    train_terms, _ = EV.train_validation_split(terms, VALIDATION, SEED)
+    idf = VO.idf_table(train_terms, train_docs.agg(F.count(F.lit(1))).first()[0], vocab)
+    rows = VO.union_rows(VO.tfidf(terms, idf, keep=("label",)), wide, SENTIMENT_NUMERIC, ("label",)).checkpoint()
+    train_rows, _ = EV.train_validation_split(rows, VALIDATION, SEED)
+    return NB.complement_fit(train_rows, train_docs, VO.union_vocabulary(vocab, SENTIMENT_NUMERIC)), rows, docs
+
+
 # ---------------------------------------------------------------- scoring with loaded models
 
 def score_type(spark, sf, loaded) -> DataFrame:

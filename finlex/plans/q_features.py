@@ -15,7 +15,7 @@ from ..functions import terms as T
 from ..functions import text as TX
 from ..sources import fixtures as FX
 from ..sources import tables as S
-from .registry import (q, register, sql_contains_any, sql_count_terms, sql_distinct_present,
+from .registry import (ORACLES, q, register, sql_contains_any, sql_count_terms, sql_distinct_present,
                        sql_norm_variant, sql_regexp_count, sql_safe_div, sql_ws_words)
 
 R = 6
@@ -331,14 +331,20 @@ def f21_f22(spark, sf):
     return _round_doubles(f.select("doc_id", *keep))
 
 
-@register("F23_composed_features")
+_F23_GROUPS = ["F4_F6_type_indicators", "F10_lexicon_density", "F11_modifier_counts", "F12_negation_patterns", "F13_tense", "F14_F17_numeric",
+               "F18_F19_impact_terms", "F20_time_horizon", "F21_F22_composite"]
+# every group's own oracle, joined by document
+_F23_SQL = "SELECT * FROM " + " JOIN ".join(f"({ORACLES[g]}) g{i}" + (" USING (doc_id)" if i else "") for i, g in enumerate(_F23_GROUPS))
+
+
+@register("F23_composed_features", _F23_SQL)
 def f23_composed(spark, sf):
-    """All feature groups composed by name; a failing group is skipped (rows-only check)."""
+    """All feature groups composed by name."""
     b = ann_texts(spark, sf)
     text_feats = FE.with_scanned_text_features(b.select("doc_id", "tt", "st", "it"), "tt", "st",
                                                keep=("doc_id", "it"))
     keep = tuple(c for c in text_feats.columns if c != "it")
-    return FE.with_impact_features(text_feats, "it", keep=keep)
+    return _round_doubles(FE.with_impact_features(text_feats, "it", keep=keep))
 
 
 @register("F24_numeric_projection", BASE_SQL + """

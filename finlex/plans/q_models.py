@@ -10,7 +10,7 @@ from ..operators import vocab as VO
 from ..sources import fixtures as FX
 from . import models as M
 from .q_features import BASE_SQL, IMPACT_CTE, NUM_CTE
-from .registry import register, sql_norm_variant
+from .registry import ORACLES, register, sql_norm_variant
 
 R = 6
 BUCKET = "((((doc_id % 1000003) * 7919 + 42) % 1000003) % 100)"
@@ -405,3 +405,53 @@ SELECT class, round(CASE WHEN npos > 0 AND n - npos > 0 THEN (rs - npos * (npos
   AS auc FROM s""")
 def l24_auc(spark, sf):
     return _r(EV.one_vs_rest_auc(_impact_probs_long(spark, sf)))
+
+
+# ---------------------------------------------------------------- X6 models over text and numeric features
+
+def _numeric_rows_sql(oracle: str, names: list[str]) -> str:
+    cols = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+    return f"""nw AS (SELECT doc_id, {cols} FROM ({oracle})),
+nr AS (SELECT n.doc_id, d.label, '#' || name AS term, x AS w FROM (UNPIVOT nw ON {", ".join(names)} INTO NAME name VALUE x) n JOIN d ON d.doc_id = n.doc_id WHERE x <> 0),
+uv AS (SELECT term FROM vocab UNION ALL SELECT unnest([{", ".join(f"'#{n}'" for n in names)}]))"""
+
+
+_UNION_TYPE_SQL = (FX.ctes("ann") + "," + _terms_sql("ann", sql_norm_variant("text", "type"), "type_label", 2, 2, 1000) + ",\n"
+                   + _numeric_rows_sql(ORACLES["F4_F6_type_indicators"], M.TYPE_NUMERIC) + """,
+udt AS (SELECT doc_id, label, term FROM dt JOIN vocab USING (term) UNION ALL SELECT doc_id, label, term FROM nr),
+utr AS (SELECT * FROM udt WHERE """ + BUCKET + " >= 20)" + _BERNOULLI_SQL.replace("FROM tr JOIN vocab USING (term)", "FROM utr")
+                   .replace("FROM vocab v", "FROM uv v").replace("FROM dt JOIN theta", "FROM udt dt JOIN theta"))
+_UNION_SENT_SQL = SENT_CTE.replace("fcs AS (", _numeric_rows_sql(
+    f"SELECT * FROM ({ORACLES['F10_lexicon_density']}) JOIN ({ORACLES['F11_modifier_counts']}) USING (doc_id)", M.SENTIMENT_NUMERIC) + """,
+utf AS (SELECT doc_id, label, term, w FROM tf UNION ALL SELECT doc_id, label, term, w FROM nr),
+fcs AS (""", 1).replace("FROM tf WHERE doc_id IN", "FROM utf WHERE doc_id IN").replace(
+    "AS fc FROM vocab v CROSS JOIN cls", "AS fc FROM uv v CROSS JOIN cls").replace("AS v FROM tf JOIN cw", "AS v FROM utf tf JOIN cw")
+
+
+def _stored(spark, tables: dict, meta: dict) -> dict:
+    """Model tables written and read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import model_store as MS
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    MS.save_model(spark, path, tables, meta)
+    return MS.load_model(spark, path, list(tables))[0]
+
+
+@register("X6_union_type_scores", _UNION_TYPE_SQL + f"SELECT doc_id, predicted_class, round(confidence, {R}) AS confidence FROM pred")
+def x6_union_type(spark, sf):
+    """Document type from terms and indicator counts, scored with the model read back from its tables."""
+    model, rows, docs = M.type_union_model(spark, sf)
+    t = _stored(spark, {"prior": model.prior, "theta": model.theta}, {"model": "bernoulli", "classes": model.classes})
+    pred = NB.bernoulli_score(NB.BernoulliModel(model.classes, t["prior"], t["theta"]), rows, docs.select("doc_id"))
+    return _r(pred.select("doc_id", "predicted_class", "confidence"))
+
+
+@register("X6_union_sentiment_scores", _UNION_SENT_SQL + f"SELECT doc_id, predicted_class, round(confidence, {R}) AS confidence FROM pred")
+def x6_union_sentiment(spark, sf):
+    """Sentiment from TF-IDF terms and lexicon and modifier features, scored with the model read back from its tables."""
+    model, rows, docs = M.sentiment_union_model(spark, sf)
+    t = _stored(spark, {"weights": model.weights}, {"model": "complement", "classes": model.classes})
+    pred = NB.complement_score(NB.ComplementModel(model.classes, t["weights"]), rows, docs.select("doc_id"))
+    return _r(pred.select("doc_id", "predicted_class", "confidence"))

@@ -123,24 +123,33 @@ def threshold_sweep(probs_long: DataFrame, thresholds: list[float] = THRESHOLDS)
         F.col("f1").alias("best_f1"))
 
 
-def one_vs_rest_auc(probs_long: DataFrame, buckets: int = 1024) -> DataFrame:
-    """ROC AUC per class by the rank-sum formula (ties get average ranks).
+def ranges_of_values(probs_long: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(class, prob, c, cp, part): distinct probabilities with their rows and positives, in balanced ranges.
 
-    Exact ranks without one window per class: distinct probability values are
-    split into ``buckets`` ranges; bucket offsets come from a window over the
-    (class, bucket) totals (<= ``buckets`` rows per class), ranks inside a bucket
-    from a window keyed by (class, bucket), so a dominant class spreads over
-    many tasks.
+    Equal probabilities are one row, so a value that half the rows hold is no hot key; the
+    range boundaries come from Spark's sample of the distinct values, so they follow the data
+    where values crowd.  Written once: the part numbers must not change between reads.
     """
     x = probs_long.select("class", "prob", (F.col("true_class") == F.col("class")).cast("long").alias("pos"))
-    v = x.groupBy("class", "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("cp")) \
-        .withColumn("bucket", F.least(F.floor(F.col("prob") * buckets), F.lit(buckets - 1)).cast("int"))
-    tot = v.groupBy("class", "bucket").agg(F.sum("c").alias("bc"))
+    v = x.groupBy("class", "prob").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("cp"))
+    v = v.repartitionByRange(partitions, "class", "prob") if partitions else v.repartitionByRange("class", "prob")
+    return v.withColumn("part", F.spark_partition_id()).checkpoint()
+
+
+def one_vs_rest_auc(probs_long: DataFrame, partitions: int | None = None) -> DataFrame:
+    """ROC AUC per class by the rank-sum formula (ties get average ranks).
+
+    Exact ranks without one window per class: a value's rank is the rows in the ranges
+    before its own (a running sum over one row a class and range) plus those before it in
+    its range (a window keyed by class and range).
+    """
+    v = ranges_of_values(probs_long, partitions)
+    tot = v.groupBy("class", "part").agg(F.sum("c").alias("bc"))
     tot = tot.withColumn("offset", F.coalesce(F.sum("bc").over(
-        Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("class", "bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("class", "part").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
     v = v.withColumn("within", F.coalesce(F.sum("c").over(w), F.lit(0))) \
-        .join(tot.select("class", "bucket", "offset"), ["class", "bucket"])
+        .join(tot.select("class", "part", "offset"), ["class", "part"])
     v = v.withColumn("avg_rank", F.col("offset") + F.col("within") + (F.col("c") + 1) / 2.0)
     s = v.groupBy("class").agg(F.sum(F.col("avg_rank") * F.col("cp")).alias("rs"),
                                F.sum("cp").alias("npos"), F.sum("c").alias("n"))

@@ -43,6 +43,58 @@ def error_counts(errors: DataFrame, code_col: str = "error_code") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def nested_contract_report(df: DataFrame, contract: dict) -> DataFrame:
+    """V10 with nesting: (path, check, violations) over struct, map and array columns, in one aggregate pass.
+
+    ``contract = {field: spec}``; a spec may have ``type``, ``required``, ``allowed``,
+    ``properties`` (of a struct or map: a contract again) and ``items`` (of an array: a spec).
+    Paths read ``a.b`` and ``a[]``.  Within a missing parent nothing is checked.  ``type`` is
+    the declared type's name, or for values of a map of strings a type they must cast to.
+    """
+    from pyspark.sql import types as T
+    aggs: list[tuple[str, str, Column]] = []
+
+    def count(values: Column, bad) -> Column:
+        return F.sum(F.size(F.filter(values, bad)))
+
+    def spec_checks(path: str, values: Column, kind: T.DataType | None, spec: dict, text: bool) -> None:
+        # ``values``: what stands at the path in a row, as an array
+        if kind is None:
+            aggs.append((path, "present", F.lit(1)))
+            return
+        if "type" in spec:
+            aggs.append((path, "type", count(values, lambda x: x.isNotNull() & x.try_cast(spec["type"]).isNull()) if text and spec["type"] != "string"
+                         else F.lit(0 if kind.simpleString() == spec["type"] else 1)))
+        if spec.get("required"):
+            aggs.append((path, "required", count(values, lambda x: x.isNull())))
+        if "allowed" in spec:
+            aggs.append((path, "allowed", count(values, lambda x: x.isNotNull() & ~x.isin(*spec["allowed"]))))
+        known = F.filter(values, lambda x: x.isNotNull())
+        for name, below in spec.get("properties", {}).items():
+            if isinstance(kind, T.StructType):
+                child = kind[name].dataType if name in kind.names else None
+            else:
+                child = kind.valueType if isinstance(kind, T.MapType) else None
+            got = known if child is None else F.transform(known, _at(name))
+            spec_checks(f"{path}.{name}", got, child, below, isinstance(kind, T.MapType) and isinstance(child, T.StringType))
+        if "items" in spec:
+            child = kind.elementType if isinstance(kind, T.ArrayType) else None
+            spec_checks(f"{path}[]", F.flatten(known) if child is not None else known, child, spec["items"], False)
+
+    for name, spec in contract.items():
+        kind = df.schema[name].dataType if name in df.columns else None
+        spec_checks(name, F.array(F.col(f"`{name}`")) if kind is not None else F.array(), kind, spec, False)
+    if not aggs:
+        return df.sparkSession.createDataFrame([], "path STRING, check STRING, violations BIGINT")
+    row = df.agg(*[a.alias(f"v{i}") for i, (_, _, a) in enumerate(aggs)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("check"), F.coalesce(
+        F.col(f"v{i}").cast("bigint"), F.lit(0)).alias("violations")) for i, (p, c, _) in enumerate(aggs)])))
+
+
+def _at(name: str):
+    return lambda x: x[name]
+
+
 def contract_report(df: DataFrame, contract: dict) -> DataFrame:
     """Dataset contract in one aggregate pass.
 

@@ -204,27 +204,35 @@ WITH edges AS (
 """
 
 
+SALTS = 16
+
+
 def ancestor_closure(edges):
-    """(node, ancestor, depth), each pair at its least depth, by level-wise joins.
+    """(node, ancestor, depth), each pair at its least depth, by doubling paths.
 
-    Each level joins the pairs new in the last one with the edge table and keeps those not
-    seen before, so the loop ends at a fixpoint for any graph.  A node that turns up as its
-    own ancestor is a cycle and raises.
+    With all pairs up to depth n known, a pair at depth n < d <= 2n is one at depth exactly n
+    continued by one of at most n, so rounds are the logarithm of the greatest depth and a
+    round joins each frontier row once.  A node with many descendants is no hot key: the join
+    key carries a salt of the descendant, and the far fewer ancestors of the middle node are
+    repeated for every salt.  A node that turns up as its own ancestor is a cycle and raises.
     """
-    step = edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("next")).distinct()
-    frontier = edges.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct() \
-        .withColumn("depth", F.lit(1)).checkpoint()
-    out, depth = frontier, 1
-    while not frontier.isEmpty():
-        loop = frontier.filter(F.col("node") == F.col("ancestor")).first()
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    known = edges.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct().withColumn("depth", F.lit(1)).checkpoint()
+    frontier, n = known, 1
+    while True:
+        loop = known.filter((F.col("node") == F.col("ancestor")) & (F.col("depth") > n // 2)).first()
         if loop is not None:
             raise ValueError(f"the edge table has a cycle through {loop['node']}")
-        depth += 1
-        frontier = frontier.join(step, "ancestor").select("node", F.col("next").alias("ancestor")).distinct() \
-            .join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti") \
-            .withColumn("depth", F.lit(depth)).checkpoint()
-        out = out.unionByName(frontier)
-    return out
+        if frontier.isEmpty():
+            return known
+        onward = known.select(F.col("node").alias("middle"), F.col("ancestor").alias("next"), F.col("depth").alias("further"),
+                              F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        longer = (frontier.select("node", F.col("ancestor").alias("middle"), salt.alias("salt")).join(onward, ["middle", "salt"])
+                  .groupBy("node", F.col("next").alias("ancestor")).agg((F.min("further") + n).alias("depth"))
+                  .join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        known = known.unionByName(longer).checkpoint()
+        n *= 2
+        frontier = known.filter(F.col("depth") == n)
 
 
 @register("A8_ancestors", EDGES_SQL + """

@@ -158,6 +158,44 @@ def v10_contract(spark, sf):
     return QY.contract_report(o, ORDER_CONTRACT)
 
 
+NESTED_CONTRACT = {
+    "payload": {"required": True, "properties": {
+        "type": {"type": "string", "required": True, "allowed": ["click", "view", "signup", "purchase"]},
+        "value": {"type": "double", "required": True}, "unit": {"required": True}}},
+    "props": {"properties": {"k": {"type": "int", "required": True}, "source": {"required": True}}},
+    "tags": {"items": {"type": "string", "required": True, "allowed": ["seen", "click", "view", "signup", "purchase", "error"]}},
+}
+
+
+@register("V10_nested_contract", """
+WITH e AS (SELECT event_id % 7 <> 0 AS has_payload, event_type, CASE WHEN event_id % 11 <> 0 THEN value END AS v,
+  CASE WHEN event_id % 13 = 0 THEN 'x' ELSE '' END || json_extract_string(props, '$.k') AS k, event_id % 5 = 0 AS no_tag FROM events),
+c(path, "check", violations) AS (
+  SELECT 'payload', 'required', count_if(NOT has_payload) FROM e
+  UNION ALL SELECT 'payload.type', 'type', 0
+  UNION ALL SELECT 'payload.type', 'required', count_if(has_payload AND event_type IS NULL) FROM e
+  UNION ALL SELECT 'payload.type', 'allowed', count_if(has_payload AND event_type NOT IN ('click', 'view', 'signup', 'purchase')) FROM e
+  UNION ALL SELECT 'payload.value', 'type', 0
+  UNION ALL SELECT 'payload.value', 'required', count_if(has_payload AND v IS NULL) FROM e
+  UNION ALL SELECT 'payload.unit', 'present', 1
+  UNION ALL SELECT 'props.k', 'type', count_if(TRY_CAST(k AS INTEGER) IS NULL) FROM e
+  UNION ALL SELECT 'props.k', 'required', count_if(k IS NULL) FROM e
+  UNION ALL SELECT 'props.source', 'required', count(*) FROM e
+  UNION ALL SELECT 'tags[]', 'type', 0
+  UNION ALL SELECT 'tags[]', 'required', count_if(no_tag) FROM e
+  UNION ALL SELECT 'tags[]', 'allowed', count_if(event_type NOT IN ('click', 'view', 'signup', 'purchase', 'error')) FROM e)
+SELECT path, "check", CAST(violations AS BIGINT) AS violations FROM c""")
+def v10_nested(spark, sf):
+    """Contract of nested events: a struct that may be missing, a map of properties, and an array of tags."""
+    e = S.table(spark, sf, "events", "event_id", "event_type", "value", "props")
+    k = F.col("event_id")
+    nested = e.select(
+        F.when(k % 7 != 0, F.struct(F.col("event_type").alias("type"), F.when(k % 11 != 0, F.col("value")).alias("value"))).alias("payload"),
+        F.transform_values(F.from_json("props", "map<string,string>"), lambda _, v: F.concat(F.when(k % 13 == 0, "x").otherwise(""), v)).alias("props"),
+        F.array("event_type", F.when(k % 5 != 0, "seen")).alias("tags"))
+    return QY.nested_contract_report(nested, NESTED_CONTRACT)
+
+
 @register("V11_error_taxonomy", """
 SELECT 'TEXT_TOO_SHORT' AS error_code, 'warning' AS severity, 'validator' AS component,
   CAST(count(*) AS BIGINT) AS n FROM documents WHERE length(text) < 300

@@ -125,3 +125,26 @@ def test_a_configuration_without_rows_is_uniform(spark):
     assert all(abs(got[s] - 1 / 3) < 1e-12 for s in "uvw")
     got = {r.state: r.p for r in X.infer(X.Network(nodes, edges, cpt), spark.createDataFrame([(1, {})], "k INT, observed MAP<STRING, STRING>")).collect()}
     assert abs(got["x"] - 0.75) < 1e-12 and abs(got["u"] - (0.75 + 0.25 / 3)) < 1e-12
+
+
+def test_a_long_chain_closes_in_few_rounds(spark, monkeypatch):
+    from finlex.plans.q_bayes import ancestor_closure
+    rounds, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: rounds.append(1) or real(self, *a, **k))
+    chain = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)], "src STRING, dst STRING")
+    got = ancestor_closure(chain)
+    assert got.count() == 300 * 301 // 2 and got.filter("depth <> int(substr(ancestor, 2)) - int(substr(node, 2))").count() == 0
+    assert len(rounds) <= 11
+
+
+def test_least_depth_and_cycles_of_the_closure(spark):
+    from finlex.plans.q_bayes import ancestor_closure
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e")], "src STRING, dst STRING")
+    got = {(r.node, r.ancestor): r.depth for r in ancestor_closure(edges).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 1, ("a", "e"): 2, ("b", "c"): 1, ("b", "d"): 2, ("b", "e"): 3,
+                   ("c", "d"): 1, ("c", "e"): 2, ("d", "e"): 1}
+    for n in (1, 2, 5, 16):
+        ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [("x", "r0")], "src STRING, dst STRING")
+        with pytest.raises(ValueError, match="cycle"):
+            ancestor_closure(ring)

@@ -66,3 +66,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_nested_contract_counts_within_present_parents(spark):
+    from finlex.operators import quality as QY
+    df = spark.createDataFrame([((1, [("a", 1), ("b", None)]), {"k": "1"}), ((None, None), {"k": "x"}), (None, None), ((2, []), {})],
+                               "s STRUCT<n: INT, l: ARRAY<STRUCT<t: STRING, v: INT>>>, m MAP<STRING, STRING>")
+    contract = {"s": {"required": True, "properties": {"n": {"type": "int", "required": True, "allowed": [1]}, "l": {
+        "items": {"properties": {"v": {"required": True}, "t": {"allowed": ["a"]}}}}, "gone": {}}},
+        "m": {"properties": {"k": {"type": "int", "required": True}}}, "none": {"required": True}}
+    got = {(r.path, r.check): r.violations for r in QY.nested_contract_report(df, contract).collect()}
+    assert got == {("s", "required"): 1, ("s.n", "type"): 0, ("s.n", "required"): 1, ("s.n", "allowed"): 1, ("s.l[].v", "required"): 1,
+                   ("s.l[].t", "allowed"): 1, ("s.gone", "present"): 1, ("m.k", "type"): 1, ("m.k", "required"): 1, ("none", "present"): 1}
+    assert QY.nested_contract_report(df.limit(0), contract).filter("check <> 'present' and violations > 0").count() == 0
+    assert QY.nested_contract_report(df, {}).count() == 0

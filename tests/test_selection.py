@@ -126,3 +126,18 @@ def test_f1_from_counts(spark):
     c = spark.createDataFrame([("g", "a", "a", 3), ("g", "a", "b", 1), ("g", "b", "c", 2)], "k STRING, t STRING, p STRING, c LONG")
     r = SE.weighted_f1(c, ["k"]).first()
     assert r.accuracy == 0.5 and r.f1 == pytest.approx(2 * 3 / (4 + 3) * 4 / 6)
+
+
+def test_auc_ranges_stay_even_where_probabilities_crowd(spark):
+    rng = np.random.default_rng(2)
+    p = np.where(rng.random(40_000) < 0.5, np.round(rng.random(40_000)), rng.beta(0.05, 0.05, 40_000))  # half at 0 or 1, the rest next to them
+    y = rng.random(40_000) < 0.2 + 0.6 * p
+    long = spark.createDataFrame([("u", float(a), "u" if t else "v") for a, t in zip(p, y)], "class STRING, prob DOUBLE, true_class STRING")
+    sizes = [r["count"] for r in EV.ranges_of_values(long, 16).groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    order = np.argsort(p, kind="stable")
+    ranks = np.empty(len(p))
+    values, start, counts = np.unique(p[order], return_index=True, return_counts=True)
+    ranks[order] = np.repeat(start + (counts + 1) / 2, counts)
+    want = (ranks[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    assert EV.one_vs_rest_auc(long, 16).first().auc == pytest.approx(want, abs=1e-12)

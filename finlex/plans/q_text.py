@@ -229,9 +229,11 @@ FROM (SELECT doc_id, n, {WORDS_SQL.format(n='n')} AS w, {SENT_SQL.format(t='text
       FROM (SELECT doc_id, text, {sql_norm('text')} AS n FROM documents))""")
 def t9_derived(spark, sf):
     d = S.table(spark, sf, "documents", "doc_id", "text")
-    n = TX.normalize("text")
-    m = TX.derived_metadata(n, TX.words(n), TX.sentences("text"))
-    return d.select("doc_id", m["text_length"].alias("text_length"), m["word_count"].alias("word_count"),
+    # staged, so that each text is normalised and split once
+    n = d.select("doc_id", "text", TX.normalize("text").alias("n"))
+    w = n.select("doc_id", "n", TX.words("n").alias("w"), TX.sentences("text").alias("s"))
+    m = TX.derived_metadata("n", "w", "s")
+    return w.select("doc_id", m["text_length"].alias("text_length"), m["word_count"].alias("word_count"),
                     m["sentence_count"].alias("sentence_count"),
                     F.round(m["complexity_score"], 6).alias("complexity_score"),
                     m["complexity_level"].alias("complexity_level"))

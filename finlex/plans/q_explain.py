@@ -119,9 +119,7 @@ def e5_summary(spark, sf):
 
 def _impact_base(spark, sf):
     a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "impact").alias("it"))
-    f = FE.impact_features("it")
-    x = a.select("doc_id", *[f[k].alias(k) for k in ("percentage_count", "high_impact_count",
-                                                      "predominant_timeframe")])
+    x = FE.with_impact_features(a, "it").select("doc_id", "percentage_count", "high_impact_count", "predominant_timeframe")
     return x.join(_pred(spark, sf, "impact_modeler"), "doc_id")
 
 

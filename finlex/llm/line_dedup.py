@@ -1,25 +1,28 @@
 """Exact substring deduplication by hashing lines and passages (operator 10).
 
-Units of at least ``min_words`` words: every line (or paragraph, between empty lines), and
-passages, because a repeated passage may stand inside longer lines.  A passage begins after
-a boundary and ends at the first boundary with ``min_words`` words between; boundaries lie
-at line ends, after words that end in ``.``, ``!`` or ``?``, and after words whose MD5
-begins with 0 or 1, so they depend on the text alone and fall alike in every copy.
+Units are of two kinds.  Every line (or paragraph, between empty lines) of at least
+``line_words`` words is one.  Because a repeated passage may stand inside longer lines,
+passages are units too: of every ``window`` consecutive words the one with the smallest
+hash (MD5, the first of equal ones) begins a unit of ``passage_words - window + 1`` words.
+Where a unit begins depends on the ``window`` words around it alone, so two texts that
+share ``passage_words`` words in a row share a unit that lies wholly within them, wherever
+they stand; of a shared run at most ``window - 1`` words at each end lie outside its units.
 
 A unit's normal form has A-Z lower-cased and single spaces between words.  Digests are
 grouped over all documents: the earliest occurrence, by document id, then position, stays,
-all others go.  Offsets are code points of the original text from the unit's first word to
-its last, end exclusive; removed units of a document may overlap.
+all others go, except those that overlap the one that stays in its own text.  Offsets are
+code points of the original text from the unit's first word to its last, end exclusive;
+removed units of a document may overlap.
 
 Counting the copies of a digest is a map-side combined aggregation; occurrences meet their
 group's first by ``join_lookup``, so a line that a third of all documents share is joined
 without a shuffle.  Only digests that occur twice take part.
 
-Defined cases: a null or empty text has no units; units below ``min_words`` words are never
-removed; repeated rows of one document id are copies of each other, the one whose text
-hash is smaller stays (equal texts: units of the first by position keep, those of a whole
-repeated row cannot be told apart and stay with it); a null id ranks last; an empty table
-gives an empty result; other columns are not read.
+Defined cases: a null or empty text has no units; shorter lines outside repeated passages
+are never removed; repeated rows of one document id are copies of each other, the one whose
+text hash is smaller stays (equal texts: units of the first by position keep, those of a
+whole repeated row cannot be told apart and stay with it); a null id ranks last; an empty
+table gives an empty result; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,58 +38,65 @@ from pyspark.sql import functions as F
 
 from .common import join_lookup, map_arrow, materialize, prepare, texts
 
-MIN_WORDS = 20
-CUT_BELOW = 32  # of 256: a word in eight is a boundary
+LINE_WORDS = 5
+PASSAGE_WORDS = 50
+WINDOW = 15
 CACHE_WORDS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-_cuts: dict[bytes, bool] = {}
+class _Hashes(dict):
+    """Word to hash, computed once a word."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(hashlib.md5(word).digest()[:8], "big")
+        return h
 
-def _is_boundary(word: bytes) -> bool:
-    cut = _cuts.get(word)
-    if cut is None:
-        if len(_cuts) >= CACHE_WORDS:
-            _cuts.clear()
-        cut = _cuts[word] = word[-1] in b".!?" or hashlib.md5(word).digest()[0] < CUT_BELOW
-    return cut
 
+_hashes = _Hashes()
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+
+def passage_starts(words: list[bytes], size: int, window: int = WINDOW) -> list[int]:
+    """Numbers of the words that begin a passage of ``size`` words."""
+    if len(words) < max(size, window):
+        return []
+    if len(_hashes) >= CACHE_WORDS:
+        _hashes.clear()
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+    starts = np.unique(least + np.arange(len(least)))
+    return starts[starts <= len(words) - size].tolist()
+
+
+def units(text: str, unit: str = "line", line_words: int = LINE_WORDS, passage_words: int = PASSAGE_WORDS,
+          window: int = WINDOW) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a text."""
     words = text.encode("utf-8", "replace").lower().split()
-    if len(words) < min_words:
+    size = passage_words - window + 1
+    if len(words) < min(line_words, size):
         return []
     at = [m.span() for m in _WORD.finditer(text)]
-    digest = xxhash.xxh3_128_digest
     # word numbers at which lines (or paragraphs) begin, and the last one's end
     gap = re.compile(r"\n" if unit == "line" else r"\n[ \t-\r]*\n")
     breaks = [i for i in range(1, len(at)) if at[i][0] - at[i - 1][1] > 1 or text[at[i - 1][1]] == "\n"]
     breaks = [i for i in breaks if gap.search(text, at[i - 1][1], at[i][0])]
     lines = [0, *breaks, len(words)]
-    spans = {(a, b) for a, b in zip(lines, lines[1:]) if b - a >= min_words}
-    line_ends = set(breaks)
-    ends = [i for i, w in enumerate(words, 1) if _is_boundary(w) or i in line_ends]
-    if not ends or ends[-1] != len(words):
-        ends.append(len(words))
-    k = 0
-    for a in [0, *ends[:-1]]:
-        while k < len(ends) and ends[k] - a < min_words:
-            k += 1
-        if k == len(ends):
-            break
-        spans.add((a, ends[k]))
-    return [(at[a][0], at[b - 1][1], digest(b" ".join(words[a:b]))) for a, b in sorted(spans)]
-
-
-def occurrences(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    spans = {(a, b) for a, b in zip(lines, lines[1:]) if b - a >= max(line_words, 1)}
+    spans.update((a, a + size) for a in passage_starts(words, size, window))
+    # a unit's normal form is a slice of the words joined by spaces
+    flat = b" ".join(words)
+    begins = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+    digest = xxhash.xxh3_128_digest
+    return [(at[a][0], at[b - 1][1], digest(flat[begins[a]:begins[b] - 1])) for a, b in sorted(spans)]
+
+
+def occurrences(docs: DataFrame, unit: str = "line", **sizes: int) -> DataFrame:
     """(doc_id, mark, start, end, digest): one row per unit."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         doc, mark, start, end, digest = [], [], [], [], []
         for k, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-            found = units(text, unit, min_words)
+            found = units(text, unit, **sizes)
             m = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) if found else 0
             for s, e, d in found:
                 doc.append(k)
@@ -101,29 +112,31 @@ def occurrences(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
                      "doc_id long, mark long, start long, end long, digest binary")
 
 
-def removed(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def removed(docs: DataFrame, unit: str = "line", **sizes: int) -> DataFrame:
     """(doc_id, start, end, kept_doc_id, kept_start): one row per unit to remove, with the one that stays."""
     prepare(docs.sparkSession)
-    found = materialize(occurrences(docs, unit, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark", "start")
+    found = materialize(occurrences(docs, unit, **sizes), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark", "start", "end")
     first = materialize(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
                         .filter("n > 1"), "first")
     twice = join_lookup(found, first, "digest", "n", found.count())
     stays = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-             & (F.col("start") == F.col("first.start")))
+             & (F.col("start") < F.col("first.end")))
     return twice.filter(~stays).select("doc_id", "mark", "start", "end", F.col("first.doc_id").alias("kept_doc_id"),
                                        F.col("first.start").alias("kept_start"))
 
 
-def cleaned(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, unit: str = "line", **sizes: int) -> DataFrame:
     """``docs`` without the removed units, and without the lines that leaves empty."""
     columns = docs.columns
-    gone = (removed(docs, unit, min_words).groupBy("doc_id", "mark")
+    names = [f"__c{i}" for i in range(len(columns))]  # the work columns cannot clash
+    gone = (removed(docs, unit, **sizes).groupBy("doc_id", "mark")
             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
             .select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__of"), "__gone"))
-    marked = _marked(docs)
-    joined = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__doc"]) & (marked["__mark"] == gone["__of"]), "left")
     at = columns.index("text")
+    marked = _marked(docs.toDF(*names), at)
+    key = names[columns.index("doc_id")]
+    joined = marked.join(gone, marked[key].eqNullSafe(gone["__doc"]) & (marked["__mark"] == gone["__of"]), "left")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -135,7 +148,7 @@ def cleaned(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
         arrays[at] = pa.array(out, arrays[at].type)
         return pa.RecordBatch.from_arrays(arrays, columns)
 
-    return map_arrow(joined.select(*columns, "__gone"), batch, docs.schema)
+    return map_arrow(joined.select(*names, "__gone"), batch, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -150,9 +163,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[pos:]])
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, at: int) -> DataFrame:
+    """``docs`` with ``__mark``, the hash of the text in column ``at``."""
     from pyspark.sql.types import LongType, StructField, StructType
-    at = docs.columns.index("text")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         mark = [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t in texts(b.column(at))]
@@ -161,5 +174,5 @@ def _marked(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, batch, StructType([*docs.schema.fields, StructField("__mark", LongType())]))
 
 
-def report(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    return removed(docs, unit, min_words).drop("mark")
+def report(docs: DataFrame, unit: str = "line", **sizes: int) -> DataFrame:
+    return removed(docs, unit, **sizes).drop("mark")

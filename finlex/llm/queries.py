@@ -139,18 +139,18 @@ x AS (SELECT doc_id, i, regexp_extract(tok, '[^\x20\x09-\x0D]+$') AS raw,
              CASE WHEN i = 1 THEN 0 ELSE contains(tok, chr(10))::INT END AS brk,
              sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM w),
 y AS (SELECT doc_id, i, e, e - length(raw) AS s, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lw,
-             sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS line, lead(brk) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM x),
-z AS (SELECT *, nxt IS NULL OR nxt = 1 OR right(lw, 1) IN ('.', '!', '?') OR substr(md5(lw), 1, 1) IN ('0', '1') AS cut FROM y),
-p AS (SELECT *, i = 1 OR lag(cut) OVER (PARTITION BY doc_id ORDER BY i) AS begins,
-             min(CASE WHEN cut THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 FOLLOWING AND UNBOUNDED FOLLOWING) AS last
-      FROM z),
-l AS (SELECT doc_id, list(lw ORDER BY i) AS ws, list(e ORDER BY i) AS es FROM y GROUP BY doc_id),
-u AS (SELECT doc_id, s, es[last] AS e, array_to_string(ws[i:last], ' ') AS unit FROM p JOIN l USING (doc_id) WHERE begins AND last IS NOT NULL
-      UNION SELECT doc_id, min(s), max(e), string_agg(lw, ' ' ORDER BY i) FROM y GROUP BY doc_id, line HAVING count(*) >= 20),
-f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(s) OVER o AS kept_start
+             sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM x),
+m AS (SELECT doc_id, min(substr(md5(lw), 1, 16) || lpad(i::VARCHAR, 12, '0'))
+                       OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS least,
+             count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS width FROM y),
+p AS (SELECT DISTINCT doc_id, substr(least, 17)::BIGINT AS i FROM m WHERE width = 15),
+l AS (SELECT doc_id, list(lw ORDER BY i) AS ws, list(s ORDER BY i) AS ss, list(e ORDER BY i) AS es FROM y GROUP BY doc_id),
+u AS (SELECT doc_id, ss[i] AS s, es[i + 35] AS e, array_to_string(ws[i:i + 35], ' ') AS unit FROM p JOIN l USING (doc_id) WHERE i + 35 <= len(ws)
+      UNION SELECT doc_id, min(s), max(e), string_agg(lw, ' ' ORDER BY i) FROM y GROUP BY doc_id, line HAVING count(*) >= 5),
+f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(s) OVER o AS kept_start, first_value(e) OVER o AS kept_end
       FROM u WINDOW o AS (PARTITION BY unit ORDER BY doc_id, s))
 SELECT doc_id, s::BIGINT AS "start", e::BIGINT AS "end", kept_doc_id, kept_start::BIGINT AS kept_start FROM f
-WHERE (doc_id, s) <> (kept_doc_id, kept_start)
+WHERE doc_id <> kept_doc_id OR s >= kept_end
 """
 
 

@@ -209,21 +209,21 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """
     from pyspark.sql import Window
     found = materialize(near_duplicates(docs, **parameters), "near")
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     columns = docs.columns
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))
-    kept = (docs.join(keep, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order))
-            .filter("__nth = 1").select(*columns))
+    names = [f"__c{i}" for i in range(len(columns))]  # the work columns cannot clash
+    renamed, key = docs.toDF(*names), names[columns.index("doc_id")]
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*names))
+    kept = (renamed.join(keep, renamed[key] == keep["__keep"], "left_semi").withColumn("__nth", F.row_number().over(order))
+            .filter("__nth = 1").select(*names))
     lone = found.filter("doc_id IS NULL AND component_id IS NULL").select(
-        F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
-    nameless = docs.filter("doc_id IS NULL")
-    fp_of = fingerprints_of_rows(nameless, parameters.get("k", SHINGLE_WORDS))
-    return kept.unionByName(fp_of.join(lone, fp_of["__fp"] == lone["fp"], "left_semi").select(*columns))
+        F.conv("fingerprint", 16, -10).cast("long").alias("__lone")).distinct()
+    fp_of = fingerprints_of_rows(renamed.filter(F.col(key).isNull()), parameters.get("k", SHINGLE_WORDS), columns.index("text"))
+    return kept.unionByName(fp_of.join(lone, fp_of["__fp"] == lone["__lone"], "left_semi").select(*names)).toDF(*columns)
 
 
-def fingerprints_of_rows(docs: DataFrame, k: int) -> DataFrame:
-    """``docs`` with the fingerprint of its text as column ``__fp``."""
-    at = docs.columns.index("text")
+def fingerprints_of_rows(docs: DataFrame, k: int, at: int) -> DataFrame:
+    """``docs`` with the fingerprint of the text in column ``at`` as column ``__fp``."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, k) for x in text_bytes(b.column(at))], np.uint64).view(np.int64)

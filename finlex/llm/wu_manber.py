@@ -128,15 +128,16 @@ HITS = T.StructType([T.StructField("__n_words", T.LongType()),
                      T.StructField("__items", T.ArrayType(T.LongType()))])
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` (merged word spans hit) and ``__items`` (ids of items found)."""
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+         text: str = "text") -> DataFrame:
+    """``docs``, whose texts are in column ``text``, with ``__n_words``, ``__spans`` (merged word spans hit) and ``__items`` (ids of items found)."""
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    at, width = docs.columns.index("text"), len(docs.columns)
+    at, width = docs.columns.index(text), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, *HITS.fields])
     out = docs
     for k in range(blocks):
@@ -165,7 +166,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    return mark(docs, benchmark, **parameters).filter(F.size("__spans") == 0).select(*docs.columns)
+    columns = docs.columns
+    names = [f"__c{i}" for i in range(len(columns))]  # the work columns cannot clash
+    found = mark(docs.toDF(*names), benchmark, text=names[columns.index("text")], **parameters)
+    return found.filter(F.size("__spans") == 0).select(*names).toDF(*columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -320,31 +320,32 @@ def test_counts_per_document(odd, none):
 
 # ---------------------------------------------------------------- lines
 
-def units_by_hand(t, least):
-    """(first word, last word, words) of lines and passages."""
+def units_by_hand(t, line_words, passage_words, window):
+    """(start, end, words) of lines and passages."""
     at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t[a:b]) for a, b in at]
     after = [k + 1 == len(w) or "\n" in t[at[k][1]:at[k + 1][0]] for k in range(len(w))]
-    cut = [after[k] or w[k][-1] in ".!?" or hashlib.md5(w[k].encode()).hexdigest()[0] in "01" for k in range(len(w))]
-    found = set()
+    rank = [hashlib.md5(x.encode()).hexdigest()[:16] for x in w]
+    size, found = passage_words - window + 1, set()
     for k in range(len(w)):
         if k == 0 or after[k - 1]:
             end = next(j for j in range(k, len(w)) if after[j])
-            if end - k + 1 >= least:
-                found.add((k, end))
-        if k == 0 or cut[k - 1]:
-            end = next((j for j in range(k + least - 1, len(w)) if cut[j]), None)
-            if end is not None:
+            if end - k + 1 >= line_words:
                 found.add((k, end))
+        if k + window <= len(w):
+            begin = min(range(k, k + window), key=lambda j: (rank[j], j))
+            if begin + size <= len(w):
+                found.add((begin, begin + size - 1))
     return [(at[a][0], at[b][1], " ".join(w[a:b + 1])) for a, b in sorted(found)]
 
 
-def removed_by_hand(docs, least):
+def removed_by_hand(docs, *sizes):
     first, out = {}, []
     for k, t in sorted(docs, key=lambda d: d[0]):
-        for a, b, unit in units_by_hand(t, least):
-            if first.setdefault(unit, (k, a)) != (k, a):
-                out.append((k, a, b, *first[unit]))
+        for a, b, unit in units_by_hand(t, *sizes):
+            i, s, e = first.setdefault(unit, (k, a, b))
+            if i != k or a >= e:
+                out.append((k, a, b, i, s))
     return sorted(out)
 
 
@@ -354,9 +355,10 @@ def test_repeated_units_match_brute_force(docs_of, sample_texts, odd, none):
     host = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))
     docs = [(300 - k, t) for k, t in enumerate([*sample_texts, "É x\nA  b c\na B\tc\nshort", "a b c\ny", f"{host()} {passage} {host()}",
                                                f"{host()}\n{passage}", host()])]
-    for least in (3, 20):
-        assert sorted(map(tuple, line_dedup.report(docs_of(docs), min_words=least).collect())) == removed_by_hand(docs, least)
-    gone = removed_by_hand(docs, 20)
+    for sizes in ((3, 8, 4), (5, 50, 15)):
+        found = line_dedup.report(docs_of(docs), **dict(zip(("line_words", "passage_words", "window"), sizes)))
+        assert sorted(map(tuple, found.collect())) == removed_by_hand(docs, *sizes)
+    gone = removed_by_hand(docs, 5, 50, 15)
     inline, alone = (300 - len(sample_texts) - k for k in (2, 3))
     assert {g[0] for g in gone} >= {inline} and all(g[3] == alone for g in gone if g[0] == inline)
     out = {r.doc_id: r.text for r in line_dedup.cleaned(docs_of(docs)).collect()}
@@ -365,7 +367,7 @@ def test_repeated_units_match_brute_force(docs_of, sample_texts, odd, none):
         left = "".join(c for i, c in enumerate(t) if i not in hit)
         assert out[k].split() == left.split() and (hit or out[k] == t)
     assert line_dedup.report(none).count() == 0
-    assert {(r.doc_id, r.kept_doc_id) for r in line_dedup.report(odd, min_words=10).collect()} >= {(7, 1), (None, 1)}
+    assert {(r.doc_id, r.kept_doc_id) for r in line_dedup.report(odd).collect()} >= {(7, 1), (None, 1)}
     assert line_dedup.cleaned(odd).columns == odd.columns and line_dedup.cleaned(odd).count() == len(ROWS)
 
 
@@ -375,6 +377,40 @@ def test_paragraph_units():
     assert {"a b c\nd e f", "g h i j"} <= found
 
 
+def test_every_shared_passage_holds_a_common_unit():
+    rng = random.Random(17)
+    text = lambda n, many: " ".join(f"w{rng.randint(0, many)}" for _ in range(n))
+    for many in (30, 10**6):  # frequent words tie
+        for _ in range(500):
+            n = rng.choice([50, 51, 60, 100])
+            passage, a, b = text(n, many), text(rng.randint(0, 80), 10**6), text(rng.randint(0, 80), 10**6)
+            one, two = f"{a} {passage} {b}", f"{passage} {a}"
+            known = {d for _, _, d in line_dedup.units(one)}
+            shared = [(s, e) for s, e, d in line_dedup.units(two) if d in known and e <= len(passage)]
+            before = len(passage[:min(s for s, _ in shared)].split())
+            behind = len(passage[max(e for _, e in shared):].split())
+            assert before <= 14 and behind <= 14
+
+
+def test_short_lines_go_and_a_text_that_repeats_itself_keeps_one_copy(docs_of):
+    docs = [(1, "read more about our offers\nfirst own words of this text"), (2, "other words\nRead more  about our offers\nshort line"),
+            (3, "short line"), (4, "again " * 200)]
+    out = {r.doc_id: r.text for r in line_dedup.cleaned(docs_of(docs)).collect()}
+    assert out[1] == docs[0][1] and out[2] == "other words\nshort line" and out[3] == "short line"
+    assert len(out[4].split()) == 36
+
+
+def test_columns_named_like_the_work_columns_pass(docs_of, spark, benchmark):
+    docs = docs_of([(1, "read more about our offers\nfirst own words of this text"), (2, "read more about our offers\nsecond"),
+                    (2, "read more about our offers\nsecond"), (None, None)])
+    names = ["__gone", "__mark", "__of", "__doc", "__fp", "__nth", "__keep", "__n_words", "__spans", "__items", "__c0", "n", "fp", "start"]
+    wide = docs.withColumns({name: F.lit("mine") for name in names})
+    for out in (line_dedup.cleaned(wide), simhash_pigeonring.keep_one(wide), wu_manber.decontaminate(wide, benchmark)):
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert {r[name] for r in got for name in names} == {"mine"} and {r.doc_id for r in got} >= {1, 2}
+
+
 # ---------------------------------------------------------------- joins on hot keys
 
 def test_join_with_hot_keys_loses_and_doubles_nothing(spark, monkeypatch):

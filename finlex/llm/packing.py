@@ -6,12 +6,13 @@ their own; only their remainder is packed.  Within a packing group the pieces co
 first; open bins stand ordered by residual capacity and carry a bitmap of their sources and
 one of their clusters.  The search starts at the smallest residual that holds the piece and
 goes on to the successor until a bin without conflict is found: the tightest compatible
-one.  If none is, a new bin opens.
+one.  If none is, a new bin opens.  The order is kept in blocks; a block whose bins all
+carry the piece's source, or all its cluster, is passed over in one step.
 
 Groups are dealt by a hash of the row, not by source or cluster, in such number that each
-expects ``group_bins`` bins' worth of tokens; so a hot source or cluster spreads evenly and
-no task's work grows with the corpus.  Packing across groups would save less than one bin
-in ``group_bins``.
+expects at most ``group_bins`` bins' worth of tokens and ``GROUP_ROWS`` documents; so a hot
+source or cluster spreads evenly and no task's work grows with the corpus.  Packing across
+groups would save less than one bin a group.
 
 Lengths are tokens of a word-piece vocabulary, or words when none is given.  A duplicate
 cluster is a component of near copies by SimHash, as in operator 7.
@@ -37,6 +38,8 @@ from .wordpiece_count import CACHE_WORDS, START, Automaton
 
 CAPACITY = 2048
 GROUP_BINS = 256
+GROUP_ROWS = 1 << 15
+BLOCK = 64
 
 
 def measured(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
@@ -85,32 +88,87 @@ def clustered(sized: DataFrame) -> DataFrame:
         sized.filter("fp IS NULL").withColumn("cluster", F.lit(None).cast("long")).select(*names))
 
 
+class OpenBins:
+    """Bins in order of (residual, number), in blocks that know which bits all their bins carry."""
+
+    def __init__(self) -> None:
+        self.sources: list[int] = []
+        self.clusters: list[int] = []
+        self.blocks: list[list[tuple[int, int]]] = []
+        self.last: list[tuple[int, int]] = []
+        self.in_all: list[tuple[int, int]] = []
+
+    def tightest(self, length: int, s: int, c: int) -> tuple[int, int] | None:
+        """Block and place of the first bin that holds ``length`` more and has neither bit."""
+        want = (length, -1)
+        for k in range(bisect.bisect_left(self.last, want), len(self.blocks)):
+            all_s, all_c = self.in_all[k]
+            if all_s & s or all_c & c:
+                continue
+            block = self.blocks[k]
+            for at in range(bisect.bisect_left(block, want), len(block)):
+                b = block[at][1]
+                if not (self.sources[b] & s or self.clusters[b] & c):
+                    return k, at
+        return None
+
+    def take(self, k: int, at: int) -> tuple[int, int]:
+        entry = self.blocks[k].pop(at)
+        self._refresh(k)
+        return entry
+
+    def put(self, entry: tuple[int, int]) -> None:
+        k = min(bisect.bisect_left(self.last, entry), len(self.blocks) - 1)
+        if k < 0:
+            k = 0
+            self._insert(0, [])
+        block = self.blocks[k]
+        bisect.insort(block, entry)
+        if len(block) > 2 * BLOCK:
+            self._insert(k + 1, block[BLOCK:])
+            del block[BLOCK:]
+            self._refresh(k + 1)
+        self._refresh(k)
+
+    def _insert(self, k: int, block: list[tuple[int, int]]) -> None:
+        self.blocks.insert(k, block)
+        self.last.insert(k, (0, 0))
+        self.in_all.insert(k, (0, 0))
+
+    def _refresh(self, k: int) -> None:
+        block = self.blocks[k]
+        if not block:
+            del self.blocks[k], self.last[k], self.in_all[k]
+            return
+        all_s = all_c = -1
+        for _, b in block:
+            all_s &= self.sources[b]
+            all_c &= self.clusters[b]
+            if not (all_s or all_c):
+                break
+        self.last[k] = block[-1]
+        self.in_all[k] = all_s, all_c
+
+
 def pack_group(pieces: list[tuple[int, int | None, int | None]], capacity: int) -> list[tuple[int, int]]:
     """(bin, offset) of each (length, source bit, cluster bit), in the order given; lengths at most ``capacity``."""
-    open_bins: list[tuple[int, int]] = []  # (residual, bin), ascending
-    sources: list[int] = []
-    clusters: list[int] = []
+    bins = OpenBins()
     placed = []
     for length, source, cluster in pieces:
         s = 1 << source if source is not None else 0
         c = 1 << cluster if cluster is not None else 0
-        at = bisect.bisect_left(open_bins, (length, -1))
-        while at < len(open_bins):
-            b = open_bins[at][1]
-            if not (sources[b] & s or clusters[b] & c):
-                break
-            at += 1
-        if at < len(open_bins):
-            residual, b = open_bins.pop(at)
+        found = bins.tightest(length, s, c)
+        if found:
+            residual, b = bins.take(*found)
         else:
-            residual, b = capacity, len(sources)
-            sources.append(0)
-            clusters.append(0)
-        sources[b] |= s
-        clusters[b] |= c
+            residual, b = capacity, len(bins.sources)
+            bins.sources.append(0)
+            bins.clusters.append(0)
+        bins.sources[b] |= s
+        bins.clusters[b] |= c
         placed.append((b, capacity - residual))
         if residual > length:
-            bisect.insort(open_bins, (residual - length, b))
+            bins.put((residual - length, b))
     return placed
 
 
@@ -120,8 +178,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BIN
     ``sized`` has doc_id, n_tokens, source, cluster and mark (a hash to break ties).
     """
     sized = materialize(sized, "sized")
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
-    groups = max(1, -(-total // (capacity * group_bins)))
+    total, n_rows = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // (capacity * group_bins)), -(-n_rows // GROUP_ROWS))
     dealt = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)))
     names = ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_offset"]
 

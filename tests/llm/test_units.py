@@ -2,6 +2,7 @@
 import collections
 import io
 import random
+import time
 import re
 
 import numpy as np
@@ -294,6 +295,12 @@ def test_each_piece_goes_to_the_tightest_compatible_bin():
         assert packing.pack_group(pieces, 20) == want
 
 
+def test_many_short_texts_of_one_source_pack_in_seconds():
+    begun = time.perf_counter()
+    placed = packing.pack_group([(2, 0, None)] * 20_000, 2048)
+    assert placed == [(k, 0) for k in range(20_000)] and time.perf_counter() - begun < 20
+
+
 # ---------------------------------------------------------------- HTML
 
 @pytest.mark.parametrize("page,text", [

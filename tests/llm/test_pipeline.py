@@ -2,7 +2,8 @@
 from collections import Counter
 
 import corpus_pipeline as CP
-from finlex.llm import common, pii_crf, simhash_pigeonring, wu_manber
+from finlex.llm import common, packing, pii_crf, simhash_pigeonring, wordpiece_count, wu_manber
+from finlex.llm.queries import tokenizer_file
 from finlex.sources.tables import table
 from tests.llm.conftest import SF
 from tests.llm.test_operators import components_by_hand
@@ -45,8 +46,11 @@ def test_stages_follow_each_other(spark):
         assert not base_by_pattern(out[k].text) and (out[k].text == texts[k] or any(f"[{x.upper()}]" in out[k].text for x in pii_crf.KINDS))
         assert base_by_pattern(texts[k]) or out[k].text == texts[k]
 
-    n = Counter()
+    automaton = wordpiece_count.Automaton(wordpiece_count.vocabulary(tokenizer_file("piece_bpe_32k.model")))
+    n, filled = Counter(), Counter()
     for r in packed.collect():
         n[r.doc_id] += r.n_tokens
-    assert n == {k: len(out[k].text.encode().split()) + 1 for k in left}
+        filled[r.bin_id] += r.n_tokens
+    assert n == {k: 1 + sum(automaton.count(wordpiece_count.START + w) for w in out[k].text.encode().split()) for k in left}
+    assert max(filled.values()) <= packing.CAPACITY
     assert {r.doc_id for r in CP.run(spark, SF).collect()} == left

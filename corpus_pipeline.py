@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlex.llm import packing, pii_crf, robust_outliers, simhash_pigeonring, wu_manber
+from finlex.llm import packing, pii_crf, robust_outliers, simhash_pigeonring, wordpiece_count, wu_manber
 from finlex.llm.common import materialize, prepare
+from finlex.llm.queries import tokenizer_file
 from finlex.sources.tables import table
 
 
@@ -36,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document's pieces in training sequences."""
-    return packing.report(docs)
+    """Place every document's pieces in training sequences of 2048 tokens."""
+    return packing.report(docs, pieces=wordpiece_count.vocabulary(tokenizer_file("piece_bpe_32k.model")))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

@@ -85,16 +85,16 @@ def s6_extend(spark, sf):
 
 
 @register("S3_S4_lexicon_roundtrip", _EXTENDED_SQL + """
-SELECT n.name, category, term, ord FROM lex CROSS JOIN (VALUES ('from_json'), ('from_csv')) n(name)""")
+SELECT n.name, category, term, ord FROM lex CROSS JOIN (VALUES ('from_json'), ('from_csv'), ('from_parquet')) n(name)""")
 def s3_s4_roundtrip(spark, sf):
-    """Save the corpus-extended lexicon as JSON and CSV, load both back."""
+    """Save the corpus-extended lexicon in each one-row-a-term format, load all back."""
     lex = LX.extend_lexicon(LX.default_lexicon(spark), corpus_terms(spark, sf))
     base = work_dir(spark, "lexicon")
-    LX.save_lexicon(lex, f"{base}/json", "json")
-    LX.save_lexicon(lex, f"{base}/csv", "csv")
-    j = LX.load_lexicon(spark, f"{base}/json", "from_json")
-    c = LX.load_lexicon(spark, f"{base}/csv/*.csv", "from_csv")
-    return j.unionByName(c)
+    loaded = []
+    for name, fmt in (("from_json", "jsonl"), ("from_csv", "csv"), ("from_parquet", "parquet")):
+        LX.save_lexicon(lex, f"{base}/{fmt}", fmt)
+        loaded.append(LX.load_lexicon(spark, f"{base}/{fmt}", name))
+    return reduce(DataFrame.unionByName, loaded)
 
 
 _PRED = "SELECT '{m}' AS model, doc_id, predicted_class, round(confidence, 6) AS confidence FROM ({cte} SELECT * FROM pred)"

@@ -1,8 +1,10 @@
 """Lexicon sources and sinks (S3-S6) and lexicon-driven counting at any size.
 
-A lexicon is the table ``lexicon(name, category, term, ord)``.  Counting is one
-Aho-Corasick scan per text in a pandas UDF, with the exact non-overlapping
-per-term semantics.
+A lexicon is the table ``lexicon(name, category, term, ord)``.  It may be as large as a
+corpus's vocabulary: it is stored one row a term in range-ordered files, and terms are
+numbered within range partitions, so no task sees a whole category.  Counting is one
+Aho-Corasick scan per text in a pandas UDF, with the exact non-overlapping per-term
+semantics.
 """
 
 from collections.abc import Iterator
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..session import ensure_checkpoint_dir
 
 CATEGORIES = ("positive", "negative", "neutral")
 LEXICON_SCHEMA = "name STRING, category STRING, term STRING, ord INT"
@@ -23,18 +26,42 @@ def default_lexicon(spark: SparkSession, name: str = "default") -> DataFrame:
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
 
 
-def load_lexicon(spark: SparkSession, path: str, name: str | None = None) -> DataFrame | None:
-    """S3: JSON ``{category: [terms]}`` or CSV ``term,sentiment``.
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` with ``ord``, 0-based within ``group`` by ``order``.
+
+    Rows are range-partitioned by group and order, so those of one group in one partition
+    stand together; their places plus the sizes of the group's earlier partitions are the
+    ordinals.  The table of sizes has at most one row a partition and group; groups are few.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    placed = (rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+              .withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint())
+    sizes = placed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (placed.join(F.broadcast(starts), ["_part", group])
+            .withColumn("ord", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int"))
+            .drop("_part", "_at", "_first", "_before"))
+
+
+def load_lexicon(spark: SparkSession, path: str, name: str | None = None, fmt: str | None = None) -> DataFrame | None:
+    """S3: ``json`` (one object ``{category: [terms]}``), ``csv`` (``term,sentiment`` in file
+    order), ``jsonl`` or ``parquet`` (one row a term); by default as the path ends.
 
     CSV categories are lower-cased and unknown ones dropped; the lexicon is
     rejected (None) unless all three categories are present.
     """
     name = name or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    if path.endswith(".csv"):
-        raw = spark.read.option("header", True).csv(path)
-        lex = raw.select(F.lower(F.trim("sentiment")).alias("category"), F.col("term")) \
-            .filter(F.col("category").isin(*CATEGORIES)) \
-            .withColumn("ord", F.row_number().over(Window.partitionBy("category").orderBy(F.monotonically_increasing_id())) - 1)
+    fmt = fmt or next((f for f in ("csv", "jsonl", "parquet") if path.endswith(f)), "json")
+    if fmt == "csv":
+        raw = spark.read.option("header", True).schema("term STRING, sentiment STRING").csv(path)
+        lines = raw.select(F.lower(F.trim("sentiment")).alias("category"), F.col("term"),
+                           F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                           F.monotonically_increasing_id().alias("_line")).filter(F.col("category").isin(*CATEGORIES))
+        lex = numbered(lines, "category", "_file", "_block", "_line")
+    elif fmt in ("jsonl", "parquet"):
+        lex = spark.read.schema(LEXICON_SCHEMA).format("json" if fmt == "jsonl" else fmt).load(path) \
+            .filter(F.col("category").isin(*CATEGORIES))
     else:
         raw = spark.read.option("multiLine", True).json(path)
         cats = [c for c in CATEGORIES if c in raw.columns]
@@ -46,15 +73,30 @@ def load_lexicon(spark: SparkSession, path: str, name: str | None = None) -> Dat
     return lex if set(CATEGORIES) <= present else None
 
 
+def lexicon_bytes(lex: DataFrame) -> int:
+    return lex.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+
+
 def save_lexicon(lex: DataFrame, path: str, fmt: str = "json") -> None:
-    """CSV ``term,sentiment`` or JSON ``{category: [terms]}`` (one file)."""
+    """``csv`` (``term,sentiment``), ``jsonl`` or ``parquet`` (one row a term) as files in
+    range order, or ``json``, one object ``{category: [terms]}``: one row, so refused beyond
+    ``LEXICON_BYTES``.
+    """
+    if fmt == "json":
+        size = lexicon_bytes(lex)
+        if size > LEXICON_BYTES:
+            raise ValueError(f"the lexicon takes {size} bytes; one JSON object holds at most {LEXICON_BYTES}, use jsonl or parquet")
+        lex.groupBy().pivot("category", list(CATEGORIES)).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"])) \
+            .write.mode("overwrite").json(path)
+        return
+    ranged = lex.repartitionByRange("category", "ord").sortWithinPartitions("category", "ord")
     if fmt == "csv":
-        lex.orderBy("category", "ord").select("term", F.col("category").alias("sentiment")) \
-            .coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        ranged.select("term", F.col("category").alias("sentiment")).write.mode("overwrite").option("header", True).csv(path)
+    elif fmt in ("jsonl", "parquet"):
+        ranged.write.mode("overwrite").format("json" if fmt == "jsonl" else fmt).save(path)
     else:
-        agg = lex.groupBy().pivot("category", list(CATEGORIES)).agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]))
-        agg.coalesce(1).write.mode("overwrite").json(path)
+        raise ValueError(f"unknown lexicon format {fmt!r}")
 
 
 def resolve_lexicon(lexicons: DataFrame, name: str | None, default: DataFrame) -> DataFrame:
@@ -74,10 +116,9 @@ def extend_lexicon(lex: DataFrame, new_terms: DataFrame) -> DataFrame:
     known = lex.select("category").distinct()
     cand = new_terms.join(known, "category", "left_semi") \
         .join(lex.select("category", "term"), ["category", "term"], "left_anti").dropDuplicates(["category", "term"])
-    base = lex.groupBy("category").agg(F.max("ord").alias("m"), F.first("name").alias("name"))
-    w = Window.partitionBy("category").orderBy("term")
-    added = cand.join(base, "category").select("name", "category", "term",
-                                               (F.col("m") + F.row_number().over(w)).cast("int").alias("ord"))
+    base = lex.groupBy("category").agg(F.max("ord").alias("m"), F.first("name").alias("name"))  # one row a category
+    added = numbered(cand, "category", "term").join(F.broadcast(base), "category").select(
+        "name", "category", "term", (F.col("m") + 1 + F.col("ord")).cast("int").alias("ord"))
     return lex.unionByName(added)
 
 
@@ -88,7 +129,7 @@ def lexicon_counts(docs: DataFrame, text_col: str, lex: DataFrame, keep: tuple[s
     term, built once per task; null text counts 0.  The dictionary has to fit in a
     worker, so it is measured first and one beyond ``LEXICON_BYTES`` is refused.
     """
-    size = lex.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+    size = lexicon_bytes(lex)
     if size > LEXICON_BYTES:
         raise ValueError(f"the lexicon takes {size} bytes; a dictionary of at most {LEXICON_BYTES} fits in a worker")
     bc = docs.sparkSession.sparkContext.broadcast(

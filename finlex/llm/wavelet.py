@@ -8,9 +8,11 @@ directory of ranks per 512 bits this gives access, counting and the k-th occurre
 token from the compressed file alone; planes are compressed in frames, so a lookup unpacks
 one frame a plane.
 
-Encoding: no token of this tokenizer crosses ASCII white space, and letters and the
-punctuation after them are separate pre-tokens, so the library encodes each distinct word
-once and the words' ids are joined.  The word cache is bounded (``CACHE_WORDS``).
+Encoding: no token of this tokenizer crosses ASCII white space, so each distinct word is
+encoded once: Arrow splits a batch and numbers its distinct words, and the words' ids are
+taken by these numbers.  The word cache is bounded (``CACHE_WORDS``).  Words of lower-case Latin-1 letters, digits and
+ASCII signs are merged by rank where the file allows it (``by_rank``), all others by the
+tokenizers library; tests compare both with whole-text encoding.
 
 Defined cases: a null text is empty and holds the end id alone; a null ``doc_id`` sorts
 first; repeated ids follow each other, ordered by text; an empty table gives an empty
@@ -22,24 +24,27 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignment import byte_alphabet
 from .common import materialize, prepare, shared_path, text_bytes
 
 END_ID = 1
 SHARD_TOKENS = 1 << 23
 CACHE_WORDS = 1_200_000
+TOGETHER_BYTES = 8 << 20  # text encoded together, whose distinct words are looked up once
 MAGIC = b"FXWVMTX1"
 BLOCK = 512  # bits per entry of the rank directory
 FRAME = 1 << 16  # bytes of a plane compressed together
@@ -47,76 +52,142 @@ FRAME = 1 << 16  # bytes of a plane compressed together
 
 # ---------------------------------------------------------------- encoding
 
+# What the rank encoder stands for: the published definition of this tokenizer (FIXED VALUES).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+MARK = "\x01"  # stands for the end of a pre-token; no word of the rank encoder holds it
+# Words that no normaliser changes and that hold no apostrophe (contractions) and no "<" (special tokens),
+# and how such a word is cut into pre-tokens.
+_SIMPLE = re.compile(r"[!-&(-;=-@\[-~\xdf-\xf6\xf8-\xff]+")
+_PARTS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\n]+")
+
+
+def by_rank(source: str) -> bool:
+    """Whether merging by the rank of the joined bytes gives the file's ids.
+
+    It does when the ids follow the merges, every merge joins tokens of lower ids, and every
+    token is reached from its own bytes by the merges before it: then at a token's turn its
+    bytes stand as the two parts of its merge wherever no merge crossed their ends.
+    """
+    spec = json.loads(source)
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    cut = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    if (spec["normalizer"] != {"type": "Sequence", "normalizers": NORMALIZERS} or not suffix
+            or cut[0].get("pattern") != {"Regex": WORD_PATTERN} or not cut[0].get("invert") or cut[0].get("behavior") != "Removed"
+            or [{k: v for k, v in c.items() if k != "trim_offsets"} for c in cut[1:]]
+            != [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))):
+        return False
+    vocabulary = model["vocab"]
+    special = {t["content"] for t in spec["added_tokens"]}
+    alphabet = byte_alphabet()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = {pair: vocabulary.get("".join(pair)) for pair in merges}
+    if (sorted(vocabulary[c] for c in alphabet) + sorted(vocabulary[c + suffix] for c in alphabet) != list(range(512))
+            or list(ids.values()) != list(range(512, 512 + len(merges)))
+            or len(vocabulary.keys() - special) != 512 + len(merges)
+            or any(max(vocabulary[x], vocabulary[y]) >= k for (x, y), k in ids.items())):
+        return False
+    for pair, k in ids.items():
+        token = "".join(pair)
+        end = len(token) - len(suffix) if token.endswith(suffix) else len(token)
+        state = list(token[:end])
+        if end < len(token):
+            state[-1] += suffix
+        while len(state) > 2:
+            rank, at = min((ids.get(p, k), i) for i, p in enumerate(zip(state, state[1:])))
+            if rank >= k:
+                return False
+            state[at:at + 2] = [state[at] + state[at + 1]]
+        if tuple(state) != pair:
+            return False
+    return True
+
+
 class Encoder:
-    """ids of whole texts as little-endian 16- or 32-bit integers, from the text of a tokenizers file."""
+    """ids of whole texts as little-endian 16- or 32-bit integers, from the text of a tokenizers file.
 
-    def __init__(self, source: str):
+    ``ranked``: what ``by_rank`` says of it.
+    """
+
+    def __init__(self, source: str, ranked: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(source)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        self.final = np.zeros(self.size, bool)
-        for token, k in vocabulary.items():
-            self.final[k] = bool(suffix) and token.endswith(suffix)
         self.words: dict[bytes, bytes] = {}
+        self.ranks = None
+        if ranked:
+            import tiktoken
+            model, alphabet = json.loads(source)["model"], byte_alphabet()
+            suffix, special = model["end_of_word_suffix"], set(self.tokenizer.get_added_tokens_decoder())
+            ranks = {}
+            for token, k in model["vocab"].items():
+                if k not in special:
+                    end = token.endswith(suffix)
+                    raw = bytes(alphabet[c] for c in (token.removesuffix(suffix) if end else token))
+                    ranks[raw + MARK.encode() if end else raw] = k
+            self.line = ranks[b"\n"]
+            self.ranks = tiktoken.Encoding("ranks", pat_str=f"[^{MARK}\n]+{MARK}|\n", mergeable_ranks=ranks,
+                                           special_tokens={}).encode_ordinary
 
     def _learn(self, keys: list[bytes]) -> None:
         """Encode words without white space and keep their ids."""
         decoded = [k.decode(errors="replace") for k in keys]
-        plain = [i for i, t in enumerate(decoded) if t.isalpha()] if self.final.any() else []
-        rest = set(range(len(keys)))
-        size = self.dtype.itemsize
-        for at in range(0, len(plain), 1000):
-            part = plain[at:at + 1000]
-            text = " ".join([decoded[i] for i in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
-            if len(ends) == len(part) and ends[-1] == len(ids):  # one pre-token a word
+        rest = range(len(keys))
+        if self.ranks:
+            simple = [_SIMPLE.fullmatch(t) is not None for t in decoded]
+            plain = [i for i in rest if simple[i]]
+            rest = [i for i in rest if not simple[i]]
+            size = self.dtype.itemsize
+            for at in range(0, len(plain), 1000):
+                part = plain[at:at + 1000]
+                block = _PARTS.sub("\\g<0>" + MARK, "\n".join([decoded[i] for i in part]))
+                ids = np.array(self.ranks(block), self.dtype)
                 raw = ids.tobytes()
-                for i, a, b in zip(part, [0, *ends], ends):
-                    self.words[keys[i]] = raw[a * size:b * size]
-                rest.difference_update(part)
-        rest = sorted(rest)
+                ends = (np.flatnonzero(ids == self.line) * size).tolist()
+                self.words.update(zip([keys[i] for i in part],
+                                      [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)])]))
         for i, e in zip(rest, self.tokenizer.encode_batch([decoded[i] for i in rest], add_special_tokens=False)):
             self.words[keys[i]] = np.asarray(e.ids, self.dtype).tobytes()
 
     def encode(self, datas: list[bytes]) -> list[bytes]:
         # the tokenizer lower-cases too; only the names of its special tokens are matched before
-        split = [(d if b"<|" in d else d.lower()).split() for d in datas]
+        lower = pa.array([d if b"<|" in d else d.lower() for d in datas], pa.large_binary())
+        lists = pc.ascii_split_whitespace(lower.view(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        cuts, flat = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1).tolist(), bytes(distinct.buffers()[2] or b"")
+        words = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         known = self.words
-        new = set(chain.from_iterable(split)).difference(known)
+        ids = list(map(known.get, words))
+        new = [w for w, x in zip(words, ids) if x is None]
         if new:
-            if len(known) + 2 * len(new) > CACHE_WORDS:
+            if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-                new = set(chain.from_iterable(split))
-            parted, learn = [], set()
-            for w in new:
-                core = w.rstrip(b".,!?;:")
-                # punctuation after a letter is a pre-token of its own
-                if core and core != w and 0x61 <= core[-1] | 0x20 <= 0x7A:
-                    tail = w[len(core):]
-                    parted.append((w, core, tail))
-                    learn.add(core)
-                    learn.add(tail)
-                else:
-                    learn.add(w)
-            self._learn(sorted(learn.difference(known)))
-            for w, core, tail in parted:
-                known[w] = known[core] + known[tail]
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+                new = words
+            self._learn(new)
+            ids = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        values = pa.array(np.frombuffer(b"".join(ids), self.dtype))
+        raw = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), values).take(coded.indices)
+        raw = memoryview(raw.flatten().to_numpy()).cast("B")
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))[lists.offsets.to_numpy()]
+        ends = (ends * self.dtype.itemsize).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(source: str) -> Encoder:
+def encoder(source: str, ranked: bool = False) -> Encoder:
     """One encoder, with its cache, per worker process."""
     key = hashlib.sha256(source.encode()).hexdigest()
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        _ENCODERS[key] = Encoder(source)
+        _ENCODERS[key] = Encoder(source, ranked)
     return _ENCODERS[key]
 
 
@@ -267,11 +338,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: i
     from pyspark import TaskContext
     folder = shared_path(docs.sparkSession, "wavelet")
     with open(tokenizer, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
+        source = f.read()
+    ranked = by_rank(source)
+    source = docs.sparkSession.sparkContext.broadcast(source)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        enc = encoder(source.value)
+        enc = encoder(source.value, ranked)
         end = np.array([end_id], enc.dtype).tobytes()
         bits = max(1, (max(enc.size, end_id + 1) - 1).bit_length())
         names, ids, held = [], [], 0
@@ -291,8 +364,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: i
             names, ids, held, seq = [], [], 0, seq + 1
             return row
 
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), enc.encode(text_bytes(b.column(1)))):
+        def together() -> Iterator[tuple[list, list[bytes]]]:
+            """Keys and texts of batches, about ``TOGETHER_BYTES`` of text at a time."""
+            keys, datas, size = [], [], 0
+            for b in batches:
+                new = text_bytes(b.column(1))
+                keys += b.column(0).to_pylist()
+                datas += new
+                size += sum(map(len, new))
+                if size >= TOGETHER_BYTES:
+                    yield keys, datas
+                    keys, datas, size = [], [], 0
+            yield keys, datas
+
+        for keys, datas in together():
+            for k, x in zip(keys, enc.encode(datas)):
                 names.append(k)
                 ids.append(x + end)
                 held += len(x) // enc.dtype.itemsize + 1

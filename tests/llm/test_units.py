@@ -1,6 +1,7 @@
 """The per-text parts of the operators against brute force."""
 import collections
 import io
+import json
 import random
 import time
 import re
@@ -227,10 +228,31 @@ def test_search_finds_what_comparison_finds():
 
 # ---------------------------------------------------------------- token ids
 
-@pytest.fixture(scope="module")
-def encoder():
+@pytest.fixture(scope="module", params=[True, False], ids=["by_rank", "by_library"])
+def encoder(request):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return wavelet.Encoder(f.read())
+        source = f.read()
+    assert wavelet.by_rank(source)
+    return wavelet.Encoder(source, request.param)
+
+
+def test_ranks_are_not_used_when_a_merge_is_out_of_order():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    for at in (0, 20_000, len(merges) - 2):
+        changed = [*merges[:at], merges[at + 1], merges[at], *merges[at + 2:]]
+        assert not wavelet.by_rank(json.dumps(spec | {"model": spec["model"] | {"merges": changed}}))
+    assert not wavelet.by_rank(json.dumps(spec | {"normalizer": None}))
+
+
+def test_words_of_any_signs_encode_as_by_the_library(encoder):
+    rng = random.Random(7)
+    signs = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz\xe4\xf6\xfc\xdf\xe9\xe8\xe7\xff\xb5\xaa\xd7\xf701239.,'<|>#&\x01\x7f-_"
+    words = ["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(20_000)]
+    want = encoder.tokenizer.encode_batch(words, add_special_tokens=False)
+    for w, got, e in zip(words, encoder.encode([w.encode() for w in words]), want):
+        assert np.frombuffer(got, encoder.dtype).tolist() == e.ids, w
 
 
 def test_cached_words_encode_as_whole_texts(encoder, sample_texts):

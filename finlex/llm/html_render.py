@@ -3,9 +3,11 @@
 A tokenizer and a tree builder with implied tags (an open ``p``, ``li``, table cell, ...
 ends where its successor or its container's end says so) make a tree; what is no part of a
 table moves before it, and a form directly in a table is transparent; visibility rules
-drop what a browser would not show; the renderer writes all visible text.  Blocks stand on
+drop what a browser would not show (what is hidden by inherited visibility shows again where
+it is set visible; of closed ``details`` the summary shows); the renderer writes all visible text.  Blocks stand on
 lines of their own, paragraphs and the like with an empty line between, list items with
-their marks and indents, and the cells of a table in columns padded to one width.
+their marks and indents, and the cells of a table in columns padded to one width; a
+cell of several rows keeps its columns in the rows below, to the end of its row group at most.
 
 Each page is rendered on its own, so the step is narrow.  Tree and renderer keep their own
 stacks: depth of nesting is not bounded by the interpreter's.
@@ -66,15 +68,16 @@ _P_BARRIER = {"td", "th", "caption", "table", "button", "object"}
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<decl>[^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"""
                   r"""(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_STYLE_OFF = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_STYLE_OFF = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "shown")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.shown = tag, attrs, [], True
 
     def attributes(self) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -91,6 +94,13 @@ class Node:
         return ("hidden" in a and a["hidden"].lower() != "until-found" or bool(_STYLE_OFF.search(a.get("style", "")))
                 or (self.tag == "dialog" and "open" not in a))
 
+    def settle(self, inherited: bool) -> None:
+        """Whether its own text shows, given its parent's; a closed ``details`` keeps its summary alone."""
+        own = _VISIBILITY.findall(self.attributes().get("style", "")) if "isibility" in self.attrs or "ISIBILITY" in self.attrs else []
+        self.shown = own[-1].lower() == "visible" if own else inherited
+        if self.tag == "details" and "open" not in self.attributes():
+            self.children = [c for c in self.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
 
 def parse(page: str) -> Node:
     root = Node("#root")
@@ -260,43 +270,66 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and the rows of a table, head first and foot last."""
+def _cells(table: Node) -> tuple[list[Node], list[list[list[Node]]]]:
+    """Captions and the row groups of a table, head first and foot last."""
     captions, parts = [], {"thead": [], "tbody": [], "tfoot": []}
-
-    def rows(node: Node, into: list) -> None:
-        for x in node.children:
-            if isinstance(x, Node) and x.tag == "tr" and not x.hidden():
-                into.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
-
     for x in table.children:
         if not isinstance(x, Node) or x.hidden():
             continue
         if x.tag == "caption":
             captions.append(x)
         elif x.tag in parts:
-            rows(x, parts[x.tag])
+            parts[x.tag].append([[c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()]
+                                 for r in x.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden()])
     return captions, parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
-def _span(cell: Node) -> int:
-    s = cell.attributes().get("colspan", "1") if cell.attrs else "1"
-    return max(1, min(int(s), 1000)) if s.isdigit() and len(s) < 6 else 1
+def _span(cell: Node) -> tuple[int, int]:
+    """Columns and rows of a cell; rows 0: to the end of the group. The limits are the HTML standard's."""
+    a = cell.attributes() if "span" in cell.attrs.lower() else {}
+    col, row = a.get("colspan", "").strip(), a.get("rowspan", "").strip()
+    number = re.compile("[0-9]{1,9}").fullmatch
+    return max(1, min(int(col), 1000)) if number(col) else 1, min(int(row), 65534) if number(row) else 1
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
+def _placed(group: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """(column, columns, content) of the cells of a row group's rows: each at the first column that no cell above holds."""
+    free: list[tuple[int, float]] = [(0, float("inf"))]  # columns that no cell of a row above holds, in order
+    ends: dict[int, list[tuple[int, float]]] = defaultdict(list)  # columns that are free again from a row on
+    out = []
+    for r, row in enumerate(group):
+        for x in ends.pop(r, ()):
+            bisect.insort(free, x)
+        at, cells = 0, []
+        for content, span, rows in row:
+            k = max(bisect.bisect_right(free, (at, float("inf"))) - 1, 0)
+            if free[k][1] <= at:
+                k += 1
+            at = max(at, free[k][0])
+            cells.append((at, span, content))
+            stop = at + span
+            if rows != 1:
+                while k < len(free) and free[k][0] < stop:  # where it overlaps another, that one keeps the columns
+                    a, b = free.pop(k)
+                    rest = [(x, y) for x, y in ((a, min(at, b)), (stop, b)) if x < y]
+                    free[k:k] = rest
+                    k += bool(rest) and rest[0][0] < at
+                    if rows:
+                        ends[r + rows].append((max(a, at), min(b, stop)))
+                    if rest and rest[-1][0] == stop:
+                        break
+            at = stop
+        out.append(cells)
+    return out
+
+
+def _aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
     """Lines of a table: every column as wide as its widest line, two blanks between."""
     wide: dict[int, int] = {}
-    split = []
-    for row in rows:
-        col, cells = 0, []
-        for content, span in row:
-            lines = content.split("\n")
-            cells.append((col, span, lines))
-            if span == 1:
-                wide[col] = max(wide.get(col, 0), max(map(width, lines)))
-            col += span
-        split.append(cells)
+    split = [[(col, span, content.split("\n")) for col, span, content in row] for row in rows]
+    for col, span, lines in itertools.chain.from_iterable(split):
+        if span == 1:
+            wide[col] = max(wide.get(col, 0), max(map(width, lines)))
     columns = sorted(wide)
     ahead = [0, *itertools.accumulate(wide[c] + 2 for c in columns)]
     out = []
@@ -321,25 +354,39 @@ def render(page: str | None) -> str:
     order, todo = [], [root]
     while todo:
         x = todo.pop()
+        if x.attrs or x.tag == "details":
+            x.settle(x.shown)
         if x.tag == "table":
             order.append(x)
-        todo += [c for c in x.children if isinstance(c, Node) and not c.hidden()]
+        inside = [c for c in x.children if isinstance(c, Node) and not c.hidden()]
+        for c in inside:
+            c.shown = x.shown
+        todo += inside
     for table in reversed(order):  # found before the tables inside it
-        captions, rows = _cells(table)
+        captions, groups = _cells(table)
         lines = [line for c in captions for line in _flow(c, done).split("\n") if line]
-        grid = [[(_flow(c, done), _span(c)) for c in row] for row in rows]
-        lines += _aligned([r for r in grid if any(s for s, _ in r)])
+        rows = [r for group in groups for r in _placed([[(_flow(c, done), *_span(c)) for c in row] for row in group])]
+        lines += _aligned([r for r in rows if any(content for _, _, content in r)])
         done[id(table)] = lines
     return _flow(root, done)
 
 
+def _whole(written: str | None, other: int) -> int:
+    return int(written) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", written or "") else other
+
+
+def _steps(x: Node) -> list[tuple[str, object]]:
+    """A node's children, last first; its own text only where that shows."""
+    return [("text" if isinstance(c, str) else "in", c) for c in reversed(x.children) if x.shown or isinstance(c, Node)]
+
+
 def _flow(top: Node, done: dict[int, list[str]]) -> str:
     page = Page()
-    lists: list[list] = []  # [kind, next number]
+    lists: list[list] = []  # [kind, next number, step]
     indents: list[str] = []
     pre = 0
     # ("in", node) enters, ("out", node) leaves, ("text", s) writes
-    todo: list[tuple[str, object]] = [("text" if isinstance(c, str) else "in", c) for c in reversed(top.children)]
+    todo: list[tuple[str, object]] = _steps(top)
     while todo:
         what, x = todo.pop()
         if what == "text":
@@ -354,7 +401,7 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
                 continue
             if tag == "wbr":
                 continue
-            if tag in ("option", "optgroup") and x.attrs and (tag == "optgroup" or not x.children):
+            if x.shown and tag in ("option", "optgroup") and x.attrs and (tag == "optgroup" or not x.children):
                 page.flush()
                 page.inline(x.attributes().get("label", ""))
                 page.flush()
@@ -362,7 +409,7 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
                 a = x.attributes()
                 shown = a.get("alt", "") if tag == "img" else (
                     a.get("value", "") if a.get("type", "text").lower() in ("submit", "button", "reset") else "")
-                if shown.strip():
+                if x.shown and shown.strip():
                     page.inline(shown)
                 continue
             if tag == "table" and id(x) in done:
@@ -379,32 +426,35 @@ def _flow(top: Node, done: dict[int, list[str]]) -> str:
             if tag == "hr":
                 continue
             if tag in ("ul", "ol", "menu"):
-                start = x.attributes().get("start", "1") if tag == "ol" and x.attrs else "1"
-                lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+                a = x.attributes() if tag == "ol" and x.attrs else {}
+                first = sum(isinstance(c, Node) and c.tag == "li" and not c.hidden() for c in x.children) if "reversed" in a else 1
+                lists.append([tag, _whole(a.get("start"), first), -1 if "reversed" in a else 1])
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
+                kind = lists[-1] if lists else ["ul", 1, 1]
+                if x.attrs and kind[0] == "ol":
+                    kind[1] = _whole(x.attributes().get("value"), kind[1])
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
+                kind[1] += kind[2]
                 if page.mark is not None:  # the item outside holds nothing before its list
                     page.flush(force=True)
                 indents.append(page.indent)
                 page.indent += " " * len(mark)
-                page.mark = mark
+                page.mark = mark if x.shown else None
             elif tag in ("dd", "blockquote"):
                 indents.append(page.indent)
                 page.indent += "  "
-            elif tag == "q":
+            elif tag == "q" and x.shown:
                 page.inline('"')
             elif tag in ("pre", "textarea"):
                 pre += 1
             if not x.children and tag not in BLOCK and tag not in TABLE:
                 continue
             todo.append(("out", x))
-            todo += [("text" if isinstance(c, str) else "in", c) for c in reversed(x.children)]
+            todo += _steps(x)
             continue
         if tag in ("pre", "textarea"):
             pre -= 1
-        if tag == "q":
+        if tag == "q" and x.shown:
             page.parts.append('"')
             page.filled = True
         if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1):

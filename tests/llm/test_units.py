@@ -371,6 +371,52 @@ def test_no_visible_word_is_lost():
         assert all(shown.count(w) == 1 for w in words), page
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>x<td>1<td>9<tr><td>2<td>8</table>", "x  1  9\n   2  8"),
+    ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr></tr><tr><td>f<td>g<td>h</table>", "a  b  c\nd     e\nf  g  h"),
+    ("<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3<tbody><tr><td>4<td>5</table>", "x  1\n   2\n   3\n4  5"),
+    ("<table><tr><td>p<td colspan=2 rowspan=2>q<td>r<tr><td>s<td>t<tr><td>u<td>v<td>w<td>y</table>", "p  q     r\ns        t\nu  v  w  y"),
+    ("<div style='visibility:hidden'>a<p style='visibility: visible'>b<i>c</i></p>d<table><tr><td>e<td style='visibility:visible'>f</table></div>g",
+     "bc\n\n  f\n\ng"),
+    ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+    ("<div style='display:none'><p style='visibility:visible'>a</div>b", "b"),
+    ("<details>a<summary>b</summary>c<p>d</details>e", "b\ne"),
+    ("<details open><summary>b</summary>c</details>e", "b\nc\ne"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li value=x>b</ol>", "10. a\n9. b"),
+])
+def test_spans_visibility_and_list_numbers(page, text):
+    assert html_render.render(page) == text
+
+
+def test_cells_are_placed_as_by_a_grid():
+    rng = random.Random(5)
+    for _ in range(2000):
+        group = [[("", rng.randint(1, 3), rng.choice([0, 1, 1, 1, 2, 3, 9])) for _ in range(rng.randint(0, 4))]
+                 for _ in range(rng.randint(0, 7))]
+        held, want = set(), []
+        for r, row in enumerate(group):
+            at, cells = 0, []
+            for content, span, rows in row:
+                while (r, at) in held:
+                    at += 1
+                cells.append((at, span, content))
+                taken = [c for c in range(at, at + span) if (r, c) not in held]
+                held |= {(q, c) for q in range(r + 1, r + rows if rows else len(group)) for c in taken}
+                at += span
+            want.append(cells)
+        assert html_render._placed(group) == want, group
+
+
+def test_many_cells_of_many_rows_take_time_in_proportion():
+    n = 20_000
+    start = time.process_time()
+    group = [[("", 1, 2 + k) for k in range(n)], *([("", 1, 1)] for _ in range(n))]
+    assert [row[0][0] for row in html_render._placed(group)] == [0, n, *[0] * (n - 1)]
+    assert time.process_time() - start < 20
+
+
 def test_deep_and_broken_pages_do_not_raise():
     html_render.render("<div>" * 50_000 + "x")
     html_render.render("<b>" * 20_000 + "</i>" * 2000)

@@ -35,9 +35,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def table_stream(spark: SparkSession, directory: str, schema: str, glob: str = "*.parquet",
                  max_files_per_trigger: int = 1) -> DataFrame:
-    """R1 source: Parquet files arriving in ``directory`` (matching ``glob``)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", glob).parquet(directory))
+    """R1 source: Parquet files arriving in ``directory`` (matching ``glob``).
+
+    ``glob`` may also name one table of ``directory``, which is a file or a folder of part files.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if not any(c in glob for c in "*?[{"):
+        return files.parquet(f"{directory.rstrip('/')}/{{{glob}}}")  # as a pattern, a single file is allowed too
+    return files.option("pathGlobFilter", glob).parquet(directory)
 
 
 def run_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], out_dir: str,

@@ -67,6 +67,17 @@ def test_history_over_several_batches_is_the_last_n_per_user(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path, parts):
+    spark.range(30).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")) \
+        .repartition(parts).write.parquet(str(tmp_path / "in/documents.parquet"))
+    spark.range(5).select(F.col("id").alias("doc_id"), F.lit("other").alias("text")).write.parquet(str(tmp_path / "in/other.parquet"))
+    out = str(tmp_path / "out")
+    ST.run_batches(ST.table_stream(spark, str(tmp_path / "in"), "doc_id BIGINT, text STRING", "documents.parquet"),
+                   lambda b: b, out).awaitTermination()
+    assert spark.read.parquet(f"{out}/results").groupBy("text").count().collect() == [("text", 30)]
+
+
 def test_a_failing_batch_goes_to_quarantine_and_the_stream_goes_on(spark, tmp_path):
     docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
     src = _files(spark, docs, str(tmp_path / "in"), 3)

@@ -1,11 +1,12 @@
 """Vocabulary and term vectors (X1-X7) in long form.
 
-* The vocabulary is one aggregation keyed by term, partially aggregated on the
-  map side, so a Zipfian head term costs one row per partition, not one per
+* The vocabulary is one aggregation keyed by term, partially aggregated in
+  the task, so a Zipfian head term costs one row per partition, not one per
   occurrence.  It is capped by ``max_features``, which bounds every later
   broadcast of it.
-* Term counts read the texts again and keep the vocabulary's terms only: no
-  shuffle carries text or uncut n-grams.
+* Term counts read the texts again and keep the vocabulary's terms only, as one
+  row of positions and counts a document, written once: no shuffle carries text
+  or n-grams, and the long form is spread out of that row where it is used.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
+from ..functions import grams as GR
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,29 +33,14 @@ TYPE_VOCAB = VocabConfig(1, 2, 2, 1000)
 SENTIMENT_VOCAB = VocabConfig(1, 3, 3, 5000)
 
 
-def token_words(norm: str | Column, cfg: VocabConfig) -> Column:
-    """Vectoriser tokens: words of the normalised text with >= ``min_token_chars``."""
-    return F.filter(TX.words(norm), lambda w: F.length(w) >= cfg.min_token_chars)
-
-
-def doc_grams(docs: DataFrame, norm_col: str, cfg: VocabConfig, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *keep, _g)``: the configured n-grams of each document, by compiled regex scans."""
-    j = docs.select("doc_id", *keep, F.array_join(token_words(norm_col, cfg), " ").alias("_j"))
-    return j.select("doc_id", *keep, TX.ngrams_joined("_j", cfg.ngram_min, cfg.ngram_max).alias("_g"))
-
-
-def fit_vocabulary(grams: DataFrame, cfg: VocabConfig) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, norm_col: str, cfg: VocabConfig) -> DataFrame:
     """``(term, idx, df, tf)``; ``min_df`` first, then the ``max_features``
     most frequent terms (ties by term); ``idx`` is the alphabetical position.
 
     One pass: a document's n-grams count for ``tf``, its distinct ones for ``df``.  Both are
-    summed per term before the shuffle, so a head term costs one row a task.
+    summed per term in the task, so a head term costs one row a task.
     """
-    both = grams.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("_g").alias("g")),
-        F.struct(F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("_g").alias("g")))).alias("x"))
-    # the _outer form keeps an inferred size filter out of the steps below
-    stats = (both.select("x.tf", "x.df", F.explode_outer("x.g").alias("term")).filter(F.col("term").isNotNull())
+    stats = (GR.gram_counts(docs, norm_col, cfg.ngram_min, cfg.ngram_max, cfg.min_token_chars)
              .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
     top = stats.filter(F.col("df") >= cfg.min_df).orderBy(F.col("tf").desc(), F.col("term")) \
         .limit(cfg.max_features)
@@ -62,15 +49,39 @@ def fit_vocabulary(grams: DataFrame, cfg: VocabConfig) -> DataFrame:
         .select("term", "idx", "df", "tf")
 
 
-def vectorize(grams: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *keep, term, idx, n)`` of the vocabulary's terms; X2 ignores ``n``.
+@dataclass
+class TermVectors:
+    """The vocabulary's terms of each document as one row of positions and counts."""
+    given: DataFrame         # (doc_id, *keep, idx ARRAY<INT>, n ARRAY<BIGINT>), a row an input row
+    rows: DataFrame          # the same, a row a (doc_id, *keep)
+    terms: list[str]
+    keep: tuple[str, ...]
+    repeated: bool           # a doc_id may have several rows
+
+    def long(self) -> DataFrame:
+        """``(doc_id, *keep, term, idx, n)``."""
+        e = self.rows.select("doc_id", *self.keep, F.inline(F.arrays_zip("idx", "n")))
+        return e.select("doc_id", *self.keep, GR.term_of(self.terms, "idx").alias("term"), F.col("idx").cast("bigint").alias("idx"), "n")
 
-    The vocabulary is bounded by ``max_features``; it is broadcast.  Other n-grams are gone
-    before anything is shuffled, and a document's repeats are counted on its own task.
+
+def vectorize(docs: DataFrame, norm_col: str, vocab: DataFrame, cfg: VocabConfig, keep: tuple[str, ...] = ()) -> TermVectors:
+    """The documents' vectors over the vocabulary (bounded by ``max_features``), written once.
+
+    Narrow: other n-grams are gone and repeats are counted in the row's own task.  Only rows whose
+    doc_id comes again are shuffled and added up.
     """
-    e = grams.select("doc_id", *keep, F.explode_outer("_g").alias("term"))
-    return (e.join(F.broadcast(vocab.select("term", "idx")), "term")
-            .groupBy("doc_id", *keep, "term", "idx").agg(F.count(F.lit(1)).alias("n")))
+    terms = [r.term for r in vocab.orderBy("idx").select("term").collect()]
+    given = materialize(GR.vocabulary_hits(docs, norm_col, ("doc_id", *keep), terms, cfg.ngram_min, cfg.ngram_max, cfg.min_token_chars), "terms")
+    again = given.groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_d")
+    if again.isEmpty():
+        return TermVectors(given, given, terms, keep, False)
+    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    summed = (given.join(again, same, "left_semi").select("doc_id", *keep, F.inline(F.arrays_zip("idx", "n")))
+              .groupBy("doc_id", *keep, "idx").agg(F.sum("n").alias("n"))
+              .groupBy("doc_id", *keep).agg(F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("_p"))
+              .select("doc_id", *keep, F.col("_p.idx").alias("idx"), F.col("_p.n").alias("n")))
+    rows = given.join(again, same, "left_anti").unionByName(summed)
+    return TermVectors(given, materialize(rows, "terms"), terms, keep, True)
 
 
 def idf_table(vec: DataFrame, n_docs: Column | int, vocab: DataFrame) -> DataFrame:
@@ -81,16 +92,17 @@ def idf_table(vec: DataFrame, n_docs: Column | int, vocab: DataFrame) -> DataFra
                                    + 1.0).alias("idf")))
 
 
-def tfidf(vec: DataFrame, idf: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Tf * idf, each document's row L2-normalised.
+def tfidf(vec: TermVectors, idf: DataFrame) -> DataFrame:
+    """Tf * idf, each document's row L2-normalised: ``(doc_id, *keep, term, idx, w)``.
 
-    The norm is a window over ``doc_id``; rows of one document are produced in
-    one partition, so this is one shuffle of (doc, term) weights.
+    The norm is taken in the document's row; only where a doc_id has several rows it is a window over them.
     """
-    j = vec.join(F.broadcast(idf.select("term", "idf")), "term")
-    w = j.withColumn("w", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", *keep, "term", "idx", (F.col("w") / norm).alias("w"))
+    of = {r.idx: r.idf for r in idf.collect()}  # bounded by max_features
+    w = GR.weighted(vec.rows, ("doc_id", *vec.keep), [of.get(i, 0.0) for i in range(len(vec.terms))])
+    norm = F.sqrt(F.sum("sq").over(Window.partitionBy("doc_id")) if vec.repeated else F.col("sq"))
+    e = w.select("doc_id", *vec.keep, "idx", "w", norm.alias("_norm")).select("doc_id", *vec.keep, "_norm", F.inline(F.arrays_zip("idx", "w")))
+    return e.select("doc_id", *vec.keep, GR.term_of(vec.terms, "idx").alias("term"), F.col("idx").cast("bigint").alias("idx"),
+                    (F.col("w") / F.col("_norm")).alias("w"))
 
 
 def align_features(df: DataFrame, trained: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -128,20 +140,21 @@ def union_vocabulary(vocab: DataFrame, numeric: list[str]) -> DataFrame:
     return vocab.select("term").unionByName(names)
 
 
-def sparse_vectors(grams: DataFrame, vocab: DataFrame, idf: DataFrame | None = None) -> DataFrame:
+def sparse_vectors(vec: TermVectors, idf: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_vector)`` as sparse vectors of counts, or of L2-normalised TF-IDF with ``idf``.
 
-    A narrow JVM step over a document's n-grams; the vocabulary (bounded by
+    A narrow JVM step over the vocabulary's terms of a document; the vocabulary (bounded by
     ``max_features``) is the model of the vectoriser.
     """
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
-    terms = [r.term for r in vocab.orderBy("idx").select("term").collect()]
-    out = CountVectorizerModel.from_vocabulary(terms, inputCol="_g", outputCol="_tf").transform(grams.select("doc_id", "_g"))
+    names = F.split(F.lit("\n".join(vec.terms)), "\n")
+    repeats = F.flatten(F.transform(F.arrays_zip("idx", "n"), lambda x: F.array_repeat(F.element_at(names, x["idx"] + 1), x["n"].cast("int"))))
+    out = CountVectorizerModel.from_vocabulary(vec.terms, inputCol="_g", outputCol="_tf").transform(vec.given.select("doc_id", repeats.alias("_g")))
     if idf is None:
         return out.select("doc_id", F.col("_tf").alias("text_vector"))
     weights = {r.term: r.idf for r in idf.collect()}
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense([weights[t] for t in terms]), inputCol="_tf", outputCol="_w").transform(out)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([weights[t] for t in vec.terms]), inputCol="_tf", outputCol="_w").transform(out)
     return Normalizer(p=2.0, inputCol="_w", outputCol="text_vector").transform(scaled).select("doc_id", "text_vector")
 
 

@@ -20,7 +20,7 @@ R = 6
 
 def model_outputs(spark, sf) -> DataFrame:
     """(doc_id, model, predicted_class, confidence) of the three models fitted on the announcements."""
-    a = FX.ann(spark, sf)
+    a = FX.ann_texts(spark, sf)
     labelled = a.select("doc_id", "text", F.col("type_label").alias("label"))
     pred = {"type_classifier": M.type_pipeline(spark, sf, labelled).pred,
             "sentiment_analyzer": M.sentiment_pipeline(spark, sf).pred, "impact_modeler": M.impact_pipeline(spark, sf).pred}

@@ -29,7 +29,7 @@ def _pred(spark, sf, model):
 
 
 def _sent_base(spark, sf):
-    a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "sentiment").alias("st"))
+    a = FX.ann_texts(spark, sf).select("doc_id", TX.normalize_variant("text", "sentiment").alias("st"))
     return a.join(_pred(spark, sf, "sentiment_analyzer"), "doc_id")
 
 
@@ -75,7 +75,7 @@ def _int_sql():
 SELECT doc_id, array_to_string(list_slice({_neg_sql()}, 1, 5), '|') AS negation_phrases,
   array_to_string(list_slice({_int_sql()}, 1, 5), '|') AS intensifier_phrases FROM base""")
 def e2_e3(spark, sf):
-    a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "sentiment").alias("st"))
+    a = FX.ann_texts(spark, sf).select("doc_id", TX.normalize_variant("text", "sentiment").alias("st"))
     return a.select("doc_id", F.array_join(EX.negation_phrases("st"), "|").alias("negation_phrases"),
                     F.array_join(EX.intensifier_phrases("st"), "|").alias("intensifier_phrases"))
 
@@ -118,7 +118,7 @@ def e5_summary(spark, sf):
 
 
 def _impact_base(spark, sf):
-    a = FX.ann(spark, sf).select("doc_id", TX.normalize_variant("text", "impact").alias("it"))
+    a = FX.ann_texts(spark, sf).select("doc_id", TX.normalize_variant("text", "impact").alias("it"))
     x = FE.with_impact_features(a, "it").select("doc_id", "percentage_count", "high_impact_count", "predominant_timeframe")
     return x.join(_pred(spark, sf, "impact_modeler"), "doc_id")
 

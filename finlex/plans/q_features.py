@@ -23,7 +23,7 @@ R = 6
 
 def ann_texts(spark, sf):
     """``ann`` with the type / sentiment / impact normalised texts (tt, st, it)."""
-    a = FX.ann(spark, sf)
+    a = FX.ann_texts(spark, sf)
     return a.select("doc_id", "text", "source", "doc_date",
                     TX.normalize_variant("text", "type").alias("tt"),
                     TX.normalize_variant("text", "sentiment").alias("st"),

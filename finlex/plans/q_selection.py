@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import naive_bayes as NB
 from ..operators import selection as SE
+from ..session import materialize
 from . import models as M
 from .q_models import BUCKET, IMPACT_MODEL_CTE, SENT_CTE
 from .registry import register
@@ -44,7 +45,7 @@ grid AS (SELECT vs AS var_smoothing, CAST(k AS INTEGER) AS k, sum(2.0 * hit / (s
 
 
 def _impact(spark, sf):
-    return M.impact_features_wide(spark, sf).checkpoint()  # read by the sums and the scoring
+    return materialize(M.impact_features_wide(spark, sf), "impact")  # read by the sums and the scoring
 
 
 @register("L15_grid_over_k", IMPACT_MODEL_CTE + _GRID_SQL + f"SELECT var_smoothing, k, round(f1, {R}) AS f1 FROM grid")
@@ -75,7 +76,7 @@ def l16_one_job(spark, sf):
     p = M.sentiment_pipeline(spark, sf)
     _, valid_docs = EV.train_validation_split(p.docs)
     train_docs, _ = EV.train_validation_split(p.docs)
-    train_w, _ = EV.train_validation_split(p.weights.join(p.docs, "doc_id"))
+    train_w, _ = EV.train_validation_split(p.labelled)
     _, valid_w = EV.train_validation_split(p.weights)
     return SE.complement_grid(train_w, train_docs, valid_w, valid_docs, p.vocab).withColumn("f1", F.round("f1", R))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bayesnet as BN
 from ..operators import meta as MT
+from ..session import materialize
 from ..sources import fixtures as FX
 from ..sources import tables as S
 from .registry import register
@@ -137,7 +138,8 @@ def _market_truth(spark, sf):
 def m9_m10_stacking(spark, sf):
     """Train the stacker on the history (>= 50 rows) and predict; rows-only check."""
     feats = _features(spark, sf)
-    data = feats.join(_market_truth(spark, sf), "doc_id")
+    # read by the row count, the indexer, the scaler, the regression and the prediction
+    data = materialize(feats.join(_market_truth(spark, sf), "doc_id"), "stacking")
     train = data.filter(F.col("doc_id") % 5 != 0)
     model = MT.train_stacker(train)
     fallback = MT.rule_stacking(_history(spark, sf))

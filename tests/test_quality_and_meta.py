@@ -80,3 +80,11 @@ def test_nested_contract_counts_within_present_parents(spark):
                    ("s.l[].t", "allowed"): 1, ("s.gone", "present"): 1, ("m.k", "type"): 1, ("m.k", "required"): 1, ("none", "present"): 1}
     assert QY.nested_contract_report(df.limit(0), contract).filter("check <> 'present' and violations > 0").count() == 0
     assert QY.nested_contract_report(df, {}).count() == 0
+
+
+def test_the_stacker_reads_its_rows_from_one_table(spark):
+    from finlex.plans import QUERIES
+    from tests.conftest import SF_SMALL
+    out = QUERIES["M9_M10_stacked_prediction"](spark, SF_SMALL)
+    assert "Exchange" not in out._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert {r.method for r in out.select("method").distinct().collect()} == {"stacking"}

@@ -26,8 +26,9 @@ DEFAULT_GAZETTEER = ("companhia", "empresa", "conselho", "administração")
 
 
 def entity_type(m: Column) -> Column:
-    return (F.when(m.rlike(r"^(?:R\$|US\$|€|\$)"), "MONEY").when(m.rlike("^" + DATE_RE + "$"), "DATE")
-            .when(m.rlike("%$"), "PERCENT").otherwise("CARDINAL"))
+    """Of a match of ``ENTITY_RE``: only its date form holds a slash, only its percent form ends with the sign."""
+    money = m.startswith("R$") | m.startswith("US$") | m.startswith("€") | m.startswith("$")
+    return (F.when(money, "MONEY").when(m.contains("/"), "DATE").when(m.endswith("%"), "PERCENT").otherwise("CARDINAL"))
 
 
 def entities(text: str | Column, words_col: str | Column,
@@ -35,7 +36,6 @@ def entities(text: str | Column, words_col: str | Column,
     """ARRAY<STRUCT<ent_text STRING, ent_type STRING>> for one document."""
     pattern_ents = F.transform(F.regexp_extract_all(_c(text), F.lit(ENTITY_RE), 0),
                                lambda m: F.struct(m.alias("ent_text"), entity_type(m).alias("ent_type")))
-    gaz = F.array(*[F.lit(g) for g in gazetteer])
-    org = F.transform(F.filter(_c(words_col), lambda w: F.array_contains(gaz, w)),
+    org = F.transform(F.filter(_c(words_col), lambda w: w.isin(*gazetteer)),
                       lambda w: F.struct(w.alias("ent_text"), F.lit("ORG").alias("ent_type")))
     return F.concat(pattern_ents, org)

@@ -173,7 +173,7 @@ def _sql_lexicon(t, lex):
 @register("F10_lexicon_density", BASE_SQL + f"SELECT doc_id, {_sql_lexicon('st', T.DEFAULT_LEXICON)} FROM base")
 def f10_lexicon(spark, sf):
     b = ann_texts(spark, sf)
-    return _round_doubles(b.select("doc_id", *rounded(FE.lexicon_features("st"))))
+    return _round_doubles(FE.with_lexicon_features(b, "st"))
 
 
 # FIXED VALUES (test lexicon for the multilingual documents table, FIXTURES.md)
@@ -197,7 +197,7 @@ def f10_by_lang(spark, sf):
     d = S.table(spark, sf, "documents", "doc_id", "text", "lang")
     clean, _ = __import__("finlex.functions.validate", fromlist=["x"]).validate_text("text")
     v = d.select("lang", TX.normalize_variant(clean, "sentiment").alias("st"))
-    f = v.select("lang", *rounded(FE.lexicon_features("st", LEXICON_TEST)))
+    f = FE.with_lexicon_features(v, "st", LEXICON_TEST, keep=("lang",))
     return f.groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum("positive_terms_count").alias("positive_hits"),

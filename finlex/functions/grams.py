@@ -11,9 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import pieces
+
+# Texts are split in pieces of about so many bytes.
+PIECE_BYTES = 8_000_000
 # A task's dictionary of terms is handed on when it has so many (about 50 MB).
 TERMS_HELD = 200_000
 
@@ -27,30 +32,121 @@ def text_grams(norm: str | None, lo: int, hi: int, min_chars: int) -> list[str]:
     return out
 
 
-def gram_counts(docs: DataFrame, norm_col: str, lo: int, hi: int, min_chars: int) -> DataFrame:
-    """(term, df, tf): partial sums over the rows of a task; a term may have several rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and dictionary position of each word of ``min_chars`` and more, and the dictionary."""
+    split = pc.split_pattern(texts, " ")
+    sizes = split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    words = split.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    if not len(code):
+        return row, code, words.dictionary
+    kept = pc.greater_equal(pc.utf8_length(words.dictionary), max(1, min_chars)).to_numpy(zero_copy_only=False)[code]
+    return row[kept], code[kept], words.dictionary
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    if len(texts):
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        for a, b in pieces(sizes, PIECE_BYTES):
+            yield texts.slice(a, b - a)
+
+
+def _known_grams(texts: pa.Array, min_chars: int, words: pa.Array, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, row, number) of the n-grams whose words are all in ``words``; the number's digits to base len(words) are their positions."""
+    row, code, names = _coded(texts, min_chars)
+    known = pc.index_in(names, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = known[code] if len(code) else code
+    number, ok = at, at >= 0
+    for n in range(1, hi + 1):
+        if n > 1:
+            k = len(at) - n + 1
+            if k < 1:
+                return
+            ok = ok[:k] & (at[n - 1:] >= 0) & (row[:k] == row[n - 1:])
+            number = number[:k] * len(words) + at[n - 1:]
+        if n >= lo:
+            yield n, row[:len(ok)][ok], number[ok]
+
+
+def numbered(words: int, hi: int) -> bool:
+    """N-grams of so many words have a number in 64 bits."""
+    return words ** hi < 2 ** 62
+
+
+def _pair_counts(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, in how many rows each is and how often."""
+    distinct, at, tf = np.unique(value, return_inverse=True, return_counts=True)
+    in_row = np.unique(row * max(1, len(distinct)) + at)
+    return distinct, np.bincount(in_row % max(1, len(distinct)), minlength=len(distinct)), tf
+
+
+def gram_counts(docs: DataFrame, norm_col: str, lo: int, hi: int, min_chars: int, words: list[str] | None = None) -> DataFrame:
+    """(term, df, tf): partial sums over the rows of a task; a term may have several rows.
+
+    With ``words`` only of the n-grams whose words are all among them: their numbers are
+    counted, and terms are made of the sums.
+    """
+    def batch(terms, df, tf) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(df, pa.int64()), pa.array(tf, pa.int64())],
+                                          ["term", "df", "tf"])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tf, df = Counter(), Counter()
-
-        def held() -> pa.RecordBatch:
-            terms = list(tf)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([df[t] for t in terms], pa.int64()),
-                                               pa.array(tf.values(), pa.int64())], ["term", "df", "tf"])
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                g = text_grams(text, lo, hi, min_chars)
-                tf.update(g)
-                df.update(set(g))
+            for texts in _slices(b.column(0)):
+                if lo == hi == 1:
+                    row, code, names = _coded(texts, min_chars)
+                    distinct, in_rows, times = _pair_counts(row, code)
+                    terms = names.take(pa.array(distinct)).to_pylist()
+                    tf.update(dict(zip(terms, times.tolist())))
+                    df.update(dict(zip(terms, in_rows.tolist())))
+                else:
+                    for text in texts.to_pylist():
+                        g = text_grams(text, lo, hi, min_chars)
+                        tf.update(g)
+                        df.update(set(g))
+                        if len(tf) > TERMS_HELD:
+                            yield batch(list(tf), [df[t] for t in tf], tf.values())
+                            tf.clear()
+                            df.clear()
                 if len(tf) > TERMS_HELD:
-                    yield held()
+                    yield batch(list(tf), [df[t] for t in tf], tf.values())
                     tf.clear()
                     df.clear()
         if tf:
-            yield held()
+            yield batch(list(tf), [df[t] for t in tf], tf.values())
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(words, pa.string())
+        held: dict[int, list] = {n: [] for n in range(lo, hi + 1)}
 
-    return docs.select(norm_col).mapInArrow(run, "term STRING, df BIGINT, tf BIGINT")
+        def merged(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            value, df, tf = (np.concatenate(c) for c in zip(*held[n]))
+            distinct, at = np.unique(value, return_inverse=True)
+            return distinct, *(np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in (df, tf))
+
+        def out(n: int) -> pa.RecordBatch:
+            value, df, tf = merged(n)
+            held[n] = []
+            parts = [names.take(pa.array(value // len(words) ** k % len(words))) for k in range(n - 1, -1, -1)]
+            return batch(pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0], df, tf)
+
+        for b in batches:
+            for texts in _slices(b.column(0)):
+                for n, row, number in _known_grams(texts, min_chars, names, lo, hi):
+                    held[n].append(_pair_counts(row, number))
+                    if sum(len(p[0]) for p in held[n]) > 4 * TERMS_HELD:
+                        held[n] = [merged(n)]
+                        if len(held[n][0][0]) > 2 * TERMS_HELD:
+                            yield out(n)
+        for n in held:
+            if held[n]:
+                yield out(n)
+
+    if words is not None and not numbered(len(words), hi):
+        raise ValueError(f"{hi}-grams of {len(words)} words have no number")
+    return docs.select(norm_col).mapInArrow(plain if words is None else among, "term STRING, df BIGINT, tf BIGINT")
 
 
 def _lists(offsets: list[int], values: list, kind: pa.DataType) -> pa.Array:
@@ -62,18 +158,45 @@ def vocabulary_hits(docs: DataFrame, norm_col: str, keep: tuple[str, ...], terms
     rows = docs.select(*keep, norm_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = sorted({w for t in terms for w in t.split(" ")})
+    place = {w: i for i, w in enumerate(words)}
+    by_number: dict[int, list[tuple[int, int]]] = {n: [] for n in range(1, hi + 1)}  # (number, position in terms)
+    if numbered(max(1, len(words)), hi):
+        for i, t in enumerate(terms):
+            w = t.split(" ")
+            if lo <= len(w) <= hi:
+                by_number[len(w)].append((sum(place[x] * len(words) ** (len(w) - 1 - j) for j, x in enumerate(w)), i))
+    tables = {n: np.array(sorted(v), dtype=np.int64).reshape(-1, 2) for n, v in by_number.items()}
+
+    def hits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and position of every hit."""
+        rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for n, row, number in _known_grams(texts, min_chars, pa.array(words, pa.string()), lo, hi):
+            known = tables[n]
+            if len(known):
+                at = np.minimum(np.searchsorted(known[:, 0], number), len(known) - 1)
+                hit = known[at, 0] == number
+                rows.append(row[hit])
+                found.append(known[at[hit], 1])
+        return np.concatenate(rows), np.concatenate(found)
+
+    def plain_hits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids = {t: i for i, t in enumerate(terms)}
+        pairs = [(r, i) for r, text in enumerate(texts.to_pylist()) for i in map(ids.get, text_grams(text, lo, hi, min_chars)) if i is not None]
+        return tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = hits if numbered(max(1, len(words)), hi) else plain_hits
         for b in batches:
-            at, idx, n = [0], [], []
-            for text in b.column(len(keep)).to_pylist():
-                c = Counter(i for i in map(ids.get, text_grams(text, lo, hi, min_chars)) if i is not None)
-                hits = sorted(c)
-                idx += hits
-                n += map(c.__getitem__, hits)
-                at.append(len(idx))
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], _lists(at, idx, pa.int32()), _lists(at, n, pa.int64())],
-                                             [*keep, "idx", "n"])
+            from_row = 0
+            for texts in _slices(b.column(len(keep))):
+                row, found = find(texts)
+                pair, n = np.unique(row * max(1, len(terms)) + found, return_counts=True)
+                row, idx = np.divmod(pair, max(1, len(terms)))
+                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+                yield pa.RecordBatch.from_arrays([*(c.slice(from_row, len(texts)) for c in b.columns[:len(keep)]),
+                                                  _lists(at, idx, pa.int32()), _lists(at, n, pa.int64())], [*keep, "idx", "n"])
+                from_row += len(texts)
 
     return rows.mapInArrow(run, f"{schema}, idx ARRAY<INT>, n ARRAY<BIGINT>")
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import grams as GR
 from ..session import materialize
@@ -29,6 +30,9 @@ class VocabConfig:
     min_token_chars: int = 2  # scikit-learn's default token pattern keeps \w\w+
 
 
+# The words that a vocabulary's longer n-grams can be made of are handed to the tasks up to so many (a few MB).
+WORDS_HELD = 200_000
+
 TYPE_VOCAB = VocabConfig(1, 2, 2, 1000)
 SENTIMENT_VOCAB = VocabConfig(1, 3, 3, 5000)
 
@@ -37,13 +41,32 @@ def fit_vocabulary(docs: DataFrame, norm_col: str, cfg: VocabConfig) -> DataFram
     """``(term, idx, df, tf)``; ``min_df`` first, then the ``max_features``
     most frequent terms (ties by term); ``idx`` is the alphabetical position.
 
-    One pass: a document's n-grams count for ``tf``, its distinct ones for ``df``.  Both are
-    summed per term in the task, so a head term costs one row a task.
+    A document's n-grams count for ``tf``, its distinct ones for ``df``; both are summed per term in
+    the task, so a head term costs one row a task.  Words are counted first.  No n-gram is more
+    frequent than its words, and at least as many terms as there are words above it are before the
+    last of the ``max_features`` most frequent words: longer n-grams are only counted of words as
+    frequent as that one, which leaves none out.  Where these words are too many to hand out, all
+    n-grams are counted.
     """
-    stats = (GR.gram_counts(docs, norm_col, cfg.ngram_min, cfg.ngram_max, cfg.min_token_chars)
-             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
-    top = stats.filter(F.col("df") >= cfg.min_df).orderBy(F.col("tf").desc(), F.col("term")) \
-        .limit(cfg.max_features)
+    def summed(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).filter(F.col("df") >= cfg.min_df)
+
+    def counts(lo: int, hi: int, words: list[str] | None = None) -> DataFrame:
+        return summed(GR.gram_counts(docs, norm_col, lo, hi, cfg.min_token_chars, words))
+
+    first = [F.col("tf").desc(), F.col("term")]
+    stats = counts(cfg.ngram_min, cfg.ngram_max) if cfg.ngram_max == 1 else None
+    if stats is None:
+        words = materialize(counts(1, 1), "words")
+        top = words.orderBy(*first).limit(cfg.max_features).agg(F.min("tf").alias("tf"), F.count(F.lit(1)).alias("n")).first()
+        least = top["tf"] if cfg.ngram_min == 1 and top["n"] == cfg.max_features else 0
+        found = [r.term for r in words.filter(F.col("tf") >= least).select("term").limit(WORDS_HELD + 1).collect()]
+        if len(found) > WORDS_HELD or not GR.numbered(max(1, len(found)), cfg.ngram_max):
+            stats = counts(cfg.ngram_min, cfg.ngram_max)
+        else:
+            longer = counts(max(2, cfg.ngram_min), cfg.ngram_max, sorted(found))
+            stats = words.unionByName(longer) if cfg.ngram_min == 1 else longer
+    top = stats.orderBy(*first).limit(cfg.max_features)
     # the capped vocabulary is small: a single ordered partition gives the index
     return top.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("bigint")) \
         .select("term", "idx", "df", "tf")
@@ -143,14 +166,14 @@ def union_vocabulary(vocab: DataFrame, numeric: list[str]) -> DataFrame:
 def sparse_vectors(vec: TermVectors, idf: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_vector)`` as sparse vectors of counts, or of L2-normalised TF-IDF with ``idf``.
 
-    A narrow JVM step over the vocabulary's terms of a document; the vocabulary (bounded by
-    ``max_features``) is the model of the vectoriser.
+    A document's positions and counts are the vector; written once, as learners read it again and again.
     """
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-    names = F.split(F.lit("\n".join(vec.terms)), "\n")
-    repeats = F.flatten(F.transform(F.arrays_zip("idx", "n"), lambda x: F.array_repeat(F.element_at(names, x["idx"] + 1), x["n"].cast("int"))))
-    out = CountVectorizerModel.from_vocabulary(vec.terms, inputCol="_g", outputCol="_tf").transform(vec.given.select("doc_id", repeats.alias("_g")))
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(vec.terms)).alias("size"),
+                      F.col("idx").alias("indices"), F.col("n").cast("array<double>").alias("values"))
+    rows = vec.given.select("doc_id", vector.alias("_tf"))
+    out = materialize(rows, "vectors", StructType([rows.schema["doc_id"], StructField("_tf", VectorUDT())]))
     if idf is None:
         return out.select("doc_id", F.col("_tf").alias("text_vector"))
     weights = {r.term: r.idf for r in idf.collect()}

@@ -174,8 +174,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS nnz, round(max(w), {R}) AS max_w, rou
 FROM tf GROUP BY doc_id""")
 def x4_tfidf(spark, sf):
     p = M.sentiment_pipeline(spark, sf)
-    return _r(p.weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.max("w").alias("max_w"),
-                                             F.sum(F.col("w") * F.col("w")).alias("sq_norm")))
+    return _r(VO.weight_profile(p.weighted))
 
 
 @register("X5_vocab_profile", TYPE_CTE + f"""
